@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +29,38 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), byte_bpe(public_tokenizers.path("byte_bpe_50k.json"), end_id=1), size=2048)
 
 
+def _remainder(n: int):
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents; learned where crc32(doc_id) mod 5 is not 0."""
+    from .quality import quality_scores
+
+    scores = quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), learn=_remainder(5) != 0)
+    return scores.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents; learned where crc32(doc_id) mod 4 is not 2."""
+    from .toxicity import toxicity_scores
+
+    scores = toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), learn=_remainder(4) != 2)
+    return scores.select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", "predicted")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents; learned where crc32(doc_id) mod 3 is not 1."""
+    from .lang_id import identify
+
+    found = identify(_table(spark, sf_dir, "documents"), learn=_remainder(3) != 1)
+    return found.select("doc_id", (_remainder(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_classifier": op2_quality_classifier,
+    "op3_toxicity": op3_toxicity,
+    "op7_language_id": op7_language_id,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_packing": op10_packing,
 }
