@@ -49,6 +49,18 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", "predicted")
 
 
+CONTROL_CONVERSATION = "</s>[INST] ok [/INST]"
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations, and of conversation -1, read back from their formatted texts."""
+    from .chat_template import digest, format_conversations
+
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_CONVERSATION).alias("text"))
+    return digest(format_conversations(turns.unionByName(more)))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all documents; learned where crc32(doc_id) mod 3 is not 1."""
     from .lang_id import identify
@@ -60,6 +72,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_toxicity": op3_toxicity,
+    "op6_chat_formatting": op6_chat_formatting,
     "op7_language_id": op7_language_id,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_packing": op10_packing,
@@ -68,6 +81,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_chat_formatting": """
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        e AS (SELECT *, length(text) + length(text) - length(replace(text, chr(92), ''))
+                     + (length(text) - length(replace(text, '</s>', ''))) // 4 + (length(text) - length(replace(text, '[INST]', ''))) // 6
+                     + (length(text) - length(replace(text, '[/INST]', ''))) // 7 + (length(text) - length(replace(text, '<|', ''))) // 2
+                     + (length(text) - length(replace(text, '|>', ''))) // 2 + (length(text) - length(replace(text, '<s>', ''))) // 3
+                     + length(role) + 13 AS size FROM t)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(size) AS BIGINT) AS formatted_chars
+        FROM e GROUP BY conv_id""",
     "op9_exact_dedup": f"""
         WITH n AS (SELECT doc_id, {_NORM} AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
