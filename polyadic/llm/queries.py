@@ -12,6 +12,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose 3-word shingle sets have a Jaccard similarity of 0.9 or more."""
+    from .jaccard_join import jaccard_components
+
+    return jaccard_components(_table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact dedup of all documents; of equal texts the largest doc_id stays."""
     from .exact_dedup import exact_dedup
@@ -74,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_language_id": op7_language_id,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_packing": op10_packing,
 }
