@@ -40,6 +40,13 @@ def _remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings with a cosine of 0.95 or more."""
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents; learned where crc32(doc_id) mod 5 is not 0."""
     from .quality import quality_scores
@@ -77,6 +84,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_toxicity": op3_toxicity,
     "op6_chat_formatting": op6_chat_formatting,
