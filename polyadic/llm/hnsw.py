@@ -146,6 +146,10 @@ class Graph:
         """
         nodes, links = self.levels[-1]
         x = self.x[nodes]
+        # Links are followed both ways: a node that others' thinned lists left out is still reached.
+        pointed, by = np.divmod(np.flatnonzero(links.ravel() >= 0), links.shape[1])[0], links.ravel()[links.ravel() >= 0]
+        order = np.argsort(by, kind="stable")
+        sources, start = pointed[order], np.searchsorted(by[order], np.arange(len(x) + 1))
         out = []
         for at in range(0, len(q), BATCH):
             part = q[at : at + BATCH]
@@ -155,7 +159,7 @@ class Graph:
                 hits = [i[s >= least]]
                 seen = set(i[i >= 0].tolist())
                 while len(edge):
-                    near = np.unique(links[edge])
+                    near = np.unique(np.concatenate([links[edge].ravel(), *(sources[start[e] : start[e + 1]] for e in edge.tolist())]))
                     near = np.array([v for v in near.tolist() if v >= 0 and v not in seen], dtype=np.int64)
                     if not len(near):
                         break

@@ -15,6 +15,8 @@ from .scratch import write_scratch
 SHARD_ROWS, SHARDS, SPLIT_ROWS = 100_000, 4, 4_096
 #: Queries of a task whose links are also looked for by brute force, and the share to be found.
 AUDIT_QUERIES, RECALL, FIRST_BEAM = 128, 0.99, 32
+#: Beyond this beam the shard is scanned instead.
+LAST_BEAM = 256
 
 
 def _unit(column: pd.Series) -> np.ndarray:
@@ -31,7 +33,9 @@ def _build(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def _search(threshold: float):
-    def links_of(graph: Graph, exact: np.ndarray, q: np.ndarray, beam: int) -> list[np.ndarray]:
+    def links_of(graph: Graph | None, exact: np.ndarray, q: np.ndarray, beam: int) -> list[np.ndarray]:
+        if graph is None:
+            return [np.flatnonzero(row >= threshold) for at in range(0, len(q), 256) for row in q[at : at + 256] @ exact.T]
         found = graph.within(q.astype(np.float32), threshold - 1e-4, beam)
         return [f[exact[f] @ v >= threshold] for f, v in zip(found, q, strict=True)]
 
@@ -51,9 +55,12 @@ def _search(threshold: float):
         while True:
             got = links_of(graph, exact, q[some], beam)
             total = sum(map(len, true))
-            if sum(len(np.intersect1d(a, b)) for a, b in zip(true, got, strict=True)) >= RECALL * total or beam >= len(reps):
+            if sum(len(np.intersect1d(a, b)) for a, b in zip(true, got, strict=True)) >= RECALL * total:
+                break
+            beam *= 2
+            if beam > LAST_BEAM:
+                graph = None
                 break
-            beam = min(2 * beam, len(reps))
         root: dict[int, int] = {}
 
         def find(v: int) -> int:
