@@ -24,8 +24,10 @@ from .textarrays import byte_views, mix, shingle_set
 
 #: Segments beyond the pigeonhole's need, so that segments without shingles need no keys.
 SPARE = 2
-#: Identifiers of candidates are broadcast up to this many, and joined by a shuffle beyond.
-BROADCAST_IDS = 1_000_000
+#: Identifiers and keys are broadcast up to this many (some 50 MB), and joined by a shuffle beyond.
+BROADCAST_ROWS = 1_000_000
+#: Sets that share a quarter of a set's shingles without linking to it, as the cost model has it.
+STRANGERS = 200
 #: Sets in a block, and shingles in a step, when blocks are compared.
 BLOCK, COLUMNS = 256, 4_096
 
@@ -66,11 +68,11 @@ def bands(sim: Similarity, most: int) -> list[int]:
     return lows
 
 
-def allocate(low: int, high: int, sim: Similarity, rows: int) -> Allocation | None:
+def allocate(low: int, high: int, sim: Similarity) -> Allocation | None:
     """The cheapest allocation for sets of [low, high) shingles; None if only equal sets can link.
 
-    Cost: keys of a set, and sets met by chance when a quarter of the shingles is shared.  An exact
-    segment covers one difference and a near one two.
+    Cost: keys of a set, and strangers met by chance.  An exact segment covers one difference and a
+    near one two.
     """
     need = sim.differences(2 * (high - 1))
     if need == 0:
@@ -80,7 +82,7 @@ def allocate(low: int, high: int, sim: Similarity, rows: int) -> Allocation | No
     for near in range(0, need // 2 + 1):
         exact = need - 2 * near
         load = low / (exact + near)
-        cost = exact + near * (1 + load) + rows * (exact * 0.25**load + near * (1 + load) * 0.25 ** max(load - 1, 0))
+        cost = exact + near * (1 + load) + STRANGERS * (exact * 0.25**load + near * (1 + load) * 0.25 ** max(load - 1, 0))
         if best is None or cost < best[0]:
             best = (cost, Allocation(exact, near))
         elif cost > 8 * best[0]:
@@ -117,26 +119,26 @@ def segment_keys(shingles: np.ndarray, band: int, plan: Allocation) -> np.ndarra
     return np.unique(np.concatenate(keys))
 
 
-def keys_of(shingles: np.ndarray, sim: Similarity, rows: int) -> np.ndarray:
+def keys_of(shingles: np.ndarray, sim: Similarity) -> np.ndarray:
     """Keys of a set under its own band and, where a linked larger set may be there, under the next."""
     lows = bands(sim, 1 << 40)
     b = int(np.searchsorted(lows, len(shingles), side="right")) - 1
     out = []
     for band in (b, b + 1):
         if band == b or len(shingles) * sim.den >= sim.num * lows[band]:
-            plan = _plans(sim, rows)(band)
+            plan = _plans(sim)(band)
             if plan:
                 out.append(segment_keys(shingles, band, plan))
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
 @cache
-def _plans(sim: Similarity, rows: int):
+def _plans(sim: Similarity):
     lows = bands(sim, 1 << 40)
-    return cache(lambda band: allocate(lows[band], lows[band + 1], sim, rows))
+    return cache(lambda band: allocate(lows[band], lows[band + 1], sim))
 
 
-def _sketch(docs: DataFrame, n: int, sim: Similarity, rows: int) -> DataFrame:
+def _sketch(docs: DataFrame, n: int, sim: Similarity) -> DataFrame:
     """(doc, n, s1, s2, keys): the set's size, a 128-bit order-free signature and its keys."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +149,7 @@ def _sketch(docs: DataFrame, n: int, sim: Similarity, rows: int) -> DataFrame:
                 sizes.append(len(found))
                 s1.append(mix(found).sum(dtype=np.uint64))
                 s2.append(mix(found * np.uint64(0xD6E8FEB86659FD93) + np.uint64(11)).sum(dtype=np.uint64))
-                keys.append(keys_of(found, sim, rows).view(np.int64) if len(found) else np.zeros(0, np.int64))
+                keys.append(keys_of(found, sim).view(np.int64) if len(found) else np.zeros(0, np.int64))
             offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
             values = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
             signs = [pa.array(np.array(s, dtype=np.uint64).view(np.int64)) for s in (s1, s2)]
@@ -156,11 +158,15 @@ def _sketch(docs: DataFrame, n: int, sim: Similarity, rows: int) -> DataFrame:
     return docs.mapInArrow(sketch, "doc long, n long, s1 long, s2 long, keys array<long>")
 
 
+def _small(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written, and broadcast in joins if it turns out to be small enough."""
+    df = write_scratch(df, label)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(doc, found): the whole sets of the wanted documents, made again from their texts."""
-    wanted = write_scratch(wanted.distinct(), "wanted")
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
+    wanted = _small(wanted.distinct(), "wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,17 +287,18 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10,
     """
     sim = Similarity(num, den)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    rows = texts.count()
-    sketches = write_scratch(_sketch(texts, n, sim, rows), "sketches")
+    sketches = write_scratch(_sketch(texts, n, sim), "sketches")
     full = sketches.where("n > 0 and doc is not null")
     # Copies fold into their smallest identifier, before anything is paired.
     reps = write_scratch(full.groupBy("n", "s1", "s2").agg(F.min("doc").alias("rep")), "reps")
-    entries = full.join(reps.select(F.col("rep").alias("doc"), "n", "s1", "s2"), ["doc", "n", "s1", "s2"], "left_semi")
+    others = full.select("doc", "n", "s1", "s2").join(reps.select(F.col("rep").alias("doc"), "n", "s1", "s2"), ["doc", "n", "s1", "s2"], "left_anti")
+    entries = full.join(_small(others, "copies"), ["doc", "n", "s1", "s2"], "left_anti")
     entries = entries.select("doc", "n", F.explode("keys").alias("key"))
 
     # Keys of two sets or more; the smallest set of a key is its pivot.
     pivots = entries.groupBy("key").agg(F.min(F.struct("doc", "n")).alias("pivot"), F.count("*").alias("members")).where("members > 1")
-    shared = write_scratch(entries.join(pivots.select("key", F.col("pivot.doc").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "key"), "shared")
+    pivots = _small(pivots.select("key", F.col("pivot.doc").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "pivots")
+    shared = write_scratch(entries.join(pivots, "key"), "shared")
     near_size = F.least("n", "pivot_n") * den >= F.greatest("n", "pivot_n") * num
 
     # First each set against the pivot that it shares most keys with, which joins most of a group.
