@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import write_scratch
+from .scratch import small_side, write_scratch
 from .textarrays import byte_views, lowered
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -106,7 +106,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """The rows of ``docs`` that exact_dedup() keeps, with all their columns.
 
-    Rows that repeat an identifier share one decision; null identifiers go.
+    Of rows that repeat an identifier and a text, one stays; an identifier stays if one of its texts
+    does.  Rows with a null identifier stay.
     """
-    kept = exact_dedup(docs, id_col, text_col, keep).where("kept").select(id_col)
-    return docs.join(kept, id_col, "left_semi")
+    found = exact_dedup(docs, id_col, text_col, keep)
+    by_id = found.groupBy(id_col).agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
+    gone = small_side(by_id.where(~F.col("kept")).select(id_col), "dropped")
+    twice = small_side(by_id.where("kept AND rows > 1").select(id_col), "repeated")
+    left = docs.join(gone, id_col, "left_anti")
+    norm = F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER), 256)
+    again = left.join(twice, id_col, "left_semi").withColumn("__norm", norm).dropDuplicates([id_col, "__norm"]).drop("__norm")
+    return left.join(twice, id_col, "left_anti").unionByName(again)

@@ -19,13 +19,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import write_scratch
+from .scratch import small_side, write_scratch
 from .textarrays import byte_views, mix, shingle_set
 
 #: Segments beyond the pigeonhole's need, so that segments without shingles need no keys.
 SPARE = 2
-#: Identifiers and keys are broadcast up to this many (some 50 MB), and joined by a shuffle beyond.
-BROADCAST_ROWS = 1_000_000
 #: Sets that share a quarter of a set's shingles without linking to it, as the cost model has it.
 STRANGERS = 200
 #: Sets in a block, and shingles in a step, when blocks are compared.
@@ -158,15 +156,9 @@ def _sketch(docs: DataFrame, n: int, sim: Similarity) -> DataFrame:
     return docs.mapInArrow(sketch, "doc long, n long, s1 long, s2 long, keys array<long>")
 
 
-def _small(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written, and broadcast in joins if it turns out to be small enough."""
-    df = write_scratch(df, label)
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(doc, found): the whole sets of the wanted documents, made again from their texts."""
-    wanted = _small(wanted.distinct(), "wanted")
+    wanted = small_side(wanted.distinct(), "wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,12 +284,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10,
     # Copies fold into their smallest identifier, before anything is paired.
     reps = write_scratch(full.groupBy("n", "s1", "s2").agg(F.min("doc").alias("rep")), "reps")
     others = full.select("doc", "n", "s1", "s2").join(reps.select(F.col("rep").alias("doc"), "n", "s1", "s2"), ["doc", "n", "s1", "s2"], "left_anti")
-    entries = full.join(_small(others, "copies"), ["doc", "n", "s1", "s2"], "left_anti")
+    entries = full.join(small_side(others, "copies"), ["doc", "n", "s1", "s2"], "left_anti")
     entries = entries.select("doc", "n", F.explode("keys").alias("key"))
 
     # Keys of two sets or more; the smallest set of a key is its pivot.
     pivots = entries.groupBy("key").agg(F.min(F.struct("doc", "n")).alias("pivot"), F.count("*").alias("members")).where("members > 1")
-    pivots = _small(pivots.select("key", F.col("pivot.doc").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "pivots")
+    pivots = small_side(pivots.select("key", F.col("pivot.doc").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "pivots")
     shared = write_scratch(entries.join(pivots, "key"), "shared")
     near_size = F.least("n", "pivot_n") * den >= F.greatest("n", "pivot_n") * num
 
@@ -320,3 +312,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10,
     classes = reps.join(final, "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
     out = sketches.drop("keys").join(classes, ["n", "s1", "s2"], "left")
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
+
+
+def keep_one_of_similar(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose identifier is the smallest of its component, with all their columns.
+
+    Rows that repeat an identifier share one decision: they stay if one of them does.  Rows with a
+    null identifier stay.
+    """
+    found = jaccard_components(docs, n, num, den, id_col, text_col).groupBy(id_col).agg(F.min("component_id").alias("component_id"))
+    return docs.join(small_side(found.where(F.col(id_col) != F.col("component_id")).select(id_col), "dropped"), id_col, "left_anti")

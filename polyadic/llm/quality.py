@@ -144,3 +144,21 @@ def quality_scores(docs: DataFrame, labels: DataFrame, learn: Column | None = No
             yield pd.DataFrame({"doc": f["doc"], "score": s, "predicted": (s >= threshold).astype("int32")})
 
     return measured.mapInPandas(score, "doc long, score double, predicted int").withColumnRenamed("doc", id_col)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, shrinkage: float = 0.1) -> DataFrame:
+    """The rows of ``docs`` whose score reaches ``threshold``, with all their columns; learned from all labels.
+
+    Null and empty texts are scored like any other.  Every row is judged by itself, in one pass.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("doc"), F.col(label_col).alias("label"))
+    measured = write_scratch(texts.mapInArrow(_measure, "doc long, " + ", ".join(f"{f} double" for f in FEATURES)), "statistics")
+    model = fit(measured.join(known, "doc"), "label", shrinkage)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = np.array([statistics_of(raw) for raw in byte_views(batch[text_col])], dtype=np.float64).reshape(-1, len(FEATURES))
+            yield batch.filter(pa.array(model.score(table) >= threshold))
+
+    return docs.mapInArrow(judge, docs.schema)

@@ -63,6 +63,22 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded by a SentencePiece model and decoded again."""
+    import public_tokenizers
+
+    from .wfst import encode_decode
+
+    return encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep_ids=False)
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of all pages."""
+    from .html_layout import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 CONTROL_CONVERSATION = "</s>[INST] ok [/INST]"
 
 
@@ -87,6 +103,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_toxicity": op3_toxicity,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op5_html_extraction": op5_html_extraction,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_language_id": op7_language_id,
     "op8_jaccard_join": op8_jaccard_join,

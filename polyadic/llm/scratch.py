@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,6 +33,16 @@ def write_scratch(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+#: Sides of a join are broadcast up to this many short rows (some 50 MB), and shuffled beyond.
+BROADCAST_ROWS = 1_000_000
+
+
+def small_side(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written, and broadcast in joins if it turns out to be small enough."""
+    df = write_scratch(df, label)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def drop_scratch(*frames: DataFrame) -> None:
     """Delete written intermediates that nothing lazily depends on any more."""
     for df in frames:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -89,20 +89,51 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, learn: Column | None = N
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     known = labels.where(F.col(label_col).isin(0, 1))
     known = (known if learn is None else known.where(learn)).select(F.col(id_col).cast("long").alias("doc"), F.col(label_col).alias("label"))
-    at, w = fit(texts, known, max_train_rows)
-    shared = docs.sparkSession.sparkContext.broadcast((at, w))
+    scorer = _scorer(docs, *fit(texts, known, max_train_rows))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score_of = scorer()
+        for batch in batches:
+            s = score_of(batch["text"])
+            yield pa.RecordBatch.from_arrays([batch["doc"], pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc", "score", "predicted"])
+
+    return texts.mapInArrow(score, "doc long, score double, predicted int").withColumnRenamed("doc", id_col)
+
+
+def _scorer(docs: DataFrame, at: np.ndarray, w: np.ndarray) -> Callable[[], Callable[[pa.Array], np.ndarray]]:
+    """Makes, in a task, a function from texts to scores; the sparse weights are broadcast."""
+    shared = docs.sparkSession.sparkContext.broadcast((at, w))
+
+    def start() -> Callable[[pa.Array], np.ndarray]:
         at, w = shared.value
         table = np.zeros((1 << BITS) + 1)
         table[at] = w
         used = table != 0
-        for batch in batches:
+
+        def score_of(texts: pa.Array) -> np.ndarray:
             sums = []
-            for raw in byte_views(batch["text"]):
+            for raw in byte_views(texts):
                 i = gram_indices(raw)
                 sums.append(table[np.unique(i[used[i]])].sum() + table[-1])
-            s = 1.0 / (1.0 + np.exp(-np.clip(np.array(sums, dtype=np.float64), -60, 60)))
-            yield pa.RecordBatch.from_arrays([batch["doc"], pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc", "score", "predicted"])
+            return 1.0 / (1.0 + np.exp(-np.clip(np.array(sums, dtype=np.float64), -60, 60)))
 
-    return texts.mapInArrow(score, "doc long, score double, predicted int").withColumnRenamed("doc", id_col)
+        return score_of
+
+    return start
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.3, max_train_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
+    """The rows of ``docs`` whose score is below ``threshold``, with all their columns; learned from all labels.
+
+    Null and empty texts are scored like any other.  Every row is judged by itself, in one pass.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("doc"), F.col(label_col).alias("label"))
+    scorer = _scorer(docs, *fit(texts, known, max_train_rows))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score_of = scorer()
+        for batch in batches:
+            yield batch.filter(pa.array(score_of(batch[text_col]) < threshold))
+
+    return docs.mapInArrow(judge, docs.schema)
