@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import drop_scratch, write_scratch
+from .scratch import drop_scratch, few_tasks, write_scratch
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -30,9 +30,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """
     current = write_scratch(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = None
+    rows = current.count()
     for _ in range(max_rounds):
-        after = write_scratch(_star(_star(_both(current), large=True), large=False), "edges")
-        now = after.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(20,0)")), F.sum("v")).first()
+        some = few_tasks(current, rows)  # rounds never add edges beyond the vertices' number
+        after = write_scratch(_star(_star(_both(some), large=True), large=False), "edges")
+        now = few_tasks(after, rows).agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(20,0)")), F.sum("v")).first()
         drop_scratch(current)
         current = after
         if now == state or not now[0]:
@@ -40,5 +42,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         state = now
     else:
         raise RuntimeError("components did not settle")
+    current = few_tasks(current, rows)
     # Settled: every edge goes from a node to its root.
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).union(current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

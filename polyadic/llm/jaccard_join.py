@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import small_side, write_scratch
+from .scratch import few_tasks, small_side, write_scratch
 from .textarrays import byte_views, mix, shingle_set
 
 #: Segments beyond the pigeonhole's need, so that segments without shingles need no keys.
@@ -169,7 +169,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
 def _verify(pairs: DataFrame, docs: DataFrame, n: int, sim: Similarity) -> DataFrame:
     """The pairs (a, b) that link, by their whole sets."""
-    pairs = write_scratch(pairs, "pairs")
+    pairs = small_side(pairs, "pairs")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,8 +181,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, n: int, sim: Similarity) -> DataF
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     found = _sets_of(docs, pairs.select(F.col("a").alias("doc")).union(pairs.select("b")), n)
-    rows = pairs.join(found.select(F.col("doc").alias("b"), F.col("found").alias("y")), "b").join(found.select(F.col("doc").alias("a"), F.col("found").alias("x")), "a")
-    return write_scratch(rows.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct(), "links")
+    rows = found.select(F.col("doc").alias("a"), F.col("found").alias("x")).join(pairs, "a").join(found.select(F.col("doc").alias("b"), F.col("found").alias("y")), "b")
+    return write_scratch(rows.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
 
 
 def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -233,16 +233,18 @@ def _within_clusters(rows: DataFrame, texts: DataFrame, n: int, sim: Similarity)
     and every pair of blocks that could link is one small task; pairs are not made as rows.  Small
     clusters share a task.
     """
+    count = rows.count()
+    rows = few_tasks(rows, count)
     clusters = connected_components(rows.select(F.col("doc").alias("u"), F.col("least").alias("v")))
     members = rows.select("doc", "n", "label").distinct().join(clusters.withColumnRenamed("node", "doc"), "doc")
-    members = write_scratch(members, "members")
+    members = few_tasks(write_scratch(members, "members"), count)
     sizes = members.groupBy("component", "n").agg(F.count("*").alias("c"))
     upto = Window.partitionBy("component").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("before", F.coalesce(F.sum("c").over(upto), F.lit(0)))
     # Blocks: by size, and by hash among very many sets of one size.
     sizes = sizes.select("component", "n", "c", F.expr(f"CAST(before DIV {BLOCK} AS INT)").alias("block0"), F.expr(f"CAST((before + c - 1) DIV {BLOCK} AS INT)").alias("block1"))
     placed = members.join(sizes, ["component", "n"]).withColumn("block", (F.col("block0") + F.pmod(F.xxhash64("doc"), F.col("block1") - F.col("block0") + 1)).cast("int"))
-    placed = write_scratch(placed.select("doc", "n", "label", "component", "block"), "placed")
+    placed = few_tasks(write_scratch(placed.select("doc", "n", "label", "component", "block"), "placed"), count)
     blocks = placed.groupBy("component", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("label").alias("l0"), F.max("label").alias("l1"))
     other = blocks.select("component", *(F.col(c).alias(f"o_{c}") for c in ("block", "lo", "hi", "l0", "l1")))
     meets = (F.col("block") <= F.col("o_block")) & (F.col("hi") * sim.den >= F.col("o_lo") * sim.num) & ((F.col("l0") != F.col("l1")) | (F.col("o_l0") != F.col("o_l1")) | (F.col("l0") != F.col("o_l0")))
@@ -253,7 +255,7 @@ def _within_clusters(rows: DataFrame, texts: DataFrame, n: int, sim: Similarity)
     sides = met.select("component", "bin", "o_block", F.col("block").alias("first"), F.explode(F.array_distinct(F.array("block", "o_block"))).alias("block"))
 
     found = _sets_of(texts, placed.select("doc"), n)
-    dealt = placed.join(sides, ["component", "block"]).join(found, "doc")
+    dealt = found.join(small_side(placed.join(sides, ["component", "block"]), "dealt"), "doc")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -299,15 +301,16 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10,
     first = write_scratch(first, "first")
     links = _verify(first, texts, n, sim)
     labels = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    labels = write_scratch(labels, "labels")
+    labels = small_side(labels, "labels")
 
     # Then all pairs of what keys still hold together and components do not.
     marked = shared.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("label"))
     mixed = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("doc").alias("least")).where("lo < hi").select("key", "least")
+    mixed = small_side(mixed, "mixed")
     open_rows = write_scratch(marked.join(mixed, "key").select("doc", "n", "label", "least").distinct(), "open")
     more = _within_clusters(open_rows, texts, n, sim)
     edges = links.union(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    final = connected_components(edges).withColumnRenamed("node", "rep")
+    final = small_side(connected_components(edges).withColumnRenamed("node", "rep"), "final")
 
     classes = reps.join(final, "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
     out = sketches.drop("keys").join(classes, ["n", "s1", "s2"], "left")
