@@ -33,8 +33,8 @@ def write_scratch(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-#: Sides of a join are broadcast up to this many short rows (some 50 MB), and shuffled beyond.
-BROADCAST_ROWS = 1_000_000
+#: Sides of a join are broadcast up to this many short rows (some 40 MB), and shuffled beyond.
+BROADCAST_ROWS = 400_000
 
 
 def small_side(df: DataFrame, label: str) -> DataFrame:
