@@ -19,11 +19,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import few_tasks, small_side, write_scratch
+from .scratch import drop_scratch, few_tasks, small_side, write_scratch
 from .textarrays import byte_views, mix, shingle_set
 
 #: Segments beyond the pigeonhole's need, so that segments without shingles need no keys.
 SPARE = 2
+#: Segments beyond that, where a band allows many differences: linked sets share more keys than
+#: strangers that have a passage in common.
+EXTRA = 4
 #: Sets that share a quarter of a set's shingles without linking to it, as the cost model has it.
 STRANGERS = 200
 #: Sets in a block, and shingles in a step, when blocks are compared.
@@ -66,16 +69,21 @@ def bands(sim: Similarity, most: int) -> list[int]:
     return lows
 
 
+def _cover(high: int, sim: Similarity) -> int:
+    """Differences that the segments of a band below ``high`` cover together; 0 if it allows none."""
+    most = sim.differences(2 * (high - 1))
+    return most and most + 1 + SPARE + min(EXTRA, most // 4)
+
+
 def allocate(low: int, high: int, sim: Similarity) -> Allocation | None:
     """The cheapest allocation for sets of [low, high) shingles; None if only equal sets can link.
 
     Cost: keys of a set, and strangers met by chance.  An exact segment covers one difference and a
     near one two.
     """
-    need = sim.differences(2 * (high - 1))
+    need = _cover(high, sim)
     if need == 0:
         return None
-    need += 1 + SPARE
     best = None
     for near in range(0, need // 2 + 1):
         exact = need - 2 * near
@@ -117,17 +125,24 @@ def segment_keys(shingles: np.ndarray, band: int, plan: Allocation) -> np.ndarra
     return np.unique(np.concatenate(keys))
 
 
-def keys_of(shingles: np.ndarray, sim: Similarity) -> np.ndarray:
-    """Keys of a set under its own band and, where a linked larger set may be there, under the next."""
-    lows = bands(sim, 1 << 40)
-    b = int(np.searchsorted(lows, len(shingles), side="right")) - 1
+def keys_of(shingles: np.ndarray, sim: Similarity) -> list[tuple[np.ndarray, int]]:
+    """Keys of a set under its own band and, where a linked larger set may be there, under the next.
+
+    With each the number of keys that a linked set of that band shares at least: SPARE segments may
+    have none, and every difference spoils one segment at most.
+    """
+    lows, n = bands(sim, 1 << 40), len(shingles)
+    b = int(np.searchsorted(lows, n, side="right")) - 1
     out = []
     for band in (b, b + 1):
-        if band == b or len(shingles) * sim.den >= sim.num * lows[band]:
-            plan = _plans(sim)(band)
-            if plan:
-                out.append(segment_keys(shingles, band, plan))
-    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
+        plan = _plans(sim)(band)
+        if plan and (band == b or n * sim.den >= sim.num * lows[band]):
+            partner = min(lows[band + 1] - 1, n * sim.den // sim.num)
+            left = plan.exact + 2 * plan.near - SPARE - sim.differences(n + partner)
+            out.append((segment_keys(shingles, band, plan), max(1, -(-left // (2 if plan.near else 1)))))
+        else:
+            out.append((np.zeros(0, dtype=np.uint64), 1))
+    return out
 
 
 @cache
@@ -137,23 +152,32 @@ def _plans(sim: Similarity):
 
 
 def _sketch(docs: DataFrame, n: int, sim: Similarity) -> DataFrame:
-    """(doc, n, s1, s2, keys): the set's size, a 128-bit order-free signature and its keys."""
+    """(doc, n, s1, s2, keys, own, need0, need1): the set's size, a 128-bit order-free signature, its keys,
+    how many of them are under its own band, and how many a linked set shares under each band."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, s1, s2, keys = [], [], [], []
+            rows, keys = [], []
             for raw in byte_views(batch["text"]):
                 found = shingle_set(raw, n)
-                sizes.append(len(found))
-                s1.append(mix(found).sum(dtype=np.uint64))
-                s2.append(mix(found * np.uint64(0xD6E8FEB86659FD93) + np.uint64(11)).sum(dtype=np.uint64))
-                keys.append(keys_of(found, sim).view(np.int64) if len(found) else np.zeros(0, np.int64))
-            offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
-            values = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
-            signs = [pa.array(np.array(s, dtype=np.uint64).view(np.int64)) for s in (s1, s2)]
-            yield pa.RecordBatch.from_arrays([batch["doc"], pa.array(sizes, pa.int64()), *signs, pa.ListArray.from_arrays(pa.array(offsets), values)], ["doc", "n", "s1", "s2", "keys"])
-
-    return docs.mapInArrow(sketch, "doc long, n long, s1 long, s2 long, keys array<long>")
+                (mine, need0), (next_, need1) = keys_of(found, sim) if len(found) else ((found, 1), (found, 1))
+                rows.append((len(found), len(mine), need0, need1))
+                signs = (mix(found), mix(found * np.uint64(0xD6E8FEB86659FD93) + np.uint64(11)))
+                keys += [np.array([x.sum(dtype=np.uint64) for x in signs], dtype=np.uint64), mine, next_]
+            sizes = np.array([len(k) for k in keys], dtype=np.int64).reshape(-1, 3)
+            flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+            ends = np.cumsum(sizes.sum(axis=1))
+            starts = ends - sizes.sum(axis=1)
+            signed = np.ones(len(flat), dtype=bool)
+            signed[starts] = signed[starts + 1] = False
+            offsets = np.concatenate(([0], np.cumsum(sizes[:, 1:].sum(axis=1)))).astype(np.int32)
+            columns = np.array(rows, dtype=np.int64).reshape(-1, 4).T
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc"], pa.array(columns[0]), pa.array(flat[starts]), pa.array(flat[starts + 1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[signed])), *map(pa.array, columns[1:])],
+                ["doc", "n", "s1", "s2", "keys", "own", "need0", "need1"],
+            )
+
+    return docs.mapInArrow(sketch, "doc long, n long, s1 long, s2 long, keys array<long>, own long, need0 long, need1 long")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -182,7 +206,9 @@ def _verify(pairs: DataFrame, docs: DataFrame, n: int, sim: Similarity) -> DataF
 
     found = _sets_of(docs, pairs.select(F.col("a").alias("doc")).union(pairs.select("b")), n)
     rows = found.select(F.col("doc").alias("a"), F.col("found").alias("x")).join(pairs, "a").join(found.select(F.col("doc").alias("b"), F.col("found").alias("y")), "b")
-    return write_scratch(rows.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
+    links = write_scratch(rows.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
+    drop_scratch(found)
+    return links
 
 
 def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -266,7 +292,9 @@ def _within_clusters(rows: DataFrame, texts: DataFrame, n: int, sim: Similarity)
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     links = dealt.select("bin", "component", "first", "o_block", "block", "doc", "label", "found").groupBy("bin").applyInPandas(compare, "a long, b long")
-    return write_scratch(links, "links")
+    links = write_scratch(links, "links")
+    drop_scratch(found)
+    return links
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -287,12 +315,16 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10,
     reps = write_scratch(full.groupBy("n", "s1", "s2").agg(F.min("doc").alias("rep")), "reps")
     others = full.select("doc", "n", "s1", "s2").join(reps.select(F.col("rep").alias("doc"), "n", "s1", "s2"), ["doc", "n", "s1", "s2"], "left_anti")
     entries = full.join(small_side(others, "copies"), ["doc", "n", "s1", "s2"], "left_anti")
-    entries = entries.select("doc", "n", F.explode("keys").alias("key"))
-
-    # Keys of two sets or more; the smallest set of a key is its pivot.
-    pivots = entries.groupBy("key").agg(F.min(F.struct("doc", "n")).alias("pivot"), F.count("*").alias("members")).where("members > 1")
+    entries = entries.select("doc", "n", "own", "need0", "need1", F.posexplode("keys").alias("at", "key"))
+
+    # Keys of two sets or more, of sets that share enough of them; the smallest set of a key is its pivot.
+    common = small_side(entries.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key"), "common")
+    met = write_scratch(entries.join(common, "key").withColumn("under", (F.col("at") >= F.col("own")).cast("int")).drop("at", "own"), "met")
+    enough = met.groupBy("doc", "under").agg(F.count("*").alias("c"), F.first(F.when(F.col("under") == 0, F.col("need0")).otherwise(F.col("need1"))).alias("need")).where("c >= need")
+    met = met.select("doc", "n", "key", "under").join(small_side(enough.select("doc", "under"), "enough"), ["doc", "under"], "left_semi").drop("under")
+    pivots = met.groupBy("key").agg(F.min(F.struct("doc", "n")).alias("pivot"), F.count("*").alias("members")).where("members > 1")
     pivots = small_side(pivots.select("key", F.col("pivot.doc").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "pivots")
-    shared = write_scratch(entries.join(pivots, "key"), "shared")
+    shared = write_scratch(met.join(pivots, "key"), "shared")
     near_size = F.least("n", "pivot_n") * den >= F.greatest("n", "pivot_n") * num
 
     # First each set against the pivot that it shares most keys with, which joins most of a group.
@@ -313,7 +345,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10,
     final = small_side(connected_components(edges).withColumnRenamed("node", "rep"), "final")
 
     classes = reps.join(final, "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
-    out = sketches.drop("keys").join(classes, ["n", "s1", "s2"], "left")
+    out = sketches.select("doc", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left")
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
 
 
