@@ -67,7 +67,7 @@ def fit(texts: DataFrame, known: DataFrame, max_rows: int = MAX_TRAIN_ROWS, shar
     train = texts.join(F.broadcast(chosen), "doc").withColumn("shard", F.pmod(F.xxhash64("doc", F.lit(1)), F.lit(shards)))
 
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.assign(order=frame["doc"].map(lambda d: hash((d, "order")) & 0xFFFF)).sort_values(["order", "doc"]) if len(frame) else frame
+        frame = frame.assign(order=mix(frame["doc"].to_numpy(dtype=np.int64).view(np.uint64))).sort_values(["order", "label"])
         rows = [gram_indices(raw) for raw in byte_views(pa.array(frame["text"], pa.string()))]
         w = ftrl(rows, frame["label"].to_numpy(dtype=np.float64))
         at = np.flatnonzero(w)

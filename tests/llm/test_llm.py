@@ -214,6 +214,10 @@ def test_pigeonhole_loses_no_pair():
             y = np.unique(np.concatenate((x[gone:], rng.integers(0, 1 << 63, d - gone).astype(np.uint64))))
             common = len(np.intersect1d(x, y))
             if sim.linked(len(x), len(y), common) and not np.array_equal(x, y):
+                small, large = sorted((x, y), key=len)
+                # In the larger set's band both share as many keys as each is said to need.
+                mine, need = keys_of(large, sim)[0]
+                assert any(len(np.intersect1d(mine, k)) >= max(need, n) for k, n in keys_of(small, sim))
 
 
 # 1: near-dedup
