@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 UNDETERMINED = "und"
 #: Dictionaries are made from at most this many labelled rows of each language (the first by a hash
-#: of the identifier), up to this many bytes.
+#: of the identifier), of which this many characters each are looked at, up to this many bytes.
 ROWS_PER_LANGUAGE, DICTIONARY_BYTES = 400, 96_000
 #: Texts are compressed in blocks of this many bytes, each against the dictionary anew, so that a
 #: long text's own past does not hide the language.

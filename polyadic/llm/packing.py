@@ -29,7 +29,6 @@ def shortest_pack_first(counts: dict[int, int], size: int) -> list[tuple[tuple[i
     a time as there are such packs; a length that fits nowhere opens new packs.
     """
     by_room: dict[int, list[tuple[tuple[int, ...], int]]] = {}
-    rooms: list[int] = []
     for length in sorted(counts, reverse=True):
         left = counts[length]
         fresh: dict[int, list[tuple[tuple[int, ...], int]]] = {}
@@ -57,7 +56,6 @@ def shortest_pack_first(counts: dict[int, int], size: int) -> list[tuple[tuple[i
             for pattern, n in by_room.get(room, []) + packs:
                 merged[pattern] = merged.get(pattern, 0) + n
             by_room[room] = list(merged.items())
-    del rooms
     return sorted((p, n) for packs in by_room.values() for p, n in packs)
 
 

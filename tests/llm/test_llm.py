@@ -328,8 +328,8 @@ def test_transducer_equals_the_library(spark, odd, nothing):
         ("<p>a<p>b", "a\n\nb"),
         ("<div>a</div><div>b <b>c</b>d</div>", "a\nb cd"),
         ("a<br>b", "a\nb"),
-        ("<ul><li>x<li>y<ul><li>z</ul></ul>", "- x\n- y\n  - z" if False else "- x\n- y\n    - z"),
-        ("<ol start=9><li>x<li>y</ol>", " 9. x\n10. y" if False else "9. x\n10. y"),
+        ("<ul><li>x<li>y<ul><li>z</ul></ul>", "- x\n- y\n    - z"),
+        ("<ol start=9><li>x<li>y</ol>", "9. x\n10. y"),
         ("<table><tr><th>k<th>value<tr><td>long one<td>2</table>", "k         value\nlong one  2"),
         ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"),
         ("<p hidden>no</p><p style='display: none'>no</p><script>var x='<p>no</p>'</script>yes", "yes"),
