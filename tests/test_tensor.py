@@ -45,7 +45,7 @@ def test_kernels(spark, ramp):
     np.testing.assert_allclose(kernels.kronecker(fs[0], fs[1]).to_numpy(), np.kron(us[0], us[1]))
     kr = np.einsum("ir,jr->ijr", us[0], us[1]).reshape(-1, 2)
     np.testing.assert_allclose(kernels.khatri_rao(fs[0], fs[1]).to_numpy(), kr)
-    np.testing.assert_allclose(kernels.nmode_product(ramp, fs[0], 0).to_numpy() if False else kernels.nmode_product(ramp, from_numpy(spark, us[1].T, ("m", "n")), 1).to_numpy(), np.einsum("abc,br->arc", RAMP, us[1]))
+    np.testing.assert_allclose(kernels.nmode_product(ramp, from_numpy(spark, us[1].T, ("m", "n")), 1).to_numpy(), np.einsum("abc,br->arc", RAMP, us[1]))
 
 
 @pytest.mark.parametrize("op,want", [("sum", np.sum), ("mean", np.mean), ("var", np.var), ("max", np.max), ("median", np.median), ("prod", np.prod)])
