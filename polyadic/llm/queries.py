@@ -117,7 +117,7 @@ _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghij
 ORACLE_SQL: dict[str, str] = {
     "op1_near_dedup": """
         WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE list_count(embedding) = len(embedding)),
-        s AS (SELECT vec_id, x, len(x) AS d FROM e WHERE list_sum(list_transform(x, t -> t * t)) > 0 AND isfinite(list_sum(list_transform(x, t -> t * t)))),
+        s AS (SELECT vec_id, x, len(x) AS d FROM e WHERE list_inner_product(x, x) > 0 AND isfinite(list_inner_product(x, x))),
         l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM s a JOIN s b ON a.d = b.d AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= 0.95),
         c(v, r) AS (SELECT a, b FROM l UNION SELECT c.v, l.b FROM c JOIN l ON c.r = l.a),
         n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1), m AS (SELECT v AS vec_id, min(r) AS m FROM c GROUP BY 1)
