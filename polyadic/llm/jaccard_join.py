@@ -28,7 +28,7 @@ SPARE = 2
 #: strangers that have a passage in common.
 EXTRA = 4
 #: Sets that share a quarter of a set's shingles without linking to it, as the cost model has it.
-STRANGERS = 200
+STRANGERS = 60
 #: Sets in a block, and shingles in a step, when blocks are compared.
 BLOCK, COLUMNS = 256, 4_096
 

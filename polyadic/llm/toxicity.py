@@ -14,8 +14,8 @@ from .textarrays import byte_views, gram_hashes, lowered, mix, span_hashes
 
 BITS = 20
 #: At most this many labelled rows are learned from (the first by a hash of the identifier), in
-#: shards of about SHARD_ROWS; the shards' weights are averaged.
-MAX_TRAIN_ROWS, SHARD_ROWS = 40_000, 20_000
+#: shards of at most about SHARD_ROWS; the shards' weights are averaged.
+MAX_TRAIN_ROWS, SHARD_ROWS = 40_000, 10_000
 #: Words are also seen by their first bytes, so that compounds of one stem are one feature.
 STEMS = (3, 4, 5, 6, 7)
 
@@ -42,10 +42,8 @@ def gram_indices(raw: np.ndarray | None) -> np.ndarray:
 
 
 def ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 6, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.1) -> np.ndarray:
-    """Weights of presence features (the last one is the bias) after FTRL-proximal over ``rows``."""
+    """Weights of presence features (the last one is the bias) after FTRL-proximal over ``rows`` of distinct indices."""
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
-    bias = np.array([1 << BITS])
-    rows = [np.concatenate([np.unique(r), bias]) for r in rows]
 
     def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
         return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
@@ -63,12 +61,13 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 6, alpha: flo
 def fit(texts: DataFrame, known: DataFrame, max_rows: int = MAX_TRAIN_ROWS, shard_rows: int = SHARD_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Indices and weights other than 0, learned from at most ``max_rows`` labelled rows."""
     chosen = known.orderBy(F.xxhash64("doc"), "doc", "label").limit(max_rows)
-    shards = max(1, min(known.count(), max_rows) // shard_rows)
+    shards = max(1, -(-min(known.count(), max_rows) // shard_rows))
     train = texts.join(F.broadcast(chosen), "doc").withColumn("shard", F.pmod(F.xxhash64("doc", F.lit(1)), F.lit(shards)))
 
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.assign(order=mix(frame["doc"].to_numpy(dtype=np.int64).view(np.uint64))).sort_values(["order", "label"])
-        rows = [gram_indices(raw) for raw in byte_views(pa.array(frame["text"], pa.string()))]
+        bias = np.array([1 << BITS])
+        rows = [np.concatenate((np.unique(gram_indices(raw)), bias)).astype(np.int32) for raw in byte_views(pa.array(frame["text"], pa.string()))]
         w = ftrl(rows, frame["label"].to_numpy(dtype=np.float64))
         at = np.flatnonzero(w)
         return pd.DataFrame({"i": at, "w": w[at]})

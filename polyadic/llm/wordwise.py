@@ -14,8 +14,8 @@ from .textarrays import byte_views, span_hashes
 
 #: Texts are handled in slices of about this many bytes; the memory of known words is bounded too.
 SLICE_BYTES = 2_000_000
-SLOTS = 1 << 22
-KNOWN_IDS = 12_000_000
+SLOTS = 1 << 21
+KNOWN_IDS = 6_000_000
 _MASK = np.uint64(SLOTS - 1)
 
 
