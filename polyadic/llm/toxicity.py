@@ -14,7 +14,7 @@ from .textarrays import byte_views, gram_hashes, lowered, mix, span_hashes
 
 BITS = 20
 #: At most this many labelled rows are learned from (the first by a hash of the identifier), in
-#: shards of at most about SHARD_ROWS; the shards' weights are averaged.
+#: shards of SHARD_ROWS at most on average; the shards' weights are averaged.
 MAX_TRAIN_ROWS, SHARD_ROWS = 40_000, 10_000
 #: Words are also seen by their first bytes, so that compounds of one stem are one feature.
 STEMS = (3, 4, 5, 6, 7)
