@@ -425,11 +425,16 @@ def sparse_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparse.mask_difference(a, b).select(F.lit("difference").alias("kind"), "p", "s").union(sparse.mask_intersection(a, b).select(F.lit("intersection"), "p", "s"))
 
 
+def sales_graph(spark: SparkSession, sf_dir: str, rows: str = "true") -> DataFrame:
+    """Edges (src, dst, w) from customers to the suppliers of their items, of all lineitem rows or those that meet a condition."""
+    lines = _read(spark, sf_dir, "lineitem").where(rows).select("l_orderkey", "l_suppkey", "l_quantity")
+    lines = lines.join(_read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    return lines.groupBy((F.col("o_custkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst")).agg(F.sum("l_quantity").alias("w"))
+
+
 def purchases_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges (src, dst, w) from customers to the suppliers of their dearest items."""
-    rows = _read(spark, sf_dir, "lineitem").where("l_quantity >= 49").select("l_orderkey", "l_suppkey", "l_quantity")
-    rows = rows.join(_read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
-    return rows.groupBy((F.col("o_custkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst")).agg(F.sum("l_quantity").alias("w"))
+    """The edges of the rows with a quantity of 49 or more only, as the SQL of the queries over it has them."""
+    return sales_graph(spark, sf_dir, "l_quantity >= 49")
 
 
 _GRAPH = "g AS (SELECT o_custkey * 2 AS src, l_suppkey * 2 + 1 AS dst, sum(l_quantity) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 49 GROUP BY 1, 2)"
@@ -445,6 +450,21 @@ def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.components(purchases_graph(spark, sf_dir))
 
 
+_ALL_SALES = "g AS (SELECT o_custkey * 2 AS src, l_suppkey * 2 + 1 AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"
+
+
+@_query(f"WITH {_ALL_SALES} SELECT id, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM (SELECT src AS id, 1 AS o, 0 AS i FROM g UNION ALL SELECT dst, 0, 1 FROM g) GROUP BY id")
+def graph_degrees_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Degrees over all lineitem rows."""
+    return graph.degrees(sales_graph(spark, sf_dir))
+
+
+@_query()
+def graph_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components over all lineitem rows."""
+    return graph.components(sales_graph(spark, sf_dir))
+
+
 @_query(f"WITH {_NATIONS}, b AS (SELECT DISTINCT least(i, j) AS x, greatest(i, j) AS y FROM a WHERE i <> j AND v > (SELECT avg(v) FROM a)) SELECT p.x AS a, p.y AS b, q.y AS c FROM b p JOIN b q ON p.y = q.x JOIN b r ON r.x = p.x AND r.y = q.y")
 def graph_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = nations(spark, sf_dir)
