@@ -11,7 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style head title template noscript datalist iframe object audio video canvas svg math select".split())
+HIDDEN = frozenset("script style head title template noscript datalist iframe object audio video canvas select".split())
+#: What is not drawn inside svg and math, though text under other elements of theirs is.
+UNDRAWN = frozenset("desc metadata defs symbol clippath mask pattern marker lineargradient radialgradient filter annotation annotation-xml".split())
+#: Elements of svg and math that hold HTML, and tags that end svg and math.
+HOLDERS = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 #: Blocks with a blank line around them, and blocks on lines of their own.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr".split())
 PLAIN = frozenset("html body address article aside details dialog dd div dt fieldset figcaption footer form header hgroup legend li main menu nav option optgroup search section summary caption tr".split())
@@ -29,6 +34,12 @@ CLOSES |= {
     **{t: (frozenset({"thead", "tbody", "tfoot", "caption", "colgroup"}), frozenset({"table"})) for t in ("thead", "tbody", "tfoot")},
     "body": (frozenset({"head"}), frozenset()),
 }
+SECTIONS, CELLS = frozenset("thead tbody tfoot".split()), frozenset("td th caption".split())
+#: Open elements that take nothing but parts of a table.
+CONTEXT = SECTIONS | {"table", "tr", "colgroup"}
+#: The open elements that take a part of a table; other ones within the table are closed first.
+PARTS: dict[str, frozenset[str]] = {t: frozenset({"table"}) for t in SECTIONS | {"caption", "colgroup"}}
+PARTS |= {"tr": SECTIONS | {"table"}, "td": SECTIONS | {"table", "tr"}, "th": SECTIONS | {"table", "tr"}, "col": frozenset({"table", "colgroup"})}
 _INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 #: Cells are padded up to this width; longer ones push their row out instead of widening all rows.
@@ -53,16 +64,68 @@ class _Builder(HTMLParser):
         self.root = Node("#root")
         self.open = [self.root]
         self.counts: dict[str, int] = {}
+        self.foreign = [""]  # svg, math or nothing for each open element
+        self.begun = False
 
     def _pop_to(self, k: int) -> None:
         while len(self.open) > k:
             self.counts[self.open.pop().tag] -= 1
+            self.foreign.pop()
+
+    def _push(self, node: Node) -> None:
+        within = self.foreign[-1]
+        self.foreign.append(node.tag if node.tag in ("svg", "math") else "" if node.tag in HOLDERS else within)
+        self.open.append(node)
+        self.counts[node.tag] = self.counts.get(node.tag, 0) + 1
+
+    def _in_table(self) -> int:
+        """The place of the open table of which only parts are taken now, or 0."""
+        k = len(self.open) - 1
+        if self.open[k].tag not in CONTEXT or not self.counts.get("table") or self.counts.get("template"):
+            return 0
+        while self.open[k].tag in CONTEXT and self.open[k].tag != "table":
+            k -= 1
+        return k if self.open[k].tag == "table" else 0
+
+    def _put(self, child: Node | str) -> None:
+        """Adds to the open element; what is no part of an open table goes before the table."""
+        k = self._in_table()
+        if k and not (isinstance(child, Node) and (child.tag in PARTS or child.tag in ("script", "style", "template"))):
+            self.open[k - 1].children.insert(-1, child)  # an open table is the last of its parent's children
+        else:
+            self.open[-1].children.append(child)
+
+    def _make_room(self, tag: str) -> None:
+        """Closes cells and misplaced elements in front of a part of the open table, and implies its row."""
+        while self.open[-1].tag not in CONTEXT:
+            self._pop_to(len(self.open) - 1)
+        while self.open[-1].tag not in PARTS[tag] and self.open[-1].tag in CONTEXT and self.open[-1].tag != "table":
+            self._pop_to(len(self.open) - 1)
+        if tag in ("td", "th") and self.open[-1].tag != "tr":
+            row = Node("tr")
+            self.open[-1].children.append(row)
+            self._push(row)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if self.counts.get("head") and tag not in ("title", "meta", "link", "base", "style", "script", "noscript", "template", "body"):
+        if self.foreign[-1] and tag in BREAKOUT:
+            while self.foreign[-1]:
+                self._pop_to(len(self.open) - 1)
+        if tag == "head" and self.begun:
+            return
+        self.begun |= tag != "html"
+        part = tag in PARTS and self.counts.get("table") and not self.counts.get("template") and not self.foreign[-1]
+        if part:
+            self._make_room(tag)
+        elif tag == "form" and self._in_table():
+            return
+        elif tag == "table" and self.counts.get("table") and not self.counts.get("template"):
+            k = next(k for k in range(len(self.open) - 1, 0, -1) if self.open[k].tag in CELLS or self.open[k].tag in CONTEXT)
+            if self.open[k].tag in CONTEXT:
+                self.handle_endtag("table")
+        if self.counts.get("head") and not self.counts.get("template") and tag not in ("title", "meta", "link", "base", "style", "script", "noscript", "template", "body"):
             self.handle_endtag("head")
         closes, limits = CLOSES.get(tag, ((), ()))
-        if any(self.counts.get(t) for t in closes):
+        if not part and any(self.counts.get(t) for t in closes):
             for k in range(len(self.open) - 1, 0, -1):
                 if self.open[k].tag in closes:
                     self._pop_to(k)
@@ -71,13 +134,16 @@ class _Builder(HTMLParser):
                 elif self.open[k].tag in limits:
                     break
         node = Node(tag, dict(attrs))
-        self.open[-1].children.append(node)
+        if self.foreign[-1] and tag in UNDRAWN:
+            node.attrs["hidden"] = None
+        self._put(node)
         if tag not in VOID:
-            self.open.append(node)
-            self.counts[tag] = self.counts.get(tag, 0) + 1
+            self._push(node)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # HTML has no self-closing tags: <div/> stays open
+        if (tag in ("svg", "math") or self.counts.get(tag) and len(self.foreign) > 1 and self.foreign[-2]) and self.open[-1].tag == tag:
+            self._pop_to(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
@@ -87,11 +153,17 @@ class _Builder(HTMLParser):
                 if self.open[k].tag == tag:
                     self._pop_to(k)
                     break
-                if self.open[k].tag in ("td", "th", "table") and tag not in ("table", "tr", "thead", "tbody", "tfoot", "body", "html"):
+                if self.open[k].tag in ("td", "th", "table") and tag not in ("table", "tr", "thead", "tbody", "tfoot", "body", "html", "template"):
                     break  # an end tag does not reach out of its cell
 
     def handle_data(self, data: str) -> None:
-        self.open[-1].children.append(data)
+        if data.strip(" \t\n\r\f"):
+            self.begun = True
+            if self.open[-1].tag == "head":
+                self.handle_endtag("head")
+            self._put(data)
+        else:
+            self.open[-1].children.append(data)
 
 
 def parse(html: str) -> Node:
@@ -233,6 +305,8 @@ def render(root: Node, depth: int = 0) -> str:
                 page.indent -= 2
             elif tag == "li":
                 page.marker = ""
+            elif tag == "text":
+                page.words(" ")
             continue
         if not visible(node):
             continue
@@ -261,7 +335,7 @@ def render(root: Node, depth: int = 0) -> str:
                 page.marker = "- "
         elif tag == "pre":
             pre += 1
-        elif tag in ("td", "th"):
+        elif tag in ("td", "th", "text"):  # text is of svg
             page.words(" ")
         if tag == "table" and depth < DEPTH:
             for caption in (c for c in node.children if isinstance(c, Node) and c.tag == "caption" and visible(c)):

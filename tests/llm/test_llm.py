@@ -345,6 +345,49 @@ def test_html(html, text):
     assert text_of(html) == text
 
 
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ("<table><tr><form><td>a</td></form></tr></table>", "a"),
+        ("<table><tbody><td>a</tbody></table>", "a"),
+        ("<table><td>a<th>b</table>c", "a  b\n\nc"),
+        ("<table><tr>note<td>a</table>", "note\n\na"),
+        ("<table><tbody><div>x</div><tr><td>a</table>", "x\n\na"),
+        ("<table><colgroup><b>x</b><col><tr><td>a</table>", "x\n\na"),
+        ("<table><tr><td>a<table><tr><td>b</table>c</table>", "a b c"),
+        ("<table><template><tr><td>no</template><tr><td>a</table>", "a"),
+        ("<head><meta charset=x>shown", "shown"),
+        ("<head><title>t</title> <p>shown", "shown"),
+        ("<p>a<head>b", "ab"),
+        ("<svg><title>no</title><defs><text>no</text></defs><path d=M0/><text>a</text><text>b</text></svg>c", "a b c"),
+        ("<svg><defs/><text>a</text><p>b", "a\n\nb"),
+        ("<math><semantics><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></semantics></math>", "x=1"),
+    ],
+)
+def test_html_misplaced(html, text):
+    from polyadic.llm.html_layout import text_of
+
+    assert text_of(html) == text
+
+
+def test_html_loses_no_text():
+    """Every visible text node is in the output once, however tags are nested."""
+    from polyadic.llm.html_layout import text_of
+
+    rng = random.Random(5)
+    tags = "html head body table table caption colgroup col thead tbody tfoot tr tr td td th form div p b ul li dl dd pre h2 a svg g text math mi foreignobject summary br img".split()
+    for _ in range(3000):
+        words, html = [], []
+        for k in range(rng.randint(1, 30)):
+            if rng.random() < 0.4:
+                words.append(f"word{k}z")
+                html.append(words[-1])
+            else:
+                html.append(rng.choice(("<{}>", "<{}>", "</{}>", "<{}/>")).format(rng.choice(tags)))
+        text = text_of("".join(html))
+        assert all(text.count(w) == 1 for w in words), "".join(html)
+
+
 def test_html_rows(spark):
     from polyadic.llm.html_layout import extract, text_of
 
