@@ -243,6 +243,35 @@ def test_near_duplicates(spark):
     assert near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_audit_is_per_query(monkeypatch):
+    """A graph that finds all of a large group and nothing of small ones is not used."""
+    import pandas as pd
+
+    from polyadic.llm import near_dedup
+
+    rng = np.random.default_rng(1)
+    hot = rng.normal(size=16) + rng.normal(size=(600, 16)) * 0.01
+    small = np.repeat(rng.normal(size=(60, 16)), 2, axis=0) + rng.normal(size=(120, 16)) * 0.01
+    x = np.concatenate([hot, small])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = u @ u.T >= 0.95
+
+    class Forgetful:
+        @classmethod
+        def load(cls, _):
+            return cls()
+
+        def within(self, q, threshold, beam):
+            near = [np.flatnonzero(u @ v >= threshold) for v in q.astype(np.float64)]
+            return [n if len(n) > 100 else n[:0] for n in near]
+
+    monkeypatch.setattr(near_dedup, "Graph", Forgetful)
+    rows = pd.DataFrame({"rep": range(len(x)), "embedding": list(x)})
+    index = pd.DataFrame({"reps": [np.arange(len(x)).tobytes()], "copies": [np.ones(len(x), np.int64).tobytes()], "exact": [u.tobytes()], "graph": [b""]})
+    got = near_dedup._search(0.95)(rows, index).set_index("node")["links"]
+    assert [int(got.get(i, 0)) for i in range(len(x))] == (links.sum(axis=1) - 1).tolist()
+
+
 # 2, 3, 7: classifiers
 
 
