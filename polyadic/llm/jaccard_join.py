@@ -320,7 +320,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10,
     # Keys of two sets or more, of sets that share enough of them; the smallest set of a key is its pivot.
     common = small_side(entries.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key"), "common")
     met = write_scratch(entries.join(common, "key").withColumn("under", (F.col("at") >= F.col("own")).cast("int")).drop("at", "own"), "met")
-    enough = met.groupBy("doc", "under").agg(F.count("*").alias("c"), F.first(F.when(F.col("under") == 0, F.col("need0")).otherwise(F.col("need1"))).alias("need")).where("c >= need")
+    # Of texts with one identifier the least need holds; more candidates than needed lose no link.
+    enough = met.groupBy("doc", "under").agg(F.count("*").alias("c"), F.min(F.when(F.col("under") == 0, F.col("need0")).otherwise(F.col("need1"))).alias("need")).where("c >= need")
     met = met.select("doc", "n", "key", "under").join(small_side(enough.select("doc", "under"), "enough"), ["doc", "under"], "left_semi").drop("under")
     pivots = met.groupBy("key").agg(F.min(F.struct("doc", "n")).alias("pivot"), F.count("*").alias("members")).where("members > 1")
     pivots = small_side(pivots.select("key", F.col("pivot.doc").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "pivots")

@@ -199,6 +199,23 @@ def test_jaccard_odd_rows(spark, odd, nothing):
     assert keep_one_of_similar(nothing).count() == 0
 
 
+def test_jaccard_repeated_identifiers(spark):
+    """A long text's need of shared keys is not asked of a short text with the same identifier."""
+    from polyadic.llm.jaccard_join import jaccard_components
+
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    rows = []
+    for i in range(16):
+        short, long = [word() for _ in range(40)], [word() for _ in range(4000)]
+        texts = [(i, short), (i, long)]
+        rows += texts if i % 2 else texts[::-1]
+        rows += [(100 + i, short[:-1] + [word()]), (200 + i, long[:2400] + [word() for _ in range(1600)])]
+    rows = [(i, " ".join(t)) for i, t in rows]
+    got = jaccard_components(documents(spark, rows), 5, 8, 10).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(rows, 5, 8, 10)
+
+
 def test_pigeonhole_loses_no_pair():
     """Every pair at the threshold shares a key, whatever the sizes and the allocation."""
     from polyadic.llm.jaccard_join import Similarity, keys_of
