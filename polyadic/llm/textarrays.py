@@ -8,8 +8,6 @@ import numpy as np
 import pyarrow as pa
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_POWERS = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
@@ -49,21 +47,19 @@ def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, at least ``n``; kept for the next text."""
-    global _POWERS
-    if len(_POWERS[0]) < n:
-        n = max(n, 2 * len(_POWERS[0]), 1 << 16)
-        _POWERS = tuple(np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, p, np.uint64)))) for p in (_BASE, _INVERSE))
-    return _POWERS
-
-
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of ``values``: differences of prefix sums of a polynomial."""
-    power, inverse = _powers(len(values))
-    sums = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum((values + np.uint64(1)) * power[: len(values)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _BASE)
+    """A 64-bit hash of each span of ``values``; spans are in order and do not overlap.
+
+    Each value is scrambled together with its position in the span before the sum is taken, so that
+    no arrangement of equal values cancels out, as it can in a polynomial modulo 2 ** 64.
+    """
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    low, high = int(starts[0]), int(ends[-1])
+    since = np.arange(low, high, dtype=np.int64) - np.repeat(starts, np.diff(np.append(starts, high)))
+    sums = np.zeros(high - low + 1, dtype=np.uint64)
+    np.cumsum(mix((since.astype(np.uint64) << np.uint64(22)) + values[low:high] + _BASE), out=sums[1:])
+    return mix(sums[ends - low] - sums[starts - low] + (ends - starts).astype(np.uint64) * _BASE)
 
 
 def word_hashes(raw: np.ndarray) -> np.ndarray:

@@ -15,7 +15,7 @@ from .textarrays import byte_views, span_hashes
 #: Texts are handled in slices of about this many bytes; the memory of known words is bounded too.
 SLICE_BYTES = 2_000_000
 SLOTS = 1 << 21
-KNOWN_IDS = 6_000_000
+KNOWN_IDS, KNOWN_POINTS = 6_000_000, 12_000_000
 _MASK = np.uint64(SLOTS - 1)
 
 
@@ -81,6 +81,9 @@ class WordCoder:
         self.hashes = np.zeros(SLOTS, dtype=np.uint64)
         self.at, self.count = np.zeros(SLOTS, dtype=np.int32), np.zeros(SLOTS, dtype=np.int32)
         self.ids, self.used = np.zeros(KNOWN_IDS, dtype=np.uint32), 0
+        #: The known words' code points, end to end, and where each slot's word is among them.
+        self.spelt, self.spelt_used = np.zeros(KNOWN_POINTS, dtype=np.uint32), 0
+        self.spelt_at, self.spelt_count = np.zeros(SLOTS, dtype=np.int32), np.zeros(SLOTS, dtype=np.int32)
 
     def _learn(self, hashes: np.ndarray, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = self.encode(words)
@@ -93,8 +96,22 @@ class WordCoder:
         self.used += total
         slot = (hashes & _MASK).astype(np.int64)
         self.hashes[slot], self.at[slot], self.count[slot] = hashes, at, count
+        lengths = np.fromiter(map(len, words), dtype=np.int32, count=len(words))
+        spelt = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)
+        self.spelt_at[slot], self.spelt_count[slot] = self.spelt_used + np.cumsum(lengths) - lengths, lengths
+        if self.spelt_used + len(spelt) > len(self.spelt):
+            self.spelt = np.concatenate((self.spelt[: self.spelt_used], np.zeros(len(spelt), np.uint32)))
+        self.spelt[self.spelt_used : self.spelt_used + len(spelt)] = spelt
+        self.spelt_used += len(spelt)
         return at, count
 
+    def _known(self, words: np.ndarray, slot: np.ndarray, points: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Which words are those kept in their slots: by hash and length, then by every code point."""
+        same = (self.hashes[slot] == words) & (self.spelt_count[slot] == lengths)
+        move = np.where(same, self.spelt_at[slot] - starts, 0)
+        there = np.minimum(np.arange(len(points)) + np.repeat(move, lengths), len(self.spelt) - 1)
+        return same & np.logical_and.reduceat(self.spelt[there] == points, starts) if len(starts) else same
+
     def _slice(self, views: list[np.ndarray]) -> Iterator[np.ndarray]:
         raw = np.concatenate(views) if views else np.zeros(0, np.uint8)
         text = raw.tobytes().decode("utf-8")
@@ -105,20 +122,23 @@ class WordCoder:
         if not len(points):
             yield from (np.zeros(0, np.uint32) for _ in views)
             return
-        if self.used >= KNOWN_IDS:
+        if self.used >= KNOWN_IDS or self.spelt_used >= KNOWN_POINTS:
             self.hashes[:] = 0
             self.ids, self.used = np.zeros(KNOWN_IDS, dtype=np.uint32), 0
+            self.spelt, self.spelt_used = np.zeros(KNOWN_POINTS, dtype=np.uint32), 0
         starts = self.split(points, edges[:-1][np.diff(edges) > 0])
         ends = np.append(starts[1:], len(points))
         words = span_hashes(points, starts, ends)
         words[words == 0] = 1  # 0 marks a free slot
         slot = (words & _MASK).astype(np.int64)
         at, count = self.at[slot], self.count[slot]
-        missed = np.flatnonzero(self.hashes[slot] != words)
+        missed = np.flatnonzero(~self._known(words, slot, points, starts, ends - starts))
         if len(missed):
-            new, first, which = np.unique(words[missed], return_index=True, return_inverse=True)
-            where = missed[first]
-            new_at, new_count = self._learn(new, [text[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
+            new: dict[str, int] = {}
+            which = [new.setdefault(text[a:b], len(new)) for a, b in zip(starts[missed].tolist(), ends[missed].tolist(), strict=True)]
+            first = np.zeros(len(new), dtype=np.int64)
+            first[which] = missed
+            new_at, new_count = self._learn(words[first], list(new))
             at[missed], count[missed] = new_at[which], new_count[which]
         total = np.zeros(len(count) + 1, np.int64)
         np.cumsum(count, out=total[1:])
