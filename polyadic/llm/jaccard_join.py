@@ -1,16 +1,19 @@
 """Exact Jaccard self-join of shingle sets by universe partition and pigeonhole.
 
 Hashes deal the universe of shingles into segments, as many as a size band allows differences (and a
-few more), so two sets that are similar enough agree in some segment, or differ there by one shingle
-where one-deletion neighbours are indexed too.  Equal segment keys give candidates, which are
-verified on the whole sets.
+few more), so two sets that are similar enough agree in some segments, or differ there by one shingle
+where one-deletion neighbours are indexed too.  Equal segment keys give candidates.  Candidates whose
+parity sketches already show too many differences are ruled out, and the others are verified on the
+words of both texts.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -19,18 +22,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import drop_scratch, few_tasks, small_side, write_scratch
+from .scratch import BROADCAST_ROWS, drop_scratch, small_side, write_scratch
 from .textarrays import byte_views, mix, shingle_set
 
 #: Segments beyond the pigeonhole's need, so that segments without shingles need no keys.
 SPARE = 2
-#: Segments beyond that, where a band allows many differences: linked sets share more keys than
-#: strangers that have a passage in common.
+#: Segments beyond that, where a band allows many differences: so many more keys do linked sets share
+#: than one, unlike strangers that have a passage in common.  At least EXTRA, and a tenth.
 EXTRA = 4
 #: Sets that share a quarter of a set's shingles without linking to it, as the cost model has it.
 STRANGERS = 60
-#: Sets in a block, and shingles in a step, when blocks are compared.
-BLOCK, COLUMNS = 256, 4_096
+#: Sets in a block, when a key's sets are compared block by block, and key rows in a task.
+BLOCK, TASK_ROWS = 256, 2_000
+#: Rounds against pivots go on while one candidate of so many links, and at most so often.
+JOINS, ROUNDS = 2, 6
+#: In the last rounds a set asks for its nearest candidates first: 1, then so many times more each round.
+WIDER = 8
 
 
 @dataclass(frozen=True)
@@ -47,13 +54,21 @@ class Similarity:
     def linked(self, a: int, b: int, common: int) -> bool:
         return self.den * common >= self.num * (a + b - common) > 0
 
+    def largest(self, n: int) -> int:
+        """The largest set that a set of ``n`` can link with."""
+        return n * self.den // self.num
+
 
 @dataclass(frozen=True)
 class Allocation:
-    """How a band's universe is dealt: ``exact`` segments by key, ``near`` ones with one-deletion keys."""
+    """How a band's universe is dealt: ``exact`` segments by key, ``near`` ones with one-deletion keys.
+
+    Linked sets share at least ``need`` keys.
+    """
 
     exact: int
     near: int
+    need: int
 
     @property
     def segments(self) -> int:
@@ -69,10 +84,9 @@ def bands(sim: Similarity, most: int) -> list[int]:
     return lows
 
 
-def _cover(high: int, sim: Similarity) -> int:
-    """Differences that the segments of a band below ``high`` cover together; 0 if it allows none."""
-    most = sim.differences(2 * (high - 1))
-    return most and most + 1 + SPARE + min(EXTRA, most // 4)
+def _extra(most: int) -> int:
+    """Segments beyond what ``most`` differences and SPARE need."""
+    return min(most // 4, max(EXTRA, most // 10))
 
 
 def allocate(low: int, high: int, sim: Similarity) -> Allocation | None:
@@ -81,26 +95,29 @@ def allocate(low: int, high: int, sim: Similarity) -> Allocation | None:
     Cost: keys of a set, and strangers met by chance.  An exact segment covers one difference and a
     near one two.
     """
-    need = _cover(high, sim)
-    if need == 0:
+    most = sim.differences(2 * (high - 1))
+    if most == 0:
         return None
+    cover = most + 1 + SPARE + _extra(most)
     best = None
-    for near in range(0, need // 2 + 1):
-        exact = need - 2 * near
+    for near in range(0, cover // 2 + 1):
+        exact = cover - 2 * near
         load = low / (exact + near)
         cost = exact + near * (1 + load) + STRANGERS * (exact * 0.25**load + near * (1 + load) * 0.25 ** max(load - 1, 0))
         if best is None or cost < best[0]:
-            best = (cost, Allocation(exact, near))
+            left = cover - SPARE - most
+            best = (cost, Allocation(exact, near, -(-left // (2 if near else 1))))
         elif cost > 8 * best[0]:
             break
     return best[1]
 
 
-def segment_keys(shingles: np.ndarray, band: int, plan: Allocation) -> np.ndarray:
+def segment_keys(shingles: np.ndarray, band: int, plan: Allocation, first: int | None = None) -> np.ndarray:
     """Keys of a set under a band's plan: one for each segment, and its one-deletion neighbours.
 
     A segment's key is an order-free sum of its shingles.  Segments of no shingle (of one at most
-    where neighbours are indexed) get a key only if they are more than SPARE covers.
+    where neighbours are indexed) get a key only if they are more than SPARE covers.  With ``first``,
+    only so many segments are used.
     """
     m = plan.segments
     seed = np.uint64(mix(np.array([band * 0x1F123BB5 + 7], dtype=np.uint64))[0])
@@ -114,12 +131,14 @@ def segment_keys(shingles: np.ndarray, band: int, plan: Allocation) -> np.ndarra
     ends = np.cumsum(count)
     sums = prefix[ends] - prefix[ends - count]
     tag = mix(np.arange(m, dtype=np.uint64) * np.uint64(3) + seed)
-    keys = [mix(sums[count > 0] ^ tag[count > 0])]
+    used = np.arange(m) < (m if first is None else first)
+    full = used & (count > 0)
+    keys = [mix(sums[full] ^ tag[full])]
     near = np.arange(m) >= plan.exact
     if plan.near:
         inside = near[segment] & (count[segment] > 1)
         keys.append(mix((sums[segment[inside]] - value[inside]) ^ tag[segment[inside]]))
-    weak = count <= near
+    weak = used & (count <= near)
     if (weak * (1 + near)).sum() > SPARE:
         keys.append(mix(tag[weak] + np.uint64(1)))
     return np.unique(np.concatenate(keys))
@@ -129,19 +148,23 @@ def keys_of(shingles: np.ndarray, sim: Similarity) -> list[tuple[np.ndarray, int
     """Keys of a set under its own band and, where a linked larger set may be there, under the next.
 
     With each the number of keys that a linked set of that band shares at least: SPARE segments may
-    have none, and every difference spoils one segment at most.
+    have none, and every difference spoils one segment at most.  Where all segments are exact, a set
+    uses only the first ones, as many as its own linked sets can differ in (and the reserve): of two
+    linked sets the one that uses fewer still uses enough.
     """
     lows, n = bands(sim, 1 << 40), len(shingles)
     b = int(np.searchsorted(lows, n, side="right")) - 1
     out = []
     for band in (b, b + 1):
         plan = _plans(sim)(band)
-        if plan and (band == b or n * sim.den >= sim.num * lows[band]):
-            partner = min(lows[band + 1] - 1, n * sim.den // sim.num)
-            left = plan.exact + 2 * plan.near - SPARE - sim.differences(n + partner)
-            out.append((segment_keys(shingles, band, plan), max(1, -(-left // (2 if plan.near else 1)))))
-        else:
+        if band > b and (plan is None or n * sim.den < sim.num * lows[band]):
             out.append((np.zeros(0, dtype=np.uint64), 1))
+        elif plan is None:
+            out.append((mix(np.array([shingles.sum(dtype=np.uint64)]) + np.uint64(band)), 1))
+        else:
+            most = sim.differences(n + min(lows[band + 1] - 1, sim.largest(n)))
+            first = None if plan.near else min(plan.exact, most + SPARE + plan.need)
+            out.append((segment_keys(shingles, band, plan, first), plan.need))
     return out
 
 
@@ -151,203 +174,298 @@ def _plans(sim: Similarity):
     return cache(lambda band: allocate(lows[band], lows[band + 1], sim))
 
 
+def parity_sketch(shingles: np.ndarray, sim: Similarity) -> np.ndarray:
+    """Whether each of some buckets (8 to 16 for each possible difference) holds an odd number of shingles.
+
+    Two sketches differ in no more buckets than their sets differ in shingles.
+    """
+    size = 256
+    while size < 8 * sim.differences(2 * len(shingles)):
+        size *= 2
+    at = (mix(shingles + np.uint64(0x632BE59BD9B4E019)) & np.uint64(size - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=size) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def _folded(sketches: list[np.ndarray], words: int) -> np.ndarray:
+    """Sketches of ``words`` words or more, all brought to that size."""
+    out = np.zeros((len(sketches), words), dtype=np.uint64)
+    for row, s in zip(out, sketches, strict=True):
+        row[:] = np.bitwise_xor.reduce(s.reshape(-1, words), axis=0)
+    return out
+
+
+def _distances(n: np.ndarray, sketches: list[np.ndarray], a: np.ndarray, b: np.ndarray, sim: Similarity) -> np.ndarray:
+    """In how many buckets the sketches of pairs of rows (a, b) differ; -1 if they, or the sizes, rule out a link."""
+    keep = np.minimum(n[a], n[b]) * sim.den >= np.maximum(n[a], n[b]) * sim.num
+    words = np.array([len(s) for s in sketches])
+    least = np.minimum(words[a], words[b])
+    most = (n[a] + n[b]) * (sim.den - sim.num) // (sim.den + sim.num)
+    out = np.full(len(a), -1, dtype=np.int64)
+    for w in np.unique(least[keep]).tolist():
+        rows = np.flatnonzero(words >= w)
+        place = np.zeros(len(words), dtype=np.int64)
+        place[rows] = np.arange(len(rows))
+        table = _folded([sketches[i] for i in rows.tolist()], w)
+        pairs = np.flatnonzero(keep & (least == w))
+        step = max(1, 4_000_000 // w)
+        for at in range(0, len(pairs), step):
+            p = pairs[at : at + step]
+            out[p] = np.bitwise_count(table[place[a[p]]] ^ table[place[b[p]]]).sum(axis=1, dtype=np.int64)
+    out[out > most] = -1
+    return out
+
+
+def _nearest(a: np.ndarray, b: np.ndarray, distance: np.ndarray, most: int) -> np.ndarray:
+    """Which pairs are among the ``most`` nearest ones of one of their two rows."""
+    keep = np.zeros(len(a), dtype=bool)
+    for side in (a, b):
+        order = np.lexsort((distance, side))
+        first = np.concatenate(([True], side[order][1:] != side[order][:-1]))
+        since = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+        keep[order[since < most]] = True
+    return keep
+
+
+def words_of(raw: np.ndarray | None) -> list[bytes]:
+    """The lower-cased words of a text."""
+    return [] if raw is None else raw.tobytes().lower().split()
+
+
+def shingles_of(words: list[bytes], n: int) -> set[tuple[bytes, ...]]:
+    """The set itself: distinct ``n``-word shingles, or the whole of fewer words."""
+    n = min(n, len(words))
+    return set(zip(*(words[k:] for k in range(n)), strict=False)) if n else set()
+
+
 def _sketch(docs: DataFrame, n: int, sim: Similarity) -> DataFrame:
-    """(doc, n, s1, s2, keys, own, need0, need1): the set's size, a 128-bit order-free signature, its keys,
-    how many of them are under its own band, and how many a linked set shares under each band."""
+    """(doc, n, s1, s2, keys, own, need0, need1, odd): the set's size, a 128-bit digest of the words, the
+    set's keys, how many of them are under its own band, how many a linked set shares under each band,
+    and the parity sketch."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, keys = [], []
+            rows, keys, signs, odd = [], [], [], []
             for raw in byte_views(batch["text"]):
+                words = words_of(raw)
                 found = shingle_set(raw, n)
                 (mine, need0), (next_, need1) = keys_of(found, sim) if len(found) else ((found, 1), (found, 1))
-                rows.append((len(found), len(mine), need0, need1))
-                signs = (mix(found), mix(found * np.uint64(0xD6E8FEB86659FD93) + np.uint64(11)))
-                keys += [np.array([x.sum(dtype=np.uint64) for x in signs], dtype=np.uint64), mine, next_]
-            sizes = np.array([len(k) for k in keys], dtype=np.int64).reshape(-1, 3)
+                rows.append((len(shingles_of(words, n)), len(mine), need0, need1))
+                signs.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
+                odd.append(parity_sketch(found, sim).tobytes())
+                keys += [mine, next_]
+            sizes = np.array([len(k) for k in keys], dtype=np.int64).reshape(-1, 2).sum(axis=1)
             flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-            ends = np.cumsum(sizes.sum(axis=1))
-            starts = ends - sizes.sum(axis=1)
-            signed = np.ones(len(flat), dtype=bool)
-            signed[starts] = signed[starts + 1] = False
-            offsets = np.concatenate(([0], np.cumsum(sizes[:, 1:].sum(axis=1)))).astype(np.int32)
+            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
             columns = np.array(rows, dtype=np.int64).reshape(-1, 4).T
+            sign = np.frombuffer(b"".join(signs), dtype=np.int64).reshape(-1, 2).T
             yield pa.RecordBatch.from_arrays(
-                [batch["doc"], pa.array(columns[0]), pa.array(flat[starts]), pa.array(flat[starts + 1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[signed])), *map(pa.array, columns[1:])],
-                ["doc", "n", "s1", "s2", "keys", "own", "need0", "need1"],
+                [batch["doc"], pa.array(columns[0]), pa.array(sign[0]), pa.array(sign[1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), *map(pa.array, columns[1:]), pa.array(odd, pa.binary())],
+                ["doc", "n", "s1", "s2", "keys", "own", "need0", "need1", "odd"],
             )
 
-    return docs.mapInArrow(sketch, "doc long, n long, s1 long, s2 long, keys array<long>, own long, need0 long, need1 long")
-
-
-def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(doc, found): the whole sets of the wanted documents, made again from their texts."""
-    wanted = small_side(wanted.distinct(), "wanted")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["doc"], pa.array([shingle_set(raw, n).tobytes() for raw in byte_views(batch["text"])], pa.binary())], ["doc", "found"])
-
-    return write_scratch(docs.join(wanted, "doc", "left_semi").mapInArrow(sets, "doc long, found binary"), "sets")
+    return docs.mapInArrow(sketch, "doc long, n long, s1 long, s2 long, keys array<long>, own long, need0 long, need1 long, odd binary")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, n: int, sim: Similarity) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets."""
-    pairs = small_side(pairs, "pairs")
+    """The pairs (a, b) that link, by the shingles of their whole texts."""
+    wanted = write_scratch(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), "wanted")
+    ids = wanted.count()
+    texts = write_scratch(docs.join(F.broadcast(wanted) if ids <= BROADCAST_ROWS else wanted, "doc", "left_semi"), "texts")
+    drop_scratch(wanted)
+    if texts.count() > ids:  # identifiers that repeat
+        texts, rows = write_scratch(texts.distinct(), "texts"), texts
+        drop_scratch(rows)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch["x"], batch["y"], strict=True):
-                x, y = (np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in (x, y))
-                both = np.sort(np.concatenate((x, y)))
-                keep.append(sim.linked(len(x), len(y), int((both[1:] == both[:-1]).sum())))
+            keep, last, x = [], None, set()
+            for a, one, other in zip(batch["a"].to_pylist(), byte_views(batch["x"]), byte_views(batch["y"]), strict=True):
+                if a != last or not np.array_equal(one, kept):
+                    last, kept, x = a, one, shingles_of(words_of(one), n)
+                y = shingles_of(words_of(other), n)
+                keep.append(sim.linked(len(x), len(y), len(x & y)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    found = _sets_of(docs, pairs.select(F.col("a").alias("doc")).union(pairs.select("b")), n)
-    rows = found.select(F.col("doc").alias("a"), F.col("found").alias("x")).join(pairs, "a").join(found.select(F.col("doc").alias("b"), F.col("found").alias("y")), "b")
-    links = write_scratch(rows.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
-    drop_scratch(found)
+    rows = texts.select(F.col("doc").alias("b"), F.col("text").alias("y")).join(pairs, "b").join(texts.select(F.col("doc").alias("a"), F.col("text").alias("x")), "a")
+    links = write_scratch(rows.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct(), "links")
+    drop_scratch(texts)
     return links
 
 
-def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections between two short lists of sets, by products of 0/1 matrices."""
-    sizes = [len(s) for s in x + y]
-    _, which, count = np.unique(np.concatenate(x + y), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    kept = count[which] > 1
-    owner, which = owner[kept], (np.cumsum(count > 1) - 1)[which[kept]]
-    out = np.zeros((len(x), len(y)), dtype=np.int64)
-    order = np.argsort(which, kind="stable")
-    owner, which = owner[order], which[order]
-    for low in range(0, int(which[-1]) + 1 if len(which) else 0, COLUMNS):
-        a, b = np.searchsorted(which, (low, low + COLUMNS))
-        m = np.zeros((len(sizes), COLUMNS), dtype=np.float32)
-        m[owner[a:b], which[a:b] - low] = 1
-        out += np.rint(m[: len(x)] @ m[len(x) :].T).astype(np.int64)
-    return out
-
+def _not_ruled_out(pairs: DataFrame, odds: DataFrame, sim: Similarity) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches do not rule out."""
 
-def _joined(docs: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], split: int, sim: Similarity) -> list[tuple[int, int]]:
-    """A few links that join what the links between two blocks join (the first ``split`` rows and the rest, or all with all)."""
-    x, y = (sets[:split], sets[split:]) if split else (sets, sets)
-    nx, ny = (np.array([len(s) for s in b]) for b in (x, y))
-    common = _common(x, y)
-    linked = sim.den * common >= sim.num * (nx[:, None] + ny[None, :] - common)
-    linked &= labels[: len(x)][:, None] != labels[split:][None, :]
-    root = {int(v): int(v) for v in labels}
+    def rule(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sketches = [np.frombuffer(s.as_buffer(), dtype=np.uint64) for c in ("x", "y") for s in batch[c]]
+            sizes = np.concatenate((batch["nx"].to_numpy(), batch["ny"].to_numpy()))
+            rows = np.arange(batch.num_rows)
+            yield batch.select(["a", "b"]).filter(pa.array(_distances(sizes, sketches, rows, rows + batch.num_rows, sim) >= 0))
+
+    x = odds.select(F.col("doc").alias("a"), F.col("n").alias("nx"), F.col("odd").alias("x"))
+    y = odds.select(F.col("doc").alias("b"), F.col("n").alias("ny"), F.col("odd").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "nx", "ny", "x", "y").mapInArrow(rule, "a long, b long")
+
+
+def _open(rows: DataFrame, labels: DataFrame | None, seed: int) -> DataFrame:
+    """(key, doc, n, label, members, pivot, pivot_n, pivot_label) of the keys that hold more than one label."""
+    if labels is not None:
+        rows = rows.join(labels.withColumnRenamed("node", "doc"), "doc", "left")
+    label = F.col("doc") if labels is None else F.coalesce("component", "doc")
+    marked = write_scratch(rows.select("key", "doc", "n", label.alias("label")), "marked")
+    order = F.xxhash64("doc", F.lit(seed)).alias("h")
+    mixed = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members"), F.min(F.struct(order, "doc", "n", "label")).alias("p"))
+    mixed = write_scratch(mixed.where("lo < hi").select("key", "members", F.col("p.doc").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.label").alias("pivot_label")), "mixed")
+    out = write_scratch(marked.join(mixed, "key"), "open")
+    drop_scratch(marked, mixed)
+    return out
 
-    def find(v: int) -> int:
-        while root[v] != v:
-            root[v] = v = root[root[v]]
-        return v
 
-    out = []
-    for i, j in np.argwhere(linked):
-        u, v = find(int(labels[i])), find(int(labels[split + j]))
-        if u != v:
-            root[u] = v
-            out.append((int(docs[i]), int(docs[split + j])))
-    return out
+def _pivot_pairs(rows: DataFrame, sim: Similarity) -> DataFrame:
+    """(a, b): each set with the pivot of another label that it shares most keys with."""
+    near_size = F.least("n", "pivot_n") * sim.den >= F.greatest("n", "pivot_n") * sim.num
+    votes = rows.where((F.col("label") != F.col("pivot_label")) & near_size).groupBy("doc", "pivot").agg(F.count("*").alias("votes"))
+    best = votes.groupBy("doc").agg(F.max(F.struct("votes", (-F.col("pivot")).alias("p"))).alias("best"))
+    return best.select((-F.col("best.p")).alias("a"), F.col("doc").alias("b"))
 
 
-def _within_clusters(rows: DataFrame, texts: DataFrame, n: int, sim: Similarity) -> DataFrame:
-    """Links (a, b) between different labels among ``rows`` (doc, n, label, least), enough to join all that link.
+def _other_pairs(rows: DataFrame, odds: DataFrame, sim: Similarity, most: int) -> DataFrame:
+    """(a, b): pairs of sets with different labels and a common key that sketches do not rule out.
 
-    Sets that share keys form clusters.  A cluster is cut into blocks of BLOCK sets in order of size,
-    and every pair of blocks that could link is one small task; pairs are not made as rows.  Small
-    clusters share a task.
+    All such pairs are compared: sets of one key in a task, those of very common keys in pairs of
+    blocks; blocks are by label, so most blocks of a group that is joined already need no comparison.
+    Of the pairs that may link, those among the ``most`` nearest of a set in its task become rows;
+    where that leaves some out, a row (key) says that the key needs another round.
     """
-    count = rows.count()
-    rows = few_tasks(rows, count)
-    clusters = connected_components(rows.select(F.col("doc").alias("u"), F.col("least").alias("v")))
-    members = rows.select("doc", "n", "label").distinct().join(clusters.withColumnRenamed("node", "doc"), "doc")
-    members = few_tasks(write_scratch(members, "members"), count)
-    sizes = members.groupBy("component", "n").agg(F.count("*").alias("c"))
-    upto = Window.partitionBy("component").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    bins = max(1, rows.count() // TASK_ROWS)
+    none = F.lit(-1).cast("long")
+    few = rows.where(F.col("members") <= BLOCK).select("key", F.pmod(F.xxhash64("key"), F.lit(bins)).alias("bin"), none.alias("first"), none.alias("second"), F.lit(0).alias("side"), "doc", "label")
+    many = rows.where(F.col("members") > BLOCK)
+    # Blocks of a very common key: sets in order of label, those of one label by hash.
+    sizes = many.groupBy("key", "label").agg(F.count("*").alias("c"))
+    upto = Window.partitionBy("key").orderBy("label").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("before", F.coalesce(F.sum("c").over(upto), F.lit(0)))
-    # Blocks: by size, and by hash among very many sets of one size.
-    sizes = sizes.select("component", "n", "c", F.expr(f"CAST(before DIV {BLOCK} AS INT)").alias("block0"), F.expr(f"CAST((before + c - 1) DIV {BLOCK} AS INT)").alias("block1"))
-    placed = members.join(sizes, ["component", "n"]).withColumn("block", (F.col("block0") + F.pmod(F.xxhash64("doc"), F.col("block1") - F.col("block0") + 1)).cast("int"))
-    placed = few_tasks(write_scratch(placed.select("doc", "n", "label", "component", "block"), "placed"), count)
-    blocks = placed.groupBy("component", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("label").alias("l0"), F.max("label").alias("l1"))
-    other = blocks.select("component", *(F.col(c).alias(f"o_{c}") for c in ("block", "lo", "hi", "l0", "l1")))
-    meets = (F.col("block") <= F.col("o_block")) & (F.col("hi") * sim.den >= F.col("o_lo") * sim.num) & ((F.col("l0") != F.col("l1")) | (F.col("o_l0") != F.col("o_l1")) | (F.col("l0") != F.col("o_l0")))
-    met = blocks.join(other, "component").where(meets).select("component", "block", "o_block")
-    bins = max(1, placed.count() // 1000)
-    alone = met.groupBy("component").agg(F.max("o_block").alias("most"))
-    met = met.join(alone, "component").withColumn("bin", F.when(F.col("most") == 0, F.pmod(F.xxhash64("component"), F.lit(bins))).otherwise(-1 - F.abs(F.xxhash64("component", "block", "o_block") % F.lit(1 << 40))))
-    sides = met.select("component", "bin", "o_block", F.col("block").alias("first"), F.explode(F.array_distinct(F.array("block", "o_block"))).alias("block"))
-
-    found = _sets_of(texts, placed.select("doc"), n)
-    dealt = found.join(small_side(placed.join(sides, ["component", "block"]), "dealt"), "doc")
+    sizes = sizes.select("key", "label", F.expr(f"before DIV {BLOCK}").alias("block0"), F.expr(f"(before + c - 1) DIV {BLOCK}").alias("block1"))
+    placed = many.join(sizes, ["key", "label"]).withColumn("block", F.col("block0") + F.pmod(F.xxhash64("doc"), F.col("block1") - F.col("block0") + 1))
+    placed = write_scratch(placed.select("key", "doc", "n", "label", "block"), "placed")
+    blocks = placed.groupBy("key", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("label").alias("l0"), F.max("label").alias("l1"))
+    other = blocks.select("key", *(F.col(c).alias(f"o_{c}") for c in ("block", "lo", "hi", "l0", "l1")))
+    sized = (F.col("hi") * sim.den >= F.col("o_lo") * sim.num) & (F.col("o_hi") * sim.den >= F.col("lo") * sim.num)
+    meets = (F.col("block") <= F.col("o_block")) & sized & ((F.col("l0") != F.col("l1")) | (F.col("o_l0") != F.col("o_l1")) | (F.col("l0") != F.col("o_l0")))
+    met = blocks.join(other, "key").where(meets).select("key", "block", "o_block")
+    apart = F.col("block") < F.col("o_block")
+    at = F.array_distinct(F.array(F.struct("block", F.when(apart, 1).otherwise(0).alias("side")), F.struct(F.col("o_block").alias("block"), F.when(apart, 2).otherwise(0).alias("side"))))
+    sides = met.select("key", F.col("block").alias("first"), F.col("o_block").alias("second"), F.explode(at).alias("at")).select("key", "first", "second", "at.block", "at.side")
+    dealt = few.unionByName(placed.join(sides, ["key", "block"]).select("key", F.xxhash64("key").alias("bin"), "first", "second", "side", "doc", "label"))
+    dealt = dealt.join(odds, "doc")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, rows in frame.groupby(["component", "first", "o_block"], sort=False):
-            rows = rows.sort_values(["block", "doc"])
-            split = int((rows["block"] == rows["first"]).sum()) if rows["first"].iloc[0] != rows["o_block"].iloc[0] else 0
-            out += _joined(rows["doc"].to_numpy(), rows["label"].to_numpy(), [np.frombuffer(b, dtype=np.uint64) for b in rows["found"]], split, sim)
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    links = dealt.select("bin", "component", "first", "o_block", "block", "doc", "label", "found").groupBy("bin").applyInPandas(compare, "a long, b long")
-    links = write_scratch(links, "links")
-    drop_scratch(found)
-    return links
+        frame = frame.sort_values(["key", "side"], kind="stable")
+        key, side = frame["key"].to_numpy(), frame["side"].to_numpy()
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        left, right = [], []
+        for at, end in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
+            split = int(np.searchsorted(side[at:end], 2))
+            if 0 < split < end - at:
+                i, j = np.divmod(np.arange(split * (end - at - split)), end - at - split)
+                j += split
+            else:
+                i, j = _triangle(end - at)
+            left.append(at + i)
+            right.append(at + j)
+        a, b = np.concatenate(left), np.concatenate(right)
+        label, doc = frame["label"].to_numpy(), frame["doc"].to_numpy()
+        differ = label[a] != label[b]
+        a, b = a[differ], b[differ]
+        distance = _distances(frame["n"].to_numpy(), [np.frombuffer(x, dtype=np.uint64) for x in frame["odd"]], a, b, sim)
+        may = distance >= 0
+        a, b, distance = a[may], b[may], distance[may]
+        near = _nearest(a, b, distance, most)
+        left_out = np.unique(key[a[~near]])
+        a, b = doc[a[near]], doc[b[near]]
+        pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+        found = pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]}, dtype="Int64")
+        return pd.concat([found, pd.DataFrame({"key": left_out}, dtype="Int64")]).reindex(columns=["a", "b", "key"])
+
+    out = write_scratch(dealt.groupBy("bin", "first", "second").applyInPandas(compare, "a long, b long, key long").distinct(), "compared")
+    drop_scratch(placed)
+    return out
+
+
+@cache
+def _triangle(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
+
+
+def _candidates(full: DataFrame, reps: DataFrame) -> DataFrame:
+    """(key, doc, n): keys that two sets or more have, of sets that could share enough of them."""
+    copies = small_side(full.select("doc", "s1", "s2").join(reps.withColumnRenamed("rep", "doc"), ["doc", "s1", "s2"], "left_anti"), "copies")
+    entries = full.join(copies, ["doc", "s1", "s2"], "left_anti")
+    entries = entries.select("doc", "n", "own", "need0", "need1", F.posexplode("keys").alias("at", "key"))
+    under = (F.col("at") >= F.col("own")).cast("int")
+    entries = entries.select("key", "doc", "n", under.alias("under"), F.when(under == 0, F.col("need0")).otherwise(F.col("need1")).alias("need"))
+    common = write_scratch(entries.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "common")
+    met = entries.join(common, "key")
+    # Linked sets share `need` keys, so all but the need - 1 most common keys of a set are enough to
+    # meet by: the rarest key that both have is among them.  A set with fewer keys than that goes.
+    by_doc = Window.partitionBy("doc", "under")
+    met = met.withColumn("rank", F.row_number().over(by_doc.orderBy("members", "key"))).withColumn("c", F.count("*").over(by_doc)).withColumn("least", F.min("need").over(by_doc))
+    kept = write_scratch(met.where("rank <= c - least + 1").select("key", "doc", "n"), "kept")
+    again = write_scratch(kept.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key"), "again")
+    shared = write_scratch(kept.join(again, "key"), "shared")
+    drop_scratch(copies, common, kept, again)
+    return shared
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (the smallest linked identifier).
 
     Sets are the distinct ``n``-word shingles of the text with A-Z lower-cased; a shorter text is one
-    shingle; null, empty and wordless texts have no shingles and link with nothing.  Two rows link
-    when intersection / union >= num / den, so equal sets do.  Equal sets are joined through one of
-    them, and all other links are found, up to links within what is already one component.  Each row
-    is judged by its own text; rows with one identifier are one node.  A null identifier is its own
-    component.  Columns other than the two named are not read.
+    shingle; null, empty and wordless texts have no shingles and link with nothing; very long texts
+    are taken whole.  Two rows link when intersection / union >= num / den, so equal sets do.  Texts
+    of equal words are joined through one of them, and all other links are found, up to links within
+    what is already one component.  Rows with one identifier are one node, which links when one of
+    their texts does.  A null identifier is its own component.  An empty table gives no rows.
+    Columns other than the two named are not read.
     """
     sim = Similarity(num, den)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     sketches = write_scratch(_sketch(texts, n, sim), "sketches")
     full = sketches.where("n > 0 and doc is not null")
     # Copies fold into their smallest identifier, before anything is paired.
-    reps = write_scratch(full.groupBy("n", "s1", "s2").agg(F.min("doc").alias("rep")), "reps")
-    others = full.select("doc", "n", "s1", "s2").join(reps.select(F.col("rep").alias("doc"), "n", "s1", "s2"), ["doc", "n", "s1", "s2"], "left_anti")
-    entries = full.join(small_side(others, "copies"), ["doc", "n", "s1", "s2"], "left_anti")
-    entries = entries.select("doc", "n", "own", "need0", "need1", F.posexplode("keys").alias("at", "key"))
-
-    # Keys of two sets or more, of sets that share enough of them; the smallest set of a key is its pivot.
-    common = small_side(entries.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key"), "common")
-    met = write_scratch(entries.join(common, "key").withColumn("under", (F.col("at") >= F.col("own")).cast("int")).drop("at", "own"), "met")
-    # Of texts with one identifier the least need holds; more candidates than needed lose no link.
-    enough = met.groupBy("doc", "under").agg(F.count("*").alias("c"), F.min(F.when(F.col("under") == 0, F.col("need0")).otherwise(F.col("need1"))).alias("need")).where("c >= need")
-    met = met.select("doc", "n", "key", "under").join(small_side(enough.select("doc", "under"), "enough"), ["doc", "under"], "left_semi").drop("under")
-    pivots = met.groupBy("key").agg(F.min(F.struct("doc", "n")).alias("pivot"), F.count("*").alias("members")).where("members > 1")
-    pivots = small_side(pivots.select("key", F.col("pivot.doc").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "pivots")
-    shared = write_scratch(met.join(pivots, "key"), "shared")
-    near_size = F.least("n", "pivot_n") * den >= F.greatest("n", "pivot_n") * num
-
-    # First each set against the pivot that it shares most keys with, which joins most of a group.
-    votes = shared.where((F.col("doc") != F.col("pivot")) & near_size).groupBy("doc", "pivot").agg(F.count("*").alias("votes"))
-    first = votes.groupBy("doc").agg(F.max(F.struct("votes", (-F.col("pivot")).alias("p"))).alias("best")).select((-F.col("best.p")).alias("a"), F.col("doc").alias("b"))
-    first = write_scratch(first, "first")
-    links = _verify(first, texts, n, sim)
-    labels = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    labels = small_side(labels, "labels")
-
-    # Then all pairs of what keys still hold together and components do not.
-    marked = shared.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("label"))
-    mixed = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("doc").alias("least")).where("lo < hi").select("key", "least")
-    mixed = small_side(mixed, "mixed")
-    open_rows = write_scratch(marked.join(mixed, "key").select("doc", "n", "label", "least").distinct(), "open")
-    more = _within_clusters(open_rows, texts, n, sim)
-    edges = links.union(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    final = small_side(connected_components(edges).withColumnRenamed("node", "rep"), "final")
-
-    classes = reps.join(final, "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
-    out = sketches.select("doc", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left")
-    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
+    reps = write_scratch(full.groupBy("s1", "s2").agg(F.min("doc").alias("rep")), "reps")
+    shared = _candidates(full, reps)
+    odds = full.select("doc", "n", "odd")
+
+    # First each set against the pivot that it shares most keys with, which joins most of a group,
+    # then against other pivots; then all pairs of what keys hold together and components do not.
+    labels, rest, most = None, shared, 0
+    for turn in count():
+        rows = _open(rest, labels, turn)
+        drop_scratch(rest)
+        if most:
+            compared = _other_pairs(rows, odds, sim, most)
+            pairs = compared.where("a is not null").select("a", "b")
+            rest = write_scratch(rows.join(compared.where("key is not null").select("key"), "key", "left_semi").select("key", "doc", "n"), "rest")
+            drop_scratch(rows)
+        else:
+            rest = rows
+            compared = pairs = write_scratch(_not_ruled_out(_pivot_pairs(rows, sim), odds, sim), "pairs")
+        links = _verify(pairs, texts, n, sim)
+        edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+        before = labels
+        labels = connected_components(edges if before is None else edges.union(before.select("node", "component")))
+        few_join = links.count() * JOINS <= pairs.count()
+        drop_scratch(compared, links, *([] if before is None else [before]))
+        if most and rest.isEmpty():
+            break
+        most = most * WIDER if most else int(few_join or turn == ROUNDS)
+    drop_scratch(rest)
+    classes = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
+    out = sketches.select("doc", "n", "s1", "s2").join(classes, ["s1", "s2"], "left")
+    out = write_scratch(out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id")), "components")
+    drop_scratch(sketches, reps, labels)
+    return out
 
 
 def keep_one_of_similar(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -356,5 +474,8 @@ def keep_one_of_similar(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10
     Rows that repeat an identifier share one decision: they stay if one of them does.  Rows with a
     null identifier stay.
     """
-    found = jaccard_components(docs, n, num, den, id_col, text_col).groupBy(id_col).agg(F.min("component_id").alias("component_id"))
-    return docs.join(small_side(found.where(F.col(id_col) != F.col("component_id")).select(id_col), "dropped"), id_col, "left_anti")
+    found = jaccard_components(docs, n, num, den, id_col, text_col)
+    gone = found.groupBy(id_col).agg(F.min("component_id").alias("least")).where(F.col(id_col) != F.col("least"))
+    dropped = small_side(gone.select(id_col), "dropped")
+    drop_scratch(found)
+    return docs.join(dropped, id_col, "left_anti")

@@ -40,16 +40,9 @@ BROADCAST_ROWS = 400_000
 def small_side(df: DataFrame, label: str) -> DataFrame:
     """``df`` written, and broadcast in joins if it turns out to be small enough."""
     df = write_scratch(df, label)
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
-def few_tasks(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
-    """``df`` of ``rows`` rows in so few partitions that a task has about ``each``; as it is if that is many.
-
-    One partition needs no exchange for what follows, so small frames do not pay for a shuffle's tasks.
-    """
-    parts = -(-rows // each) or 1
-    return df.coalesce(parts) if parts < df.sparkSession.sparkContext.defaultParallelism else df
+    out = F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    out._scratch_path = df._scratch_path
+    return out
 
 
 def drop_scratch(*frames: DataFrame) -> None:

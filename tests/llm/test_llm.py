@@ -38,6 +38,81 @@ def table(spark, name):
     return spark.read.parquet(f"{SF}/{name}.parquet")
 
 
+def thue_morse():
+    """Two words that every polynomial hash modulo 2 ** 64 takes for one another."""
+    bits = [bin(k).count("1") & 1 for k in range(1024)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_word_hashes_tell_thue_morse_words_apart():
+    from polyadic.llm.textarrays import word_hashes
+
+    x, y = thue_morse()
+    found = word_hashes(np.frombuffer(f"{x} {y} {x} ab ba".encode(), np.uint8))
+    assert len(set(found.tolist())) == 4 and found[0] == found[2]
+
+
+def test_coders_tell_thue_morse_words_apart(spark):
+    from tokenizers import Tokenizer
+
+    from polyadic.llm.bpe import byte_bpe
+    from polyadic.llm.packing import pack
+    from polyadic.llm.wfst import encode_decode
+
+    path, rows = public_tokenizers.path("byte_bpe_50k.json"), list(enumerate(thue_morse()))
+    library = Tokenizer.from_file(path)
+    want = {i: zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()) for i, t in rows}
+    assert {r["doc_id"]: r["ids_crc32"] for r in pack(documents(spark, rows), byte_bpe(path), 2048).collect()} == want
+    import sentencepiece
+
+    pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    got = encode_decode(documents(spark, rows), public_tokenizers.path("piece_bpe_32k.model")).collect()
+    assert {r["doc_id"]: r["ids"] for r in got} == {i: pieces.encode(t) for i, t in rows}
+
+
+def test_coder_compares_whole_words(monkeypatch):
+    """Words whose hashes all collide still get their own ids."""
+    from polyadic.llm import wordwise
+
+    monkeypatch.setattr(wordwise, "span_hashes", lambda values, starts, ends: np.full(len(starts), 5, np.uint64))
+    coder = wordwise.WordCoder(wordwise.split_words, lambda words: [[len(w), ord(w[-1])] for w in words])
+    for _ in range(2):
+        got = [x.tolist() for x in coder(pa.array(["ab ac", "zz", None, "ab ac"]))]
+        assert got == [[2, 98, 3, 99], [2, 122], [], [2, 98, 3, 99]]
+
+
+def test_jaccard_thue_morse(spark):
+    from polyadic.llm.jaccard_join import jaccard_components
+
+    rows = list(enumerate(thue_morse()))
+    assert {(r["doc_id"], r["component_id"]) for r in jaccard_components(documents(spark, rows), 3, 9, 10).collect()} == {(0, 0), (1, 1)}
+
+
+def test_parity_sketches_rule_out_no_link():
+    from polyadic.llm.jaccard_join import Similarity, _distances, parity_sketch
+
+    rng = np.random.default_rng(3)
+    sim = Similarity(8, 10)
+    for size in (3, 30, 140, 900):
+        x = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+        sets = [x] + [np.concatenate((x[int(k) :], rng.integers(0, 1 << 63, int(rng.integers(0, k + 1))).astype(np.uint64))) for k in rng.integers(0, size // 3 + 1, 60)]
+        n, sketches = np.array([len(s) for s in sets]), [parity_sketch(s, sim) for s in sets]
+        b = np.arange(1, len(sets))
+        may = _distances(n, sketches, np.zeros(len(b), np.int64), b, sim) >= 0
+        assert not any(sim.linked(len(x), len(sets[k]), len(np.intersect1d(x, sets[k]))) and not may[k - 1] for k in b)
+
+
+def test_components_of_hubs_and_chains(spark, monkeypatch):
+    from polyadic.llm import components
+
+    edges = [(0, k) for k in range(1, 400)] + [(k, k + 1) for k in range(1000, 1100)] + [(7, 7), (0, 5), (5, 0)]
+    frame = spark.createDataFrame(edges, "u long, v long")
+    want = {(k, 0) for k in range(400)} | {(k, 1000) for k in range(1000, 1101)}
+    assert {tuple(r) for r in components.connected_components(frame).collect()} == want
+    monkeypatch.setattr(components, "ONE_TASK", 0)  # the way of large graphs, with hubs broadcast
+    assert {tuple(r) for r in components.connected_components(frame).collect()} == want
+
+
 # 9: exact dedup
 
 
@@ -188,6 +263,26 @@ def test_jaccard_components(spark, n, num, den):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == brute_components(rows, n, num, den)
 
 
+def test_jaccard_hot_group(spark, monkeypatch):
+    """A third of several thousand rows is one group of near copies; common keys are compared in blocks."""
+    from polyadic.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    monkeypatch.setattr(jaccard_join, "ROUNDS", 1)
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    base, rows = [word() for _ in range(60)], []
+    for i in range(3000):
+        text = list(base) if i % 3 == 0 else [word() for _ in range(rng.randrange(5, 60))]
+        for _ in range(rng.choice([0, 1, 1, 1, 2]) if i % 3 == 0 else 0):
+            text[rng.randrange(60)] = word()
+        rows.append((i, " ".join(text)))
+    got = jaccard_join.jaccard_components(documents(spark, rows), 5, 8, 10).collect()
+    hot = [(i, t) for i, t in rows if i % 3 == 0]
+    want = dict((i, c) for i, _, c in brute_components(hot, 5, 8, 10)) | {i: i for i, _ in rows if i % 3}
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
 def test_jaccard_odd_rows(spark, odd, nothing):
     from polyadic.llm.jaccard_join import jaccard_components, keep_one_of_similar
 
