@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import small_side, write_scratch
+from .scratch import drop_scratch, small_side, write_scratch
 from .textarrays import byte_views, lowered
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -71,15 +71,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield filled()
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256.
-
-    Texts are equal when identical after lower-casing A-Z; null counts as empty.  ``keep`` says
-    whether the smallest or the largest identifier of equal texts stays.  Identifiers are integers;
-    a null identifier is never kept before another one.  Rows that repeat an identifier and a text
-    count in group_size, and exactly one row of a group is marked kept.  Columns of ``docs`` other
-    than the two named are not read.
-    """
+def _dedup(docs: DataFrame, id_col: str, text_col: str, keep: str) -> tuple[DataFrame, DataFrame]:
+    """exact_dedup()'s rows, and the written intermediate that they are read from."""
     if keep not in ("smallest", "largest"):
         raise ValueError("keep is 'smallest' or 'largest'")
     sign = 1 if keep == "largest" else -1
@@ -90,30 +83,48 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dealt = dealt.sortWithinPartitions("prefix", "hash", F.translate("text", UPPER, LOWER), F.col("doc").asc_nulls_first())
     runs = write_scratch(dealt.mapInArrow(_runs, _RUNS), "exact-runs")
 
-    # At most the first and the last key of each partition: 2 short rows a task, whatever the data.
+    # The first and the last key of each partition, mostly single runs: short rows, two a task.
     edges = runs.where("edge_text is not null").groupBy("edge_text").agg(F.max("best").alias("all_best"), F.sum("size").alias("all_size"), F.max_by("pid", F.struct("best", "pid")).alias("win_pid"), F.collect_list(F.struct("pid", "run")).alias("at"))
     edges = edges.select("all_best", "all_size", "win_pid", F.explode("at").alias("at")).select("all_best", "all_size", "win_pid", F.col("at.pid").alias("pid"), F.col("at.run").alias("run"))
-    out = runs.drop("edge_text").join(F.broadcast(edges), ["pid", "run"], "left")
-    return out.select(
+    edges = small_side(edges, "exact-edges")
+    out = runs.drop("edge_text").join(edges, ["pid", "run"], "left")
+    out = out.select(
         (F.col("doc") * sign).alias(id_col),
         (F.coalesce("all_best", "best") * sign).alias("keep_id"),
         F.coalesce("all_size", "size").alias("group_size"),
         (F.col("last") & (F.coalesce("win_pid", "pid") == F.col("pid"))).alias("kept"),
         F.col("sha").alias("text_sha256"),
     )
+    return out, runs
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
+    """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256.
+
+    Texts are equal when identical after lower-casing A-Z; null counts as empty, and very long texts
+    are compared whole.  ``keep`` says whether the smallest or the largest identifier of equal texts
+    stays.  Identifiers are integers; a null identifier is never kept before another one.  Rows that
+    repeat an identifier and a text count in group_size, and exactly one row of a group is marked
+    kept.  An empty table gives no rows.  Columns of ``docs`` other than the two named are not read.
+    """
+    return _dedup(docs, id_col, text_col, keep)[0]
 
 
 def keep_unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """The rows of ``docs`` that exact_dedup() keeps, with all their columns.
 
     Of rows that repeat an identifier and a text, one stays; an identifier stays if one of its texts
-    does.  Rows with a null identifier stay.
+    does.  Rows with a null identifier stay.  Null texts count as empty ones, of which one stays.
     """
-    found = exact_dedup(docs, id_col, text_col, keep)
+    found, runs = _dedup(docs, id_col, text_col, keep)
     by_id = found.groupBy(id_col).agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
+    by_id = write_scratch(by_id.where("NOT kept OR rows > 1"), "judged")
+    drop_scratch(runs)
     gone = small_side(by_id.where(~F.col("kept")).select(id_col), "dropped")
     twice = small_side(by_id.where("kept AND rows > 1").select(id_col), "repeated")
+    drop_scratch(by_id)
     left = docs.join(gone, id_col, "left_anti")
+    name = next(c for c in (f"norm{k}" for k in range(len(docs.columns) + 1)) if c not in docs.columns)
     norm = F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER), 256)
-    again = left.join(twice, id_col, "left_semi").withColumn("__norm", norm).dropDuplicates([id_col, "__norm"]).drop("__norm")
+    again = left.join(twice, id_col, "left_semi").withColumn(name, norm).dropDuplicates([id_col, name]).drop(name)
     return left.join(twice, id_col, "left_anti").unionByName(again)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import write_scratch
+from .scratch import drop_scratch, small_side, write_scratch
 from .textarrays import byte_views, lowered, span_hashes, word_bounds
 
 FEATURES = ("words", "word_length", "length_spread", "types", "top_word", "same_neighbour", "capitals", "symbols", "bare_symbols", "symbol_ends", "marks", "digits", "lines", "line_types")
@@ -153,8 +153,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("doc"), F.col(label_col).alias("label"))
+    texts = texts.join(small_side(known.select("doc").distinct(), "labelled"), "doc", "left_semi")  # all that fit() reads
     measured = write_scratch(texts.mapInArrow(_measure, "doc long, " + ", ".join(f"{f} double" for f in FEATURES)), "statistics")
     model = fit(measured.join(known, "doc"), "label", shrinkage)
+    drop_scratch(measured)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
