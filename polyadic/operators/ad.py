@@ -1,4 +1,4 @@
-"""Gradients of tensor expressions, and optimiser steps, as tensor expressions."""
+"""Gradients of tensor expressions, as tensor expressions, and what is done to gradients before a step."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import functions as F
 
+from polyadic.functions.numeric import safe_div
 from polyadic.plans.einsum import einsum, parse_spec
 from polyadic.tensor import Tensor
 
@@ -37,12 +38,12 @@ def einsum_vjp(spec: str, tensors: Sequence[Tensor], gradient: Tensor) -> list[T
 DERIVATIVES = {
     "neg": lambda: F.lit(-1.0),
     "exp": lambda: F.exp("v"),
-    "log": lambda: 1.0 / F.col("v"),
+    "log": lambda: safe_div(F.lit(1.0), F.col("v")),
     "sin": lambda: F.cos("v"),
     "cos": lambda: -F.sin("v"),
-    "sqrt": lambda: 0.5 / F.sqrt("v"),
+    "sqrt": lambda: safe_div(F.lit(0.5), F.sqrt("v")),
     "sqr": lambda: 2.0 * F.col("v"),
-    "recip": lambda: -1.0 / (F.col("v") * F.col("v")),
+    "recip": lambda: safe_div(F.lit(-1.0), F.col("v") * F.col("v")),
     "tanh": lambda: 1.0 - F.tanh("v") * F.tanh("v"),
     "sigmoid": lambda: F.exp(-F.abs("v")) / ((1.0 + F.exp(-F.abs("v"))) * (1.0 + F.exp(-F.abs("v")))),
     "relu": lambda: F.when(F.col("v") > 0, 1.0).otherwise(0.0),
@@ -75,26 +76,6 @@ def reduction_vjp(x: Tensor, axes: Sequence[str], op: str, gradient: Tensor) ->
     return x.with_df(ties.withColumn("v", F.when(F.col("v") == F.col("__b"), F.col("__g") / F.col("__n")).otherwise(0.0)))
 
 
-def sgd(x: Tensor, gradient: Tensor, rate: float, decay: float = 0.0) -> Tensor:
-    """One step of gradient descent with weight decay."""
-    g = gradient.renamed(x.axes).df.withColumnRenamed("v", "__g")
-    both = x.df.join(g, list(x.axes), "full")
-    v = F.coalesce("v", F.lit(0.0))
-    return x.with_df(both.withColumn("v", v - rate * (F.coalesce("__g", F.lit(0.0)) + decay * v)))
-
-
-def adam(x: Tensor, gradient: Tensor, m: Tensor, s: Tensor, step: int, rate: float = 1e-3, beta1: float = 0.9, beta2: float = 0.999, epsilon: float = 1e-8) -> tuple[Tensor, Tensor, Tensor]:
-    """One Adam step: new parameters and both moments."""
-    axes = list(x.axes)
-    both = x.df
-    for name, t in (("g", gradient), ("m", m), ("s", s)):
-        both = both.join(t.renamed(x.axes).df.withColumnRenamed("v", name), axes, "full")
-    both = both.na.fill(0.0, ["v", "g", "m", "s"])
-    both = both.withColumn("m", beta1 * F.col("m") + (1 - beta1) * F.col("g")).withColumn("s", beta2 * F.col("s") + (1 - beta2) * F.col("g") * F.col("g"))
-    new = F.col("v") - rate * (F.col("m") / (1 - beta1**step)) / (F.sqrt(F.col("s") / (1 - beta2**step)) + epsilon)
-    return x.with_df(both.withColumn("v", new)), x.with_df(both.withColumn("v", F.col("m"))), x.with_df(both.withColumn("v", F.col("s")))
-
-
 def clip_by_norm(g: Tensor, limit: float) -> Tensor:
     """The gradient scaled down to a Euclidean norm of ``limit`` at most."""
     size = g.df.agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("__n"))
@@ -104,13 +85,3 @@ def clip_by_norm(g: Tensor, limit: float) -> Tensor:
 def top_k(g: Tensor, k: int) -> Tensor:
     """The k cells of largest modulus; ties by index."""
     return g.with_df(g.df.orderBy(F.abs("v").desc(), *g.axes).limit(k))
-
-
-def rate_at(step: int, base: float, kind: str, total: int = 1, warmup: int = 0, gamma: float = 0.1, every: int = 1) -> float:
-    """Learning rates: constant, step, exponential, linear or cosine, after a linear warm-up."""
-    import math
-
-    if step < warmup:
-        return base * (step + 1) / warmup
-    done = min(1.0, (step - warmup) / max(1, total - warmup))
-    return base * {"constant": 1.0, "step": gamma ** ((step - warmup) // every), "exponential": gamma ** (step - warmup), "linear": 1.0 - done, "cosine": 0.5 * (1 + math.cos(math.pi * done))}[kind]

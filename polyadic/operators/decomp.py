@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from polyadic.iterate import cut
 from polyadic.operators.kernels import mttkrp, nmode_products
+from polyadic.operators.linalg import on_driver
 from polyadic.operators.shape import reshape, unfold
 from polyadic.plans.einsum import einsum
 from polyadic.tensor import Tensor, from_numpy
@@ -95,7 +96,7 @@ def cp_completion(x: Tensor, rank: int, rounds: int = 50, ridge: float = 1e-6, s
 
 def _leading(m: Tensor, rank: int) -> np.ndarray:
     """Leading left singular vectors of an unfolding, through the small Gram matrix of its rows."""
-    g = einsum("ij,kj->ik", m, m).to_numpy()
+    g = on_driver(einsum("ij,kj->ik", m, m))
     values, vectors = np.linalg.eigh(g)
     u = vectors[:, np.argsort(-values)[:rank]]
     return u * np.where(u[np.abs(u).argmax(axis=0), np.arange(u.shape[1])] < 0, -1.0, 1.0)
@@ -121,21 +122,24 @@ def tucker(x: Tensor, ranks: Sequence[int], rounds: int = 0, tolerance: float =
     return Tucker(project().to_numpy(), factors)
 
 
-def tt_svd(x: Tensor, max_ranks: Sequence[int] | None = None, tolerance: float = 1e-10) -> list[np.ndarray]:
+def tt_svd(x: Tensor, max_ranks: Sequence[int] | None = None, tolerance: float = 1e-8) -> list[np.ndarray]:
     """Tensor-train cores [r, n, r'] by successive SVDs; the long side of each unfolding stays distributed.
 
-    At each step singular values above ``tolerance`` times the largest are kept, at least one.
+    At each step singular values above ``tolerance`` times the largest are kept, at least one.  They come
+    from Gram matrices, which square the condition, so a tolerance below 1e-8 is refused.
     """
+    if tolerance < 1e-8:
+        raise ValueError("singular values below 1e-8 of the largest cannot be told from 0")
     spark, shape = x.df.sparkSession, x.shape
     cores, left, rest = [], 1, x
     for k, n in enumerate(shape[:-1]):
         columns = int(np.prod(shape[k + 1 :]))
         m = reshape(rest, ("row", "col"), (left * n, columns))
         m = m.with_df(cut(m.df))
-        values, vectors = np.linalg.eigh(einsum("ij,kj->ik", m, m).to_numpy())
+        values, vectors = np.linalg.eigh(on_driver(einsum("ij,kj->ik", m, m)))
         order = np.argsort(-values)
         s = np.sqrt(np.maximum(values[order], 0))
-        r = max(1, int((s > max(tolerance, 1e-8) * s[0]).sum()))
+        r = max(1, int((s > tolerance * s[0]).sum()))
         r = min(r, max_ranks[k]) if max_ranks else r
         u = vectors[:, order[:r]]
         cores.append(u.reshape(left, n, r))

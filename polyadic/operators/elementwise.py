@@ -12,6 +12,10 @@ from polyadic.tensor import Tensor
 _FILLS = frozenset("exp exp2 log log2 log10 cos acos cosh acosh recip sigmoid softplus hard_sigmoid".split())
 
 
+#: Operations that give other than 0 for two zeros.
+_FILLS_TWO = frozenset("div pow modulo".split())
+
+
 def unary(t: Tensor, name: str, stored_only: bool = False) -> Tensor:
     """Apply a function of UNARY to every cell, or with ``stored_only`` to the cells that have rows."""
     source = t if stored_only or name not in _FILLS else t.dense()
@@ -47,9 +51,12 @@ def _aligned(a: Tensor, b: Tensor) -> tuple[list[str], list[str], tuple[int, ...
 def binary(a: Tensor, b: Tensor, name: str, how: str = "outer") -> Tensor:
     """Combine two tensors by an operation of BINARY; the second one is broadcast to the first.
 
-    ``how`` is "outer" (missing cells are 0, the union of stored cells is kept), "inner" (cells stored
-    in both) or "dense" (every cell).
+    ``how`` is "outer" (missing cells are 0; cells stored in neither are left out where the operation
+    gives 0 for them, and are rows where it does not), "inner" (cells stored in both) or "dense"
+    (every cell).
     """
+    if how == "outer" and name in _FILLS_TWO:
+        how = "dense"
     on, theirs, shape = _aligned(a, b)
     other = b.df.select(*(F.col(y).alias(x) for x, y in zip(on, theirs, strict=True)), F.col("v").alias("__w"))
     full = len(on) == len(a.axes)

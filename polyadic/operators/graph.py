@@ -70,8 +70,8 @@ def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, m
         change = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
         ranks = new.select("id", "rank")
         if change < tolerance:
-            break
-    return ranks
+            return ranks
+    raise RuntimeError(f"no convergence after {max_rounds} rounds: ranks still change by {change:g}")
 
 
 def shortest_paths(edges: DataFrame, source: int) -> DataFrame:

@@ -6,46 +6,26 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from polyadic.iterate import cut
+from polyadic.operators import krylov
 from polyadic.operators.kernels import gram
 from polyadic.plans.einsum import einsum
 from polyadic.tensor import Tensor, from_numpy
 
 
-def _dot(x: Tensor, y: Tensor) -> float:
-    return float(einsum("i,i->", x, y).df.first()[0])
+#: Sides of small matrices that may be gathered on the driver.
+DRIVER_SIDE = 2048
 
 
-def _axpy(alpha: float, x: Tensor, y: Tensor) -> Tensor:
-    both = x.df.withColumn("v", F.col("v") * alpha).unionByName(y.renamed(x.axes).df)
-    return x.with_df(cut(both.groupBy(*x.axes).agg(F.sum("v").alias("v"))))
+def on_driver(t: Tensor) -> np.ndarray:
+    """A small matrix as an array; refuses sides beyond DRIVER_SIDE."""
+    if max(t.shape, default=0) > DRIVER_SIDE:
+        raise ValueError(f"a side of {max(t.shape)} is too large for one node; the limit is {DRIVER_SIDE}")
+    return t.to_numpy()
 
 
 def conjugate_gradient(a: Tensor, b: Tensor, tolerance: float = 1e-10, max_rounds: int = 200, jacobi: bool = False) -> Tensor:
-    """x with a x = b for a symmetric positive definite matrix; stops when the residual's norm is below ``tolerance``."""
-    a = a.with_df(cut(a.df))
-    b = b.renamed(("i",))
-    if jacobi:
-        inverse = a.df.where(F.col(a.axes[0]) == F.col(a.axes[1])).select(F.col(a.axes[0]).alias("i"), (1.0 / F.col("v")).alias("v"))
-        scale = Tensor(cut(inverse), ("i",), b.shape)
-    x = Tensor(b.df.withColumn("v", F.lit(0.0)), ("i",), b.shape)
-    r = b
-
-    def conditioned(r: Tensor) -> Tensor:
-        return einsum("i,i->i", r, scale).renamed(("i",)) if jacobi else r
-
-    z = conditioned(r)
-    p, rz = z, _dot(r, z)
-    for _ in range(max_rounds):
-        if _dot(r, r) ** 0.5 < tolerance:
-            break
-        ap = einsum("ij,j->i", a, p)
-        ap = Tensor(cut(ap.df), ("i",), b.shape)
-        alpha = rz / _dot(p, ap)
-        x, r = _axpy(alpha, p, x), _axpy(-alpha, ap, r)
-        z = conditioned(r)
-        new = _dot(r, z)
-        p, rz = _axpy(new / rz, p, z), new
-    return x
+    """x with a x = b for a symmetric positive definite matrix; raises unless the residual's norm comes below ``tolerance``."""
+    return krylov.cg(a, b, tolerance, max_rounds, krylov.jacobi(a) if jacobi else None).x
 
 
 def power_iteration(a: Tensor, tolerance: float = 1e-10, max_rounds: int = 500) -> tuple[float, Tensor]:
@@ -53,18 +33,20 @@ def power_iteration(a: Tensor, tolerance: float = 1e-10, max_rounds: int = 500)
     a = a.with_df(cut(a.df))
     n = a.shape[0]
     x = Tensor(a.df.sparkSession.range(n).select(F.col("id").alias("i"), (1.0 + F.col("id") / n).alias("v")), ("i",), (n,))
-    x = x.with_df(x.df.withColumn("v", F.col("v") / _dot(x, x) ** 0.5))
+    x = x.with_df(x.df.withColumn("v", F.col("v") / krylov.dot(x, x) ** 0.5))
     value = 0.0
     for _ in range(max_rounds):
         y = einsum("ij,j->i", a, x)
         y = Tensor(cut(y.df), ("i",), (n,))
-        new, size = _dot(x, y), _dot(y, y) ** 0.5
+        new, size = krylov.dot(x, y), krylov.dot(y, y) ** 0.5
         if not size:
             return 0.0, x
         x = y.with_df(y.df.withColumn("v", F.col("v") / size))
         if abs(new - value) <= tolerance * max(1.0, abs(new)):
             break
         value = new
+    else:
+        raise RuntimeError(f"no convergence after {max_rounds} rounds: the eigenvalue is about {new:g}")
     sign = x.df.agg(F.signum(F.max_by("v", F.abs("v")))).first()[0] or 1.0
     return new, x.with_df(x.df.withColumn("v", F.col("v") * sign))
 
@@ -76,7 +58,7 @@ def svd(x: Tensor, rank: int | None = None) -> tuple[Tensor, np.ndarray, np.ndar
     values below about 1e-8 of the largest are lost.  Each vector's largest entry in V is positive.
     """
     i, j = x.axes
-    values, vectors = np.linalg.eigh(gram(x).to_numpy())
+    values, vectors = np.linalg.eigh(on_driver(gram(x)))
     order = np.argsort(-values)[: rank or len(values)]
     s, v = np.sqrt(np.maximum(values[order], 0)), vectors[:, order]
     v = v * np.where(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])] < 0, -1.0, 1.0)
@@ -103,7 +85,7 @@ def tall_qr(x: Tensor) -> tuple[Tensor, np.ndarray]:
     """Q (a frame) and R of a matrix with few, independent columns, by Cholesky of the Gram matrix, twice."""
     spark, r = x.df.sparkSession, np.eye(x.shape[1])
     for _ in range(2):
-        low = np.linalg.cholesky(gram(x).to_numpy())
+        low = np.linalg.cholesky(on_driver(gram(x)))
         r = low.T @ r
         q = einsum("ij,jk->ik", x, from_numpy(spark, np.linalg.inv(low).T, ("j", "k")))
         x = Tensor(cut(q.df), ("i", "j"), x.shape).renamed(("i", "j")) if q.axes == ("i", "j") else Tensor(cut(q.df.select("i", F.col("k").alias("j"), "v")), ("i", "j"), x.shape)
@@ -112,12 +94,10 @@ def tall_qr(x: Tensor) -> tuple[Tensor, np.ndarray]:
 
 def least_squares(a: Tensor, b: Tensor, ridge: float = 0.0) -> np.ndarray:
     """x that minimises |a x - b| for a matrix with few columns, by the normal equations."""
-    normal = gram(a).to_numpy() + ridge * np.eye(a.shape[1])
+    normal = on_driver(gram(a)) + ridge * np.eye(a.shape[1])
     return np.linalg.solve(normal, einsum("ij,i->j", a, b).to_numpy())
 
 
 def small(a: Tensor, what: str) -> np.ndarray:
-    """det, inv, pinv, cholesky, eigvalsh, lu-free solves and the like of a matrix that fits the driver (side 2048 at most)."""
-    if max(a.shape) > 2048:
-        raise ValueError("too large for one node; use the iterative methods")
-    return np.asarray(getattr(np.linalg, what)(a.to_numpy()))
+    """det, inv, pinv, cholesky, eigvalsh and the like of a matrix that fits the driver."""
+    return np.asarray(getattr(np.linalg, what)(on_driver(a)))

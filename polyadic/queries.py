@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyadic.functions.numeric import UNARY
-from polyadic.operators import ad, decomp, elementwise, graph, kernels, linalg, reduce, shape, sparse, windows
+from polyadic.operators import ad, decomp, elementwise, fourier, graph, kernels, krylov, linalg, optim, reduce, shape, sparse, windows
 from polyadic.plans.einsum import einsum
 from polyadic.tensor import Tensor, from_numpy, from_table, positions
 
@@ -485,10 +485,17 @@ def graph_shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.shortest_paths(a.df.select(F.col("i").alias("src"), F.col("j").alias("dst"), F.col("v").alias("w")), 0)
 
 
-@_query()
+def _pagerank_sql(rounds: int = 90) -> str:
+    steps = "".join(f", r{k + 1} AS MATERIALIZED (SELECT e.dst AS id, 0.15 / (SELECT count(*) FROM r{k}) + 0.85 * sum(r.rank / d.n) AS rank FROM r{k} r JOIN e ON e.src = r.id JOIN d ON d.src = r.id GROUP BY 1)" for k in range(rounds))
+    return f"""WITH {_NATIONS}, e AS MATERIALIZED (SELECT i AS src, j AS dst FROM a), d AS MATERIALIZED (SELECT src, count(*) AS n FROM e GROUP BY 1),
+        r0 AS MATERIALIZED (SELECT DISTINCT src AS id, 1.0::DOUBLE / (SELECT count(DISTINCT src) FROM e) AS rank FROM e){steps} SELECT id, round(rank, 8) AS rank FROM r{rounds}"""
+
+
+@_query(_pagerank_sql())
 def graph_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks of nations; each one buys from and sells to others, so every vertex has edges both ways."""
     a = nations(spark, sf_dir)
-    return graph.pagerank(a.df.select(F.col("i").alias("src"), F.col("j").alias("dst"))).withColumn("rank", F.round("rank", 8))
+    return graph.pagerank(a.df.select(F.col("i").alias("src"), F.col("j").alias("dst")), tolerance=1e-12).withColumn("rank", F.round("rank", 8))
 
 
 @_query()
@@ -548,3 +555,106 @@ def ad_max_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = cube(spark, sf_dir)
     ones = elementwise.scalar(reduce.reduce(q, ["y"], "max"), "pow", 0.0)
     return ad.reduction_vjp(q, ["y"], "max", ones).df
+
+
+def _system(spark: SparkSession, sf_dir: str, symmetric: bool) -> tuple[Tensor, Tensor]:
+    """A diagonally heavy matrix from the nations' trade in units of its mean, and the trade's row sums."""
+    a = nations(spark, sf_dir)
+    mean = a.df.agg(F.sum("v") / 625).first()[0]
+    a = a.with_df(a.df.withColumn("v", F.col("v") / mean))
+    both = sparse.add(a, shape.permute(a, ("j", "i")).renamed(("i", "j"))) if symmetric else a
+    heavy = sparse.add(both, from_numpy(spark, 60.0 * __import__("numpy").eye(25), ("i", "j")))
+    return heavy, reduce.reduce(a, ["j"], "sum")
+
+
+_ROW_SUMS = f"WITH {_NATIONS} SELECT i, round(sum(v) / (SELECT sum(v) / 625 FROM a), 4) AS v FROM a GROUP BY i"
+
+
+def _image(a: Tensor, solution: krylov.Solution) -> DataFrame:
+    """What the matrix makes of the solution: the right-hand side again."""
+    return krylov.apply(a, solution.x).df.select("i", F.round("v", 4).alias("v"))
+
+
+@_query(_ROW_SUMS)
+def krylov_bicgstab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = _system(spark, sf_dir, symmetric=False)
+    return _image(a, krylov.bicgstab(a, b, tolerance=1e-7, preconditioner=krylov.jacobi(a)))
+
+
+@_query(_ROW_SUMS)
+def krylov_gmres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = _system(spark, sf_dir, symmetric=False)
+    return _image(a, krylov.gmres(a, b, tolerance=1e-7, restart=10))
+
+
+@_query(_ROW_SUMS)
+def krylov_minres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = _system(spark, sf_dir, symmetric=True)
+    return _image(a, krylov.minres(a, b, tolerance=1e-7))
+
+
+@_query(f"WITH {_FULL} SELECT s, f, CAST(k.range AS BIGINT) AS y, round(sum(v * cos(2 * pi() * k.range * y / 10)), 3) + 0.0 AS re, round(-sum(v * sin(2 * pi() * k.range * y / 10)), 3) + 0.0 AS im FROM d, range(10) k GROUP BY 1, 2, 3 HAVING max(v) > 0 OR min(v) < 0")
+def fourier_fft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spectra of the yearly quantities of each supplier nation and return flag."""
+    re, im = fourier.fft(cube(spark, sf_dir), "y")
+    both = re.df.withColumnRenamed("v", "re").join(im.df.withColumnRenamed("v", "im"), ["s", "f", "y"])
+    return both.select("s", "f", "y", (F.round("re", 3) + 0.0).alias("re"), (F.round("im", 3) + 0.0).alias("im"))
+
+
+@_query("WITH e AS (SELECT vec_id AS e, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS d FROM embeddings) SELECT a.d AS a, b.d AS b, round(corr(a.x::DOUBLE, b.x::DOUBLE), 6) + 0.0 AS v FROM e a JOIN e b USING (e) GROUP BY 1, 2")
+def stat_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlations of the embeddings' components."""
+    return reduce.covariance_matrix(vectors(spark, sf_dir), correlation=True).df.select("a", "b", (F.round("v", 6) + 0.0).alias("v"))
+
+
+@_query(
+    f"""WITH {_PARTS}, n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM part), m AS (SELECT range AS s, coalesce(t, 0) / n AS m FROM n, range((SELECT count(*) FROM supplier)) LEFT JOIN (SELECT s, sum(v) AS t FROM p GROUP BY 1) ON s = range),
+    xy AS (SELECT x.s AS a, y.s AS b, sum(x.v * y.v) AS xy FROM p x JOIN p y USING (p) GROUP BY 1, 2)
+    SELECT CAST(a.s AS BIGINT) AS a, CAST(b.s AS BIGINT) AS b, round((coalesce(xy, 0) - n * a.m * b.m) / (n - 1), 4) + 0.0 AS v FROM n, m a CROSS JOIN m b LEFT JOIN xy ON xy.a = a.s AND xy.b = b.s"""
+)
+def stat_sparse_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Covariances of the suppliers' quantities by part: a sparse matrix, of whose pairs many never meet."""
+    return reduce.covariance_matrix(purchases(spark, sf_dir)).df.select("a", "b", (F.round("v", 4) + 0.0).alias("v"))
+
+
+@_query("SELECT vec_id AS e, generate_subscripts(embedding, 1) - 1 AS d, round(unnest(embedding)::DOUBLE, 4) + 0.0 AS v FROM embeddings")
+def linalg_svd_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U S V' of all singular triplets: the embeddings again."""
+    x = vectors(spark, sf_dir)
+    u, s, v = linalg.svd(x)
+    back = einsum("ek,kd->ed", u, from_numpy(spark, (v * s).T, ("k", "d")))
+    return back.df.toDF("e", "d", "v").select("e", "d", (F.round("v", 4) + 0.0).alias("v"))
+
+
+@_query(f"WITH {_FULL} SELECT s, f, y, round(v, 3) + 0.0 AS v FROM d")
+def decomp_tucker_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Tucker model of full ranks, multiplied out: the cube again."""
+    back = decomp.tucker(cube(spark, sf_dir), (25, 3, 10)).reconstruct()
+    return from_numpy(spark, back, ("s", "f", "y")).dense().df.select("s", "f", "y", (F.round("v", 3) + 0.0).alias("v"))
+
+
+@_query(f"WITH {_FULL} SELECT s, f, y, round(v, 3) + 0.0 AS v FROM d")
+def decomp_tensor_train_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tensor train of the cube, multiplied out: the cube again."""
+    back = decomp.tt_reconstruct(decomp.tt_svd(cube(spark, sf_dir), tolerance=1e-8))
+    return from_numpy(spark, back, ("s", "f", "y")).dense().df.select("s", "f", "y", (F.round("v", 3) + 0.0).alias("v"))
+
+
+@_query(f"WITH {_FULL} SELECT s, f, CAST(sum(abs(v)) AS DOUBLE) AS l1, round(var_samp(v), 3) AS var_samp, round(stddev_samp(v), 4) AS std_samp FROM d GROUP BY 1, 2")
+def reduce_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = cube(spark, sf_dir)
+    out = None
+    for name, op, digits in (("l1", "norm_l1", None), ("var_samp", "var_samp", 3), ("std_samp", "std_samp", 4)):
+        part = reduce.reduce(q.dense(), ["y"], op).df
+        part = part.select("s", "f", (F.col("v") if digits is None else F.round("v", digits)).alias(name))
+        out = part if out is None else out.join(part, ["s", "f"])
+    return out
+
+
+@_query(f"WITH {_NATIONS}, x AS (SELECT i, j, v FROM a) SELECT i, j, round(v - 0.1 * v * 1.9 - 0.1 * ((v - 0.19 * v) * 1.9 + 0.81 * v), 4) AS v FROM x")
+def optim_nesterov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two Nesterov steps of rate 0.1 and momentum 0.9 on half the squared norm of the trade matrix."""
+    x, rule = nations(spark, sf_dir), optim.sgd(0.1, 0.9, nesterov=True)
+    for _ in range(2):
+        x, rule = rule.step(x, x)
+    return x.df.select("i", "j", F.round("v", 4).alias("v"))

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from polyadic.operators import ad, decomp, elementwise, graph, kernels, linalg, reduce, shape, sparse, windows
+from polyadic.operators import ad, decomp, elementwise, graph, kernels, linalg, optim, reduce, shape, sparse, windows
 from polyadic.plans.einsum import contraction_order, einsum, parse_spec
 from polyadic.sources import files
 from polyadic.tensor import Tensor, from_numpy, positions
@@ -179,7 +179,7 @@ def test_gradients(spark):
     (ds,) = ad.einsum_vjp("ij->i", ts[:1], from_numpy(spark, np.array([1.0, 2.0]), ("i",)))
     np.testing.assert_allclose(ds.to_numpy(), [[1, 1, 1], [2, 2, 2]])
     np.testing.assert_allclose(ad.unary_vjp(ts[0], "tanh", ts[0]).to_numpy(), (1 - np.tanh(a) ** 2) * a)
-    np.testing.assert_allclose(ad.sgd(ts[0], ts[0], 0.1).to_numpy(), 0.9 * a)
+    np.testing.assert_allclose(optim.sgd(0.1).step(ts[0], ts[0])[0].to_numpy(), 0.9 * a)
 
 
 def test_files(spark, tmp_path):
