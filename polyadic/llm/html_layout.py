@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style head title template noscript datalist iframe object audio video canvas select".split())
+HIDDEN = frozenset("script style head title template noscript datalist iframe audio video canvas".split())
 #: What is not drawn inside svg and math, though text under other elements of theirs is.
 UNDRAWN = frozenset("desc metadata defs symbol clippath mask pattern marker lineargradient radialgradient filter annotation annotation-xml".split())
 #: Elements of svg and math that hold HTML, and tags that end svg and math.
@@ -40,12 +40,61 @@ CONTEXT = SECTIONS | {"table", "tr", "colgroup"}
 #: The open elements that take a part of a table; other ones within the table are closed first.
 PARTS: dict[str, frozenset[str]] = {t: frozenset({"table"}) for t in SECTIONS | {"caption", "colgroup"}}
 PARTS |= {"tr": SECTIONS | {"table"}, "td": SECTIONS | {"table", "tr"}, "th": SECTIONS | {"table", "tr"}, "col": frozenset({"table", "colgroup"})}
-_INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
-#: Cells are padded up to this width; longer ones push their row out instead of widening all rows.
-PAD = 40
-#: Tables nested deeper than this are rendered as plain blocks.
-DEPTH = 12
+#: HTML's own limits of how far a cell reaches.
+MOST_COLUMNS, MOST_ROWS = 1_000, 65_534
+#: What a declaration may say: not laid out at all, or laid out but not painted (which descendants may undo).
+GONE, UNPAINTED, PAINTED = "gone", "unpainted", "painted"
+_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_SELECTOR = re.compile(r"(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)$")
+
+
+def declared(style: str | None) -> dict[str, str]:
+    """What some CSS declarations say about showing: under "display" and "visibility", the last of each."""
+    out: dict[str, str] = {}
+    for part in (style or "").split(";"):
+        name, _, value = part.partition(":")
+        name, value = name.strip().lower(), value.partition("!")[0].strip().lower()
+        if name == "display" and value:
+            out["display"] = GONE if value == "none" else PAINTED
+        elif name == "content-visibility" and value == "hidden":
+            out["display"] = GONE
+        elif name == "visibility":
+            out["visibility"] = UNPAINTED if value in ("hidden", "collapse") else PAINTED if value == "visible" else ""
+    return out
+
+
+class Sheet:
+    """The page's own style rules about showing, with selectors of one tag, identifier and classes.
+
+    The more specific rule holds, then the later one.  Rules inside @-blocks and other selectors do
+    not count.
+    """
+
+    def __init__(self) -> None:
+        self.rules: list[tuple[tuple[int, int, int, int], str, frozenset[str], frozenset[str], dict[str, str]]] = []
+
+    def add(self, css: str) -> None:
+        css = re.sub(r"/\*.*?(?:\*/|$)", "", css, flags=re.S)
+        css = re.sub(r"@[^{};]*(?:;|\{(?:[^{}]*\{[^{}]*\})*[^{}]*\})", "", css)
+        for selectors, body in _RULE.findall(css):
+            says = declared(body)
+            for selector in selectors.split(",") if says else ():
+                m = _SELECTOR.match(selector.strip())
+                if m and selector.strip():
+                    marks = re.findall(r"[.#][\w-]+", m[2])
+                    ids, classes = (frozenset(x[1:] for x in marks if x[0] == c) for c in "#.")
+                    tag = (m[1] or "*").lower()
+                    self.rules.append(((len(ids), len(classes), int(tag != "*"), len(self.rules)), tag, ids, classes, says))
+
+    def of(self, node: Node) -> dict[str, str]:
+        out = {"display": GONE} if "hidden" in node.attrs else {}
+        if self.rules:
+            mine, name = frozenset((node.attrs.get("class") or "").split()), node.attrs.get("id")
+            for _, tag, ids, classes, says in sorted(self.rules, key=lambda r: r[0]):
+                if tag in ("*", node.tag) and ids <= {name} and classes <= mine:
+                    out |= says
+        return out | declared(node.attrs["style"]) if node.attrs.get("style") else out
 
 
 class Node:
@@ -66,6 +115,7 @@ class _Builder(HTMLParser):
         self.counts: dict[str, int] = {}
         self.foreign = [""]  # svg, math or nothing for each open element
         self.begun = False
+        self.sheet = Sheet()
 
     def _pop_to(self, k: int) -> None:
         while len(self.open) > k:
@@ -157,6 +207,8 @@ class _Builder(HTMLParser):
                     break  # an end tag does not reach out of its cell
 
     def handle_data(self, data: str) -> None:
+        if self.open[-1].tag == "style":
+            self.sheet.add(data)
         if data.strip(" \t\n\r\f"):
             self.begun = True
             if self.open[-1].tag == "head":
@@ -166,21 +218,21 @@ class _Builder(HTMLParser):
             self.open[-1].children.append(data)
 
 
-def parse(html: str) -> Node:
+def parse(html: str) -> tuple[Node, Sheet]:
     builder = _Builder()
     builder.feed(html)
     builder.close()
-    return builder.root
+    return builder.root, builder.sheet
 
 
-def visible(node: Node) -> bool:
-    """Whether an element is shown at all."""
-    if node.tag in HIDDEN or "hidden" in node.attrs:
-        return False
-    if node.tag == "dialog" and "open" not in node.attrs:
-        return False
-    style = node.attrs.get("style")
-    return not (style and _INVISIBLE.search(style))
+def shown(node: Node, sheet: Sheet, painted: bool) -> bool | None:
+    """Whether an element's own text is painted, as its parent's is unless it says otherwise; None if nothing under it is shown."""
+    if node.tag in HIDDEN or node.tag == "dialog" and "open" not in node.attrs:
+        return None
+    says = sheet.of(node)
+    if says.get("display") == GONE:
+        return None
+    return {UNPAINTED: False, PAINTED: True}.get(says.get("visibility", ""), painted)
 
 
 class _Page:
@@ -224,6 +276,9 @@ class _Page:
 
     def kept(self, text: str) -> None:
         first, *rest = text.split("\n")
+        if self.space and self.line:
+            self.line.append(" ")
+        self.space = False
         self.line.append(first)
         for part in rest:
             if not "".join(self.line).strip():
@@ -232,61 +287,72 @@ class _Page:
             self.line.append(part)
 
 
-def _rows(table: Node) -> Iterator[list[Node]]:
-    stack = [iter(table.children)]
+def _rows(table: Node, sheet: Sheet, painted: bool) -> Iterator[list[tuple[Node, bool]]]:
+    """The cells of each row, and whether their own text is painted."""
+    stack = [(iter(table.children), painted)]
     while stack:
-        for child in stack[-1]:
-            if isinstance(child, Node) and visible(child):
-                if child.tag in ("thead", "tbody", "tfoot"):
-                    stack.append(iter(child.children))
-                    break
-                if child.tag == "tr":
-                    yield [c for c in child.children if isinstance(c, Node) and c.tag in ("td", "th") and visible(c)]
+        children, painted = stack[-1]
+        for child in children:
+            own = shown(child, sheet, painted) if isinstance(child, Node) else None
+            if own is not None and child.tag in SECTIONS:
+                stack.append((iter(child.children), own))
+                break
+            if own is not None and child.tag == "tr":
+                cells = [(c, shown(c, sheet, own)) for c in child.children if isinstance(c, Node) and c.tag in ("td", "th")]
+                yield [(c, p) for c, p in cells if p is not None]
         else:
             stack.pop()
 
 
-def _number(value: str | None) -> int:
-    return min(max(int(value), 1), 100) if value and value.strip().isdigit() else 1
-
-
-def _table(table: Node, page: _Page, depth: int) -> None:
-    """Rows as lines, cells of a column under each other."""
-    grid: list[list[str]] = []
-    below: dict[int, int] = {}  # columns that a cell from above still covers
-    for cells in _rows(table):
-        row: list[str] = []
-        for cell in cells:
-            while below.get(len(row), 0):
-                below[len(row)] -= 1
-                row.append("")
-            text = " ".join(render(cell, depth + 1).split("\n"))
-            span, down = _number(cell.attrs.get("colspan")), _number(cell.attrs.get("rowspan")) - 1
-            for k in range(span):
-                if down:
-                    below[len(row)] = down
-                row.append(_SPACES.sub(" ", text).strip() if k == 0 else "")
+def _number(value: str | None, most: int) -> int:
+    return min(max(int(value), 1), most) if value and re.fullmatch(r"\d{1,9}", value.strip()) else 1
+
+
+#: A part of a page being rendered: it asks for the texts of cells and is sent them.
+Work = Generator[tuple["Node", bool], str, str]
+
+
+def _table(table: Node, page: _Page, sheet: Sheet, painted: bool) -> Generator[tuple[Node, bool], str, None]:
+    """Rows of aligned cells; a cell of several lines makes its row as high."""
+    grid: list[dict[int, list[str]]] = []
+    below: dict[int, int] = {}  # columns that a cell from above still covers, and for how many rows
+    for cells in _rows(table, sheet, painted):
+        row: dict[int, list[str]] = {}
+        at, fresh = 0, {}
+        for cell, own in cells:
+            while below.get(at):
+                at += 1
+            row[at] = (yield cell, own).split("\n")
+            span, down = _number(cell.attrs.get("colspan"), MOST_COLUMNS), _number(cell.attrs.get("rowspan"), MOST_ROWS) - 1
+            if down:
+                fresh |= dict.fromkeys(range(at, at + span), down)
+            at += span
+        below = {k: n - 1 for k, n in below.items() if n > 1} | fresh
         grid.append(row)
-    widths: list[int] = []
+    widths: dict[int, int] = {}
     for row in grid:
-        widths += [0] * (len(row) - len(widths))
-        for k, text in enumerate(row):
-            widths[k] = max(widths[k], min(len(text), PAD))
+        for k, lines in row.items():
+            widths[k] = max(widths.get(k, 0), *map(len, lines))
+    order = sorted(widths)
     for row in grid:
-        page.end_line()
-        page.line.append("  ".join(text.ljust(w) for text, w in zip(row, widths, strict=False)))
-        page.end_line()
+        used = [k for k in order if k <= max((k for k, lines in row.items() if any(lines)), default=-1)]
+        for n in range(max(map(len, row.values()), default=1)):
+            page.end_line()
+            page.line.append("  ".join((row[k][n] if k in row and n < len(row[k]) else "").ljust(widths[k]) for k in used))
+            page.end_line()
 
 
-def render(root: Node, depth: int = 0) -> str:
-    """All visible text under a node, without recursion but for tables in tables."""
+def _render(root: Node, sheet: Sheet, painted: bool) -> Work:
+    """All visible text under a node."""
     page = _Page()
-    lists: list[list] = []  # kind and next number of each open list
+    lists: list[list] = []  # kind, next number and step of each open list
     pre = 0
-    stack: list[tuple[bool, Node | str]] = [(True, c) for c in reversed(root.children)]
+    stack: list[tuple[bool, Node | str, bool]] = [(True, c, painted) for c in reversed(root.children)]
     while stack:
-        enter, node = stack.pop()
+        enter, node, painted = stack.pop()
         if isinstance(node, str):
+            if not painted:
+                continue
             if pre:
                 page.kept(node)
             else:
@@ -294,7 +360,7 @@ def render(root: Node, depth: int = 0) -> str:
             continue
         tag = node.tag
         if not enter:
-            if tag == "pre":
+            if tag in ("pre", "textarea"):
                 pre -= 1
             if tag in BLOCKS:
                 page.end_line(blank=tag in SPACED and not (tag in ("ul", "ol") and len(lists) > 1))
@@ -305,10 +371,11 @@ def render(root: Node, depth: int = 0) -> str:
                 page.indent -= 2
             elif tag == "li":
                 page.marker = ""
-            elif tag == "text":
+            elif tag in ("text", "textarea", "select", "button"):
                 page.words(" ")
             continue
-        if not visible(node):
+        painted = shown(node, sheet, painted)
+        if painted is None:
             continue
         if tag == "br":
             if not "".join(page.line).strip():
@@ -316,56 +383,78 @@ def render(root: Node, depth: int = 0) -> str:
             page.end_line()
             continue
         if tag == "img":
-            if node.attrs.get("alt"):
+            if node.attrs.get("alt") and painted:
                 page.words(f" {node.attrs['alt']} ")
             continue
         if tag in BLOCKS:
             page.end_line(blank=tag in SPACED and not (tag in ("ul", "ol") and lists))
         if tag in ("ul", "ol", "menu"):
             page.indent += 2 if not lists else 4
-            start = node.attrs.get("start")
-            lists.append([tag, int(start) if start and re.fullmatch(r"-?\d{1,9}", start.strip()) else 1])
+            start, step = node.attrs.get("start"), -1 if "reversed" in node.attrs else 1
+            first = sum(isinstance(c, Node) and c.tag == "li" for c in node.children) if step < 0 else 1
+            lists.append([tag, int(start) if start and re.fullmatch(r"-?\d{1,9}", start.strip()) else first, step])
         elif tag in ("blockquote", "dd"):
             page.indent += 2
         elif tag == "li" and lists:
             if lists[-1][0] == "ol":
-                page.marker = f"{lists[-1][1]}. "
-                lists[-1][1] += 1
+                value = node.attrs.get("value")
+                if value and re.fullmatch(r"-?\d{1,9}", value.strip()):
+                    lists[-1][1] = int(value)
+                page.marker = f"{lists[-1][1]}. " if painted else ""
+                lists[-1][1] += lists[-1][2]
             else:
-                page.marker = "- "
-        elif tag == "pre":
-            pre += 1
-        elif tag in ("td", "th", "text"):  # text is of svg
+                page.marker = "- " if painted else ""
+        elif tag in ("td", "th", "text", "textarea", "select", "button"):  # text is of svg
             page.words(" ")
-        if tag == "table" and depth < DEPTH:
-            for caption in (c for c in node.children if isinstance(c, Node) and c.tag == "caption" and visible(c)):
-                page.words(render(caption, depth + 1))
-                page.end_line()
-            _table(node, page, depth)
+        if tag in ("pre", "textarea"):
+            pre += 1
+        if tag == "table":
+            captions = ((c, shown(c, sheet, painted)) for c in node.children if isinstance(c, Node) and c.tag == "caption")
+            for caption, own in captions:
+                for line in (yield caption, own).split("\n") if own is not None else ():
+                    page.words(line)
+                    page.end_line()
+            yield from _table(node, page, sheet, painted)
             page.end_line(blank=True)
             loose = [c for c in node.children if isinstance(c, Node) and c.tag not in ("caption", "thead", "tbody", "tfoot", "tr", "colgroup", "col") or isinstance(c, str) and c.strip()]
-            stack += [(True, c) for c in reversed(loose)]
+            stack += [(True, c, painted) for c in reversed(loose)]
             continue
         if tag not in VOID:
-            stack.append((False, node))
-            shown = node.children
+            stack.append((False, node, painted))
+            children = node.children
             if tag == "details" and "open" not in node.attrs:
-                shown = [c for c in shown if isinstance(c, Node) and c.tag == "summary"]
-            stack += [(True, c) for c in reversed(shown)]
+                children = [c for c in children if isinstance(c, Node) and c.tag == "summary"]
+            stack += [(True, c, painted) for c in reversed(children)]
     page.end_line()
     return "\n".join(page.lines)
 
 
+def render(root: Node, sheet: Sheet) -> str:
+    """All visible text of a page; tables in tables take turns on a stack, however deep they are."""
+    working, answer = [_render(root, sheet, True)], None
+    while True:
+        try:
+            node, painted = working[-1].send(answer)
+            working.append(_render(node, sheet, painted))
+            answer = None
+        except StopIteration as end:
+            working.pop()
+            if not working:
+                return end.value
+            answer = end.value
+
+
 def text_of(html: str | None) -> str:
     """The visible text of a page; empty for null and empty pages."""
-    return render(parse(html)) if html else ""
+    return render(*parse(html)) if html else ""
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """One row per row of ``pages``: id, text, n_chars, n_lines.
 
-    Null and empty pages have an empty text.  Rows that repeat an identifier are rendered each.
-    Broken markup never fails.  Other columns are not read.
+    Null and empty pages have an empty text; very long pages are rendered whole, and an empty table
+    gives no rows.  Rows that repeat an identifier are rendered each.  Broken markup never fails.
+    Other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -96,7 +96,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lang_id import identify
 
     found = identify(_table(spark, sf_dir, "documents"), learn=_remainder(3) != 1)
-    return found.select("doc_id", (_remainder(3) == 1).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", (_remainder(3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -10,12 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import drop_scratch, write_scratch
 from .textarrays import byte_views, gram_hashes, lowered, mix, span_hashes
 
 BITS = 20
-#: At most this many labelled rows are learned from (the first by a hash of the identifier), in
-#: shards of SHARD_ROWS at most on average; the shards' weights are averaged.
-MAX_TRAIN_ROWS, SHARD_ROWS = 40_000, 10_000
+#: About this many labelled rows are learned from at most (chosen by a hash), in shards of SHARD_ROWS
+#: rows and SHARD_CHARS characters on average at most; the shards' weights are averaged.
+MAX_TRAIN_ROWS, SHARD_ROWS, SHARD_CHARS = 40_000, 10_000, 60_000_000
 #: Words are also seen by their first bytes, so that compounds of one stem are one feature.
 STEMS = (3, 4, 5, 6, 7)
 
@@ -59,10 +60,22 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 6, alpha: flo
 
 
 def fit(texts: DataFrame, known: DataFrame, max_rows: int = MAX_TRAIN_ROWS, shard_rows: int = SHARD_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and weights other than 0, learned from at most ``max_rows`` labelled rows."""
-    chosen = known.orderBy(F.xxhash64("doc"), "doc", "label").limit(max_rows)
-    shards = max(1, -(-min(known.count(), max_rows) // shard_rows))
-    train = texts.join(F.broadcast(chosen), "doc").withColumn("shard", F.pmod(F.xxhash64("doc", F.lit(1)), F.lit(shards)))
+    """Indices and weights other than 0, learned from about ``max_rows`` labelled rows at most.
+
+    Rows are chosen by a hash of identifier, text and label, and joined back by identifier and text,
+    so a text never meets another text's label, and repeated rows are learned from once.
+    """
+    rows = texts.select("doc", F.xxhash64("text").alias("h"), F.length("text").alias("chars")).join(known.distinct(), "doc").groupBy("doc", "h", "chars", "label").agg(F.count("*").alias("c"))
+    rows = write_scratch(rows, "labelled")
+    n, chars, repeats = rows.agg(F.count("*"), F.coalesce(F.sum("chars"), F.lit(0)), F.coalesce(F.max("c"), F.lit(0))).first()
+    share = min(1.0, max_rows / max(n, 1))
+    chosen = rows.where(F.pmod(F.xxhash64("doc", "h", "label"), F.lit(1 << 30)) < share * (1 << 30)).select("doc", "h", "label")
+    # Few enough texts in a shard for one task, also where they are very long.
+    shards = max(1, -(-int(n * share) // shard_rows), -(-int(chars * share) // SHARD_CHARS))
+    train = texts.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["doc", "h"])
+    if repeats > 1:
+        train = train.groupBy("doc", "h", "label").agg(F.first("text").alias("text"))
+    train = train.select("doc", "text", "label").withColumn("shard", F.pmod(F.xxhash64("doc", F.lit(1)), F.lit(shards)))
 
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.assign(order=mix(frame["doc"].to_numpy(dtype=np.int64).view(np.uint64))).sort_values(["order", "label"])
@@ -74,6 +87,7 @@ def fit(texts: DataFrame, known: DataFrame, max_rows: int = MAX_TRAIN_ROWS, shar
 
     learned = train.groupBy("shard").applyInPandas(learn, "i long, w double")
     averaged = learned.groupBy("i").agg((F.sum("w") / shards).alias("w")).orderBy("i").toPandas()  # 2 ** BITS rows at most
+    drop_scratch(rows)
     return averaged["i"].to_numpy(dtype=np.int64), averaged["w"].to_numpy(dtype=np.float64)
 
 
@@ -82,8 +96,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, learn: Column | None = N
 
     ``learn`` is a condition on ``id_col``: labels of other rows are never read.  Null and empty
     texts get the score of the bias; rows that repeat an identifier are scored each; labels that are
-    null or neither 0 nor 1 are left out; with no labels every score is 0.5.  Columns other than
-    those named are not read.
+    null or neither 0 nor 1 are left out; with no labels every score is 0.5; very long texts are
+    scored whole, and an empty table gives no rows.  Columns other than those named are not read.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     known = labels.where(F.col(label_col).isin(0, 1))

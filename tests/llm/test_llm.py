@@ -411,6 +411,84 @@ def test_language_held_out(spark):
     assert (rows["lang_pred"] == rows["lang"]).mean() > 0.97 and rows["score"].between(0, 1).all()
 
 
+def test_discriminant_equals_dense_densities(spark):
+    """Scores equal log densities by slogdet and solve on the whole matrix of statistics."""
+    from polyadic.llm.quality import FEATURES, quality_scores, statistics_of
+
+    docs, labels = table(spark, "documents"), table(spark, "labels")
+    got = {r["doc_id"]: r["score"] for r in quality_scores(docs, labels, shrinkage=0.1).collect()}
+    both = docs.join(labels.where("quality in (0, 1)"), "doc_id").collect()
+    x = np.array([statistics_of(np.frombuffer((r["text"] or "").encode(), np.uint8)) for r in both])
+    y = np.array([r["quality"] for r in both])
+    pooled, density = np.cov(x.T, bias=True), []
+    every = docs.collect()
+    all_x = np.array([statistics_of(np.frombuffer((r["text"] or "").encode(), np.uint8)) for r in every])
+    for c in (0, 1):
+        own = np.cov(x[y == c].T, bias=True) if (y == c).sum() > len(FEATURES) else pooled
+        s = 0.9 * own + 0.1 * np.diag(np.diag(pooled)) + 0.01 * np.eye(len(FEATURES))
+        d = all_x - x[y == c].mean(axis=0)
+        density.append(-0.5 * np.einsum("ij,ij->i", d, np.linalg.solve(s, d.T).T) - 0.5 * np.linalg.slogdet(s)[1])
+    odds = density[1] - density[0] + np.log(((y == 1).sum() + 1) / ((y == 0).sum() + 1))
+    np.testing.assert_allclose([got[r["doc_id"]] for r in every], 1 / (1 + np.exp(-np.clip(odds, -60, 60))), atol=1e-6)
+
+
+def test_ftrl_equals_a_plain_one():
+    """Per-coordinate rates and L1 sparsity, one weight at a time in a dictionary."""
+    from polyadic.llm.toxicity import ftrl
+
+    rng = random.Random(2)
+    rows = [sorted(rng.sample(range(40), rng.randint(1, 9))) for _ in range(120)]
+    labels = [int(3 in r or 5 in r) for r in rows]
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= 0.5 else -(z[i] - (0.5 if z[i] > 0 else -0.5)) / ((1.0 + n[i] ** 0.5) / 0.8 + 0.1)
+
+    for _ in range(3):
+        for row, y in zip(rows, labels, strict=True):
+            w = {i: weight(i) for i in row}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - y
+            for i in row:
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / 0.8 * w[i]
+                n[i] += g * g
+    got = ftrl([np.array(r) for r in rows], np.array(labels, float), epochs=3, alpha=0.8, beta=1.0, l1=0.5, l2=0.1)
+    np.testing.assert_allclose(got[:40], [weight(i) for i in range(40)], atol=1e-12)
+
+
+def test_language_equals_plain_compression(spark):
+    """Predictions equal direct zstandard sizes with the same dictionaries; narrow margins are rejected."""
+    import zstandard
+
+    from polyadic.llm.lang_id import BLOCK_BYTES, fit, identify
+
+    docs = table(spark, "documents")
+    models, _ = fit(docs, None, "doc_id", "text", "lang", 400, 96_000)
+    assert all(0 < len(m) <= 96_000 for m in models.values())
+    coders = {lang: zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(m, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False) for lang, m in models.items()}
+    got = {r["doc_id"]: r for r in identify(docs).collect()}
+    for r in docs.collect():
+        raw = (r["text"] or "").lower().encode()
+        sizes = {lang: sum(len(c.compress(raw[k : k + BLOCK_BYTES])) for k in range(0, len(raw), BLOCK_BYTES)) for lang, c in coders.items()}
+        mine = got[r["doc_id"]]
+        if mine["lang_pred"] == "und":
+            assert not any(c.isalpha() for c in r["text"] or "") and mine["rejected"]
+        else:
+            assert abs(sizes[mine["lang_pred"]] - min(sizes.values())) <= 0
+    strict = identify(docs, min_margin=1.1).collect()
+    assert all(r["rejected"] for r in strict) and not all(r["rejected"] for r in got.values())
+
+
+def test_toxicity_with_repeated_identifiers(spark):
+    """A text never meets another text's label, and a thousand equal rows count once."""
+    from polyadic.llm.toxicity import fit
+
+    texts = spark.createDataFrame([(1, f"bad{k % 3}") for k in range(1000)] + [(k, "good words") for k in range(2, 60)], "doc long, text string")
+    known = spark.createDataFrame([(1, 1)] + [(k, 0) for k in range(2, 60)], "doc long, label int")
+    once = spark.createDataFrame([(1, f"bad{k}") for k in range(3)] + [(k, "good words") for k in range(2, 60)], "doc long, text string")
+    for a, b in zip(fit(texts, known), fit(once, known), strict=True):
+        np.testing.assert_array_equal(a, b)
+
+
 def test_classifiers_on_odd_rows(spark, odd, nothing):
     from polyadic.llm.lang_id import identify
     from polyadic.llm.quality import keep_good, quality_scores
@@ -426,6 +504,12 @@ def test_classifiers_on_odd_rows(spark, odd, nothing):
         assert all(r["score"] == 0.5 for r in f(df, none).collect())
         assert f(nothing, labels).count() == 0
     assert keep_good(df, labels).columns == drop_toxic(df, labels).columns == df.columns
+    clashing = df.withColumnsRenamed({"lang": "score", "source": "predicted", "sha": "component_id", "rank": "n"})
+    from polyadic.llm.exact_dedup import keep_unique
+    from polyadic.llm.jaccard_join import keep_one_of_similar
+
+    for stage in (lambda d: keep_good(d, labels), lambda d: drop_toxic(d, labels), keep_unique, keep_one_of_similar):
+        assert stage(clashing).columns == clashing.columns and stage(clashing).count() <= len(rows) and stage(nothing).count() == 0
     got = {r["doc_id"]: r["lang_pred"] for r in identify(df).collect()}
     assert got[1] == got[2] == got[3] == "und" and got[4] == "en"
     assert identify(nothing).count() == 0
@@ -478,6 +562,18 @@ def test_transducer_equals_the_library(spark, odd, nothing):
         ("<pre>a\n  b\n\nc</pre>", "a\n  b\n\nc"),
         ("<title>t</title><body>b</i></div>", "b"),
         ("<p>a</p></p><span>b</span>", "a\n\nb"),
+        ("<table><tr><td><ul><li>a<li>b</ul><td>x<tr><td>c<td><pre>y\n z</pre></table>", "- a  x\n- b\nc    y\n      z"),
+        ("<select><option>a<option>b</select>", "a\nb"),
+        ("<object>a</object> <object hidden>b</object>", "a"),
+        ("Go<textarea>typed</textarea>", "Go typed"),
+        ("<div style='visibility:hidden'>a<p style='visibility: visible'>b</p>c</div>d", "b\n\nd"),
+        ("<p style='content-visibility:hidden'>a</p><p style='font:display: none'>b", "b"),
+        ("<style>.h, p#x {display:none} @media print {i {display:none}} b{visibility:hidden}</style><p class='k h'>a<p id=x>b<p><i>c</i><b>d</b>", "c"),
+        ("<style>.h{display:none}</style><p class=h style='display:block'>a", "a"),
+        ("<ol reversed><li>x<li value=7>y<li>z</ol>", "3. x\n7. y\n6. z"),
+        ("<table><tr><td>" + "w" * 70 + "<td>a<tr><td>x<td>b</table>", "w" * 70 + "  a\nx" + " " * 71 + "b"),
+        ("<table><tr><td colspan=200>a<td>b<tr><td colspan=0>c</table>", "a  b\nc"),
+        ("<table><tr><td>" * 1500 + "deep", "deep"),
     ],
 )
 def test_html(html, text):
@@ -495,7 +591,7 @@ def test_html(html, text):
         ("<table><tr>note<td>a</table>", "note\n\na"),
         ("<table><tbody><div>x</div><tr><td>a</table>", "x\n\na"),
         ("<table><colgroup><b>x</b><col><tr><td>a</table>", "x\n\na"),
-        ("<table><tr><td>a<table><tr><td>b</table>c</table>", "a b c"),
+        ("<table><tr><td>a<table><tr><td>b</table>c</table>", "a\nb\nc"),  # a cell keeps its lines
         ("<table><template><tr><td>no</template><tr><td>a</table>", "a"),
         ("<head><meta charset=x>shown", "shown"),
         ("<head><title>t</title> <p>shown", "shown"),
