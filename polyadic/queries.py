@@ -425,29 +425,27 @@ def sparse_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparse.mask_difference(a, b).select(F.lit("difference").alias("kind"), "p", "s").union(sparse.mask_intersection(a, b).select(F.lit("intersection"), "p", "s"))
 
 
-def sales_graph(spark: SparkSession, sf_dir: str, rows: str = "true") -> DataFrame:
-    """Edges (src, dst, w) from customers to the suppliers of their items, of all lineitem rows or those that meet a condition."""
-    lines = _read(spark, sf_dir, "lineitem").where(rows).select("l_orderkey", "l_suppkey", "l_quantity")
+def sales_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges (src, dst, w) from customers to the suppliers of their items, of all lineitem rows."""
+    lines = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
     lines = lines.join(_read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
     return lines.groupBy((F.col("o_custkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst")).agg(F.sum("l_quantity").alias("w"))
 
 
-def purchases_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The edges of the rows with a quantity of 49 or more only, as the SQL of the queries over it has them."""
-    return sales_graph(spark, sf_dir, "l_quantity >= 49")
-
-
-_GRAPH = "g AS (SELECT o_custkey * 2 AS src, l_suppkey * 2 + 1 AS dst, sum(l_quantity) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 49 GROUP BY 1, 2)"
+_GRAPH = "g AS (SELECT o_custkey * 2 AS src, l_suppkey * 2 + 1 AS dst, sum(l_quantity) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"
 
 
 @_query(f"WITH {_GRAPH} SELECT id, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM (SELECT src AS id, 1 AS o, 0 AS i FROM g UNION ALL SELECT dst, 0, 1 FROM g) GROUP BY id")
 def graph_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.degrees(purchases_graph(spark, sf_dir))
+    return graph.degrees(sales_graph(spark, sf_dir))
+
 
+_COMPONENTS = f"WITH RECURSIVE {_GRAPH}, b AS (SELECT src, dst FROM g UNION SELECT dst, src FROM g), c(id, r) AS (SELECT src, src FROM b UNION SELECT b.dst, c.r FROM c JOIN b ON b.src = c.id WHERE c.r < b.dst) SELECT id, min(r) AS component FROM c GROUP BY id"
 
-@_query(f"WITH RECURSIVE {_GRAPH}, b AS (SELECT src, dst FROM g UNION SELECT dst, src FROM g), c(id, r) AS (SELECT src, src FROM b UNION SELECT b.dst, c.r FROM c JOIN b ON b.src = c.id WHERE c.r < b.dst) SELECT id, min(r) AS component FROM c GROUP BY id")
+
+@_query(_COMPONENTS)
 def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.components(purchases_graph(spark, sf_dir))
+    return graph.components(sales_graph(spark, sf_dir))
 
 
 _ALL_SALES = "g AS (SELECT o_custkey * 2 AS src, l_suppkey * 2 + 1 AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"
@@ -459,7 +457,7 @@ def graph_degrees_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.degrees(sales_graph(spark, sf_dir))
 
 
-@_query()
+@_query(_COMPONENTS)
 def graph_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components over all lineitem rows."""
     return graph.components(sales_graph(spark, sf_dir))
