@@ -1,19 +1,31 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The normaliser, the pieces and the byte fallback are compiled into one machine; composed with an
-input it is a lattice, whose shortest path in the tropical semiring gives the pieces.  A unigram
-model's arcs weigh minus their scores.  A BPE model's arcs weigh nothing, and two pieces may follow
-each other only if merging would not have joined across their boundary: of such paths there is
-exactly one, the result of the merges (compare Berglund and van der Merwe, 2023).
+A model is compiled into three machines, which are composed with each input arc by arc:
+
+* ``Normaliser`` reads the text and writes normalised characters: rules of the character map by the
+  longest match, user-defined pieces as they are, spaces as the space sign, with a leading one, and
+  squeezed where the model says so.
+* ``Lexicon`` reads normalised characters and writes ids: a trie of the pieces whose closing arcs lead
+  back to its root, and at the root one arc for every other character, which writes its bytes or
+  the unknown id.
+* ``Boundary``, for BPE only, reads pieces and lets two follow each other only if merging would not
+  have joined across their boundary.  Of the paths it accepts there is exactly one, the result of the
+  merges (compare Berglund and van der Merwe, 2023), so its and the lexicon's arcs weigh nothing.
+
+A unigram model's arcs weigh minus their scores.  The ids are those of the shortest path in the
+tropical semiring, whose sums are kept in single precision from a text's start, as the library keeps
+them: it is their rounding that decides between paths of the same pieces in another order.  Of paths
+still equal, the one whose last piece starts first is taken.
 """
 
 from __future__ import annotations
 
 import codecs
+import ctypes
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -26,6 +38,9 @@ from .wordwise import WordCoder
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: Fixed values of the library: what an unknown character costs beyond the worst piece, and the bonus
+#: of a user-defined piece for each byte after its first.
+UNKNOWN_PENALTY, USER_BONUS = 10.0, 0.1
 codecs.register_error("each-byte", lambda e: ("�", e.start + 1))
 
 
@@ -52,62 +67,92 @@ def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield key >> 3, value
 
 
-class Transducer:
-    """A compiled model: ``encode`` and ``decode`` are its two directions."""
+def _trie(entries: dict) -> dict:
+    """Nested states by character; under "" the value of the entry that ends there."""
+    root: dict = {}
+    for key, value in entries.items():
+        node = root
+        for c in key:
+            node = node.setdefault(c, {})
+        node[""] = value
+    return root
 
-    def __init__(self, model: bytes):
-        self.pieces: list[str] = []
-        self.scores: list[float] = []
-        self.kinds: list[int] = []
-        kind, self.byte_fallback, rules = UNIGRAM, False, {}
-        for number, value in _fields(model):
-            if number == 1:
-                piece = dict(_fields(value))
-                self.pieces.append(piece[1].decode())
-                self.scores.append(struct.unpack("<f", piece[2])[0] if 2 in piece else 0.0)
-                self.kinds.append(piece.get(3, NORMAL))
-            elif number == 2:
-                trainer = dict(_fields(value))
-                kind, self.byte_fallback = trainer.get(3, UNIGRAM), bool(trainer.get(35, 0))
-            elif number == 3:
-                rules = dict(_fields(value))
-        if kind not in (UNIGRAM, BPE):
-            raise ValueError("only unigram and BPE models can be compiled")
-        if rules.get(2):
-            raise ValueError("models with a character map are not supported")
-        if rules.get(4, 1):
-            raise ValueError("models that remove extra spaces are not supported")
-        self.prefix = bool(rules.get(3, 1))
-        self.merges = kind == BPE
-        self.unknown = self.kinds.index(UNKNOWN)
-        self.bytes = {int(p[1:-1], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == BYTE}
-        self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k in (NORMAL, USER)}
-        if any(SPACE in p.lstrip(SPACE) for p in self.ids):
-            raise ValueError("pieces with a space inside are not supported")
-        self.chars = {c for p in self.ids for c in p}
-        self.floor = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10.0
-        # Rank: the order in which merges are done; 0 for what needs none.
-        self.rank = {p: -self.scores[i] + 1 for p, i in self.ids.items() if len(p) > 1}
-        self.halves: dict[str, tuple[str, str]] = {}
-        if self.merges:
-            self._derive()
-        #: The lexicon's trie: by character the next state; under "" the piece that ends there.
-        self.trie: dict = {}
-        for p in self.ids:
-            if not self.merges or len(p) == 1 or p in self.halves:
-                node = self.trie
-                for c in p:
-                    node = node.setdefault(c, {})
-                node[""] = p
-        self._meets: dict[tuple[str, str], bool] = {}
-        self.shown = [self._bytes_of(i) for i in range(len(self.pieces))]
 
-    def _derive(self) -> None:
-        """The last merge of each piece that merging its own characters ends with."""
-        for p in self.rank:
+def _longest(root: dict, text: str, at: int) -> tuple[int, str] | None:
+    """Where the longest entry of ``text`` from ``at`` ends, and its value."""
+    found, node = None, root
+    while at < len(text) and (node := node.get(text[at])) is not None:
+        at += 1
+        if "" in node:
+            found = (at, node[""])
+    return found
+
+
+@cache
+def character_map(blob: bytes) -> dict[str, str]:
+    """Replacements by what they replace, read off a model's double-array trie of UTF-8 bytes."""
+    size = int.from_bytes(blob[:4], "little")
+    units = np.frombuffer(blob[4 : 4 + size], dtype="<u4").astype(np.int64)
+    values = blob[4 + size :]
+    labels = np.arange(1, 256)
+    out, todo = {}, [(0, b"")]
+    while todo:
+        at, key = todo.pop()
+        unit = int(units[at])
+        base = at ^ ((unit >> 10) << ((unit & 512) >> 6))
+        if key and unit >> 8 & 1:
+            start = int(units[base]) & 0x7FFFFFFF
+            out[key.decode()] = values[start : values.index(0, start)].decode()
+        to = base ^ labels
+        inside = to < len(units)
+        inside[inside] &= (units[to[inside]] & 0x800000FF) == labels[inside]
+        todo += [(int(t), key + bytes([c])) for t, c in zip(to[inside], labels[inside].tolist(), strict=True)]
+    return out
+
+
+class Normaliser:
+    """The machine from texts to normalised characters."""
+
+    def __init__(self, rules: dict[str, str], users: list[str], prefix: bool, squeeze: bool):
+        self.rules, self.users = _trie(rules), _trie({u: u for u in users})
+        self.prefix, self.squeeze = prefix, squeeze
+        #: Each arc then reads one character and writes one.
+        self.plain = not rules and not squeeze
+
+    def __call__(self, text: str) -> str:
+        if self.plain:
+            return (SPACE if self.prefix and text else "") + text.replace(" ", SPACE)
+        out: list[str] = []
+        # Space signs are held back until something else is written, as trailing ones are not kept.
+        held = 1 if self.prefix and text else 0
+        gap, at = True, 0
+        while at < len(text):
+            at, written = _longest(self.users, text, at) or _longest(self.rules, text, at) or (at + 1, text[at])
+            if self.squeeze:
+                written = written.lstrip(" ") if gap else written
+                gap = written.endswith(" ") if written else gap
+            shown = written.replace(" ", SPACE)
+            kept = shown.rstrip(SPACE)
+            if kept:
+                out.append(SPACE * held + kept)
+                held = 0
+            held += len(shown) - len(kept)
+        return "".join(out) + ("" if self.squeeze else SPACE * held)
+
+
+class Boundary:
+    """The machine over pieces of a BPE model: which may follow which."""
+
+    def __init__(self, rank: dict[str, float]):
+        #: The order in which merges are done, by what they make.
+        self.rank = rank
+        #: The last merge of each piece that merging its own characters ends with.
+        self.halves: dict[str, tuple[str, str]] = {}
+        self.known: dict[tuple[str, str], bool] = {}
+        for p in rank:
             parts, last = list(p), None
             while len(parts) > 1:
-                found = [(self.rank[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self.rank]
+                found = [(rank[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in rank]
                 if not found:
                     break
                 k = min(found)[1]
@@ -116,14 +161,14 @@ class Transducer:
             if len(parts) == 1:
                 self.halves[p] = last
 
-    def _follows(self, a: str, b: str) -> bool:
+    def __call__(self, a: str, b: str) -> bool:
         """Whether merging leaves a boundary between pieces ``a`` and ``b``.
 
         Undo the later of the merges at the boundary again and again: whatever stood there until then
         must not have been joined before.  Among equal merges the left one is first.
         """
         key = (a, b)
-        known = self._meets.get(key)
+        known = self.known.get(key)
         if known is None:
             rank, halves = self.rank, self.halves
             until, also = float("inf"), False
@@ -140,84 +185,165 @@ class Transducer:
                     until, also, a = ra, False, halves[a][1]
                 else:
                     until, also, b = rb, True, halves[b][0]
-            if len(self._meets) > 300_000:
-                self._meets.clear()
-            self._meets[key] = known
+            if len(self.known) > 300_000:
+                self.known.clear()
+            self.known[key] = known
         return known
 
-    def path(self, text: str) -> list[str]:
-        """Pieces of the shortest path through the lattice of a normalised text."""
-        n = len(text)
-        best: list[tuple[float, int, str] | None] = [None] * (n + 1)
-        best[0] = (0.0, 0, "")
+
+class Lexicon:
+    """The machine from normalised characters to ids, with byte fallback."""
+
+    def __init__(self, arcs: dict[str, tuple[tuple[int, ...], float]], other: Callable[[str], tuple[tuple[int, ...], float]]):
+        #: At a piece's last state the closing arc: the piece, the ids it writes and its weight.
+        self.root = _trie({p: (p, *arc) for p, arc in arcs.items()})
+        self.other = other
+
+    def arcs(self, text: str, at: int) -> Iterator[tuple[int, str, tuple[int, ...], float]]:
+        """The arcs of the lattice from position ``at``: where each ends, its piece, ids and weight."""
+        node, end, n = self.root.get(text[at]), at + 1, len(text)
+        if node is None or "" not in node:
+            yield end, text[at], *self.other(text[at])
+        while node is not None:
+            if "" in node:
+                yield end, *node[""]
+            node = node.get(text[end]) if end < n else None
+            end += 1
+
+
+class Transducer:
+    """A compiled model: ``encode`` and ``decode`` are its two directions."""
+
+    def __init__(self, model: bytes):
+        self.pieces: list[str] = []
+        self.scores: list[float] = []
+        self.kinds: list[int] = []
+        trainer, spec = {}, {}
+        for number, value in _fields(model):
+            if number == 1:
+                piece = dict(_fields(value))
+                self.pieces.append(piece[1].decode())
+                self.scores.append(struct.unpack("<f", piece[2])[0] if 2 in piece else 0.0)
+                self.kinds.append(piece.get(3, NORMAL))
+            elif number == 2:
+                trainer = dict(_fields(value))
+            elif number == 3:
+                spec = dict(_fields(value))
+        kind = trainer.get(3, UNIGRAM)
+        if kind not in (UNIGRAM, BPE):
+            raise ValueError("only unigram and BPE models can be compiled")
+        if trainer.get(24) or not spec.get(5, 1):
+            raise ValueError("models with spaces as suffixes or without a space sign are not supported")
+        if kind == BPE and UNUSED in self.kinds:
+            raise ValueError("BPE models with unused pieces are not supported")
+        of_kind = {k: [(i, p) for i, (p, of) in enumerate(zip(self.pieces, self.kinds, strict=True)) if of == k] for k in range(1, 7)}
+        self.byte_fallback, self.unknown = bool(trainer.get(35, 0)), of_kind[UNKNOWN][0][0]
+        self.bytes = {int(p[1:-1], 16): i for i, p in of_kind[BYTE]}
+        self.ids = {p: i for k in (NORMAL, USER) for i, p in of_kind[k]}
+        self.users = [p for _, p in of_kind[USER]]
+        self.chars = {c for p in self.ids for c in p}
+        self.spaced = any(SPACE in p.lstrip(SPACE) for p in self.ids)
+        self.normaliser = Normaliser(character_map(spec[2]) if spec.get(2) else {}, self.users, bool(spec.get(3, 1)), bool(spec.get(4, 1)))
+        normal = [self.scores[i] for i, _ in of_kind[NORMAL]] or [0.0]
+        self.boundary, unknown_weight = None, UNKNOWN_PENALTY - min(normal)
+        if kind == BPE:
+            self.boundary = Boundary({p: 1 - self.scores[i] for i, p in of_kind[NORMAL] if len(p) > 1})
+            arcs = {p: ((i,), 0.0) for i, p in of_kind[NORMAL] if len(p) == 1 or p in self.boundary.halves}
+        else:
+            arcs = {p: ((i,), -self.scores[i]) for i, p in of_kind[NORMAL]}
+            arcs |= {p: ((i,), USER_BONUS * (1 - len(p.encode()))) for i, p in of_kind[USER]}
+
+        def other(c: str) -> tuple[tuple[int, ...], float]:
+            ids = tuple(self.bytes[b] for b in c.encode()) if self.byte_fallback else (self.unknown,)
+            return ids, 0.0 if kind == BPE else unknown_weight
+
+        self.lexicon = Lexicon(arcs, other)
+        #: A BPE model sets its user-defined pieces apart before it merges.
+        self.apart = _trie({u: u for u in self.users}) if kind == BPE and self.users else None
+        self.surface = trainer.get(44, " ⁇ ".encode())
+        self.shown = [self._bytes_of(i) for i in range(len(self.pieces))]
+
+    def _shortest(self, text: str) -> list[int]:
+        """Ids of the shortest path through the lattice of normalised characters."""
+        n, arcs, boundary, single = len(text), self.lexicon.arcs, self.boundary, ctypes.c_float
+        # By position: the least weight, where its last arc starts, that arc's piece and ids.  With a
+        # boundary machine only one path leads to a position, so there too one state is enough.
+        best: list[tuple[float, int, str, tuple[int, ...]] | None] = [None] * (n + 1)
+        best[0] = (0.0, 0, "", ())
         for at in range(n):
             here = best[at]
             if here is None:
                 continue
-            cost, _, before = here
-            node, end = self.trie, at
-            while end < n:
-                node = node.get(text[end])
-                end += 1
-                piece = text[at] if node is None or (end == at + 1 and "" not in node) else node.get("")
-                if piece is not None and (end == at + 1 or node is not None):
-                    if self.merges:
-                        if best[end] is None and (not at or self._follows(before, piece)):
-                            best[end] = (0.0, at, piece)
-                    else:
-                        i = self.ids.get(piece)
-                        total = cost - (self.scores[i] if i is not None else self.floor)
-                        if best[end] is None or total < best[end][0]:
-                            best[end] = (total, at, piece)
-                if node is None:
-                    break
+            weight, before = here[0], here[2]
+            for end, piece, ids, more in arcs(text, at):
+                old = best[end]
+                total = single(weight + more).value
+                if (old is None or total < old[0]) and (boundary is None or not at or boundary(before, piece)):
+                    best[end] = (total, at, piece, ids)
         out, at = [], n
         while at:
-            _, at, piece = best[at]
-            out.append(piece)
-        return out[::-1]
-
-    def normalised(self, text: str) -> str:
-        return (SPACE if self.prefix and text else "") + text.replace(" ", SPACE)
+            _, at, _, ids = best[at]
+            out.append(ids)
+        return [i for ids in reversed(out) for i in ids]
 
     def ids_of(self, text: str) -> list[int]:
-        """Ids of a normalised text; pieces that are unknown go byte by byte."""
-        out: list[int] = []
-        for piece in self.path(text):
-            i = self.ids.get(piece)
-            if i is not None:
-                out.append(i)
-            elif self.byte_fallback:
-                out += [self.bytes[b] for b in piece.encode()]
-            elif not out or out[-1] != self.unknown:
-                out.append(self.unknown)
-        return out
+        """Ids of normalised characters; unknown ones are not yet drawn together."""
+        if self.apart is None:
+            return self._shortest(text)
+        out, start, at = [], 0, 0
+        while at < len(text):
+            found = _longest(self.apart, text, at)
+            if found is None:
+                at += 1
+                continue
+            out += [*self._shortest(text[start:at]), self.ids[found[1]]]
+            start = at = found[0]
+        return out + self._shortest(text[start:])
+
+    def drawn_together(self, ids: np.ndarray) -> np.ndarray:
+        """Ids with one unknown id for each run of them."""
+        unknown = ids == self.unknown
+        return np.delete(ids, np.flatnonzero(unknown[1:] & unknown[:-1]) + 1)
 
     def encode(self, text: str) -> list[int]:
-        return self.ids_of(self.normalised(text))
+        return self.drawn_together(np.array(self.ids_of(self.normaliser(text)), dtype=np.int64)).tolist()
 
     def _bytes_of(self, i: int) -> bytes:
         kind = self.kinds[i]
         if kind == BYTE:
             return bytes([int(self.pieces[i][1:-1], 16)])
-        return b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else self.pieces[i].replace(SPACE, " ").encode()
+        return b"" if kind == CONTROL else self.surface if kind == UNKNOWN else self.pieces[i].replace(SPACE, " ").encode()
 
     def decode(self, ids: list[int]) -> str:
         """The text of some ids; bytes that are no UTF-8 become one replacement character each."""
-        raw = b"".join(map(self.shown.__getitem__, ids))
-        return (raw[1:] if self.prefix and raw[:1] == b" " else raw).decode("utf-8", "each-byte")
+        parts = list(map(self.shown.__getitem__, ids))
+        prefix, squeeze = self.normaliser.prefix, self.normaliser.squeeze
+        if prefix or squeeze:
+            for k, i in enumerate(ids):
+                if parts[k][:1] == b" " and self.kinds[i] not in (BYTE, UNKNOWN):
+                    parts[k] = parts[k][1:]
+                    if not squeeze:
+                        break
+                if parts[k]:
+                    break
+        return b"".join(parts).decode("utf-8", "each-byte")
 
     def splitter(self):
-        """Starts of stretches between which no piece reaches: at spaces and at characters of no piece."""
+        """Starts of stretches of normalised characters whose ids do not depend on each other.
+
+        A BPE model's are at characters of no piece, and at spaces unless pieces have some inside; a
+        unigram model's are whole texts, since sums of weights go on.
+        """
+        if self.boundary is None:
+            return lambda points, doc_starts: doc_starts
         alone = np.ones(0x110000, dtype=bool)
         alone[[ord(c) for c in self.chars]] = False
-        alone[[32, ord(SPACE)]] = False
-        gap = np.zeros(0x110000, dtype=bool)
-        gap[[32, ord(SPACE)]] = True
+        alone[ord(SPACE)] = False
+        gap = ord(SPACE) if not self.spaced else -1
 
         def split(points: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
             start = np.zeros(len(points), dtype=bool)
-            lone, space = alone[points], gap[points]
+            lone, space = alone[points], points == gap
             start[doc_starts] = True
             start[1:] |= (space[1:] & ~space[:-1]) | lone[1:] | lone[:-1]
             return np.flatnonzero(start)
@@ -229,9 +355,7 @@ class Transducer:
 def _coder(path: str) -> tuple[Transducer, WordCoder]:
     with open(path, "rb") as f:
         machine = Transducer(f.read())
-    if not machine.byte_fallback:
-        raise ValueError("the model has no byte fallback, so its texts can't be cut at unknown characters")
-    return machine, WordCoder(machine.splitter(), lambda words: [machine.ids_of(w.replace(" ", SPACE)) for w in words])
+    return machine, WordCoder(machine.splitter(), lambda words: [machine.ids_of(w) for w in words])
 
 
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
@@ -240,20 +364,24 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     ``path`` is a SentencePiece model on every executor.  Null counts as empty, which has no ids.
     ids_crc32 is over little-endian unsigned 32-bit ids; decoded_sha256 is of the text that the ids
     give back, and round_trip says whether that is the text itself (the space sign reads as a space).
-    Other columns are not read.
+    Rows with one identifier or text are coded one by one, an empty table gives no rows, and other
+    columns are not read.  Each distinct stretch of a text goes through the machine once as long as
+    it is remembered; a very long text takes memory in proportion to its length.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, coder = _coder(path)
         for batch in batches:
             n, crc, sha, same, kept = [], [], [], [], []
-            for text, ids in zip(batch["text"], coder(batch["text"]), strict=True):
-                text = text.as_py()
+            texts = batch["text"].to_pylist()
+            normal = pa.array(map(machine.normaliser, texts), pa.large_string())
+            for text, ids in zip(texts, coder(normal), strict=True):
+                ids = ids if machine.byte_fallback else machine.drawn_together(ids)
                 back = machine.decode(ids.tolist())
                 n.append(len(ids))
                 crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
                 sha.append(hashlib.sha256(back.encode()).hexdigest())
-                same.append(back == text[1 if machine.prefix else 0 :].replace(SPACE, " "))
+                same.append(back == text.replace(SPACE, " "))
                 if keep_ids:
                     kept.append(ids.astype(np.int32))
             columns = [batch["doc"], pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(sha, pa.string()), pa.array(same, pa.bool_())]
@@ -263,8 +391,6 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    # The normaliser's leading space; an empty text has none.
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.when(text == "", "").otherwise(F.concat(F.lit(" "), text)).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = "doc long, n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean" + (", ids array<int>" if keep_ids else "")
     return texts.mapInArrow(run, schema).withColumnRenamed("doc", id_col)

@@ -541,6 +541,95 @@ def test_transducer_equals_the_library(spark, odd, nothing):
     assert encode_decode(nothing, path).count() == 0
 
 
+def field(number, value):
+    """One field of a protocol-buffer message."""
+
+    def varint(n):
+        return bytes([n & 127 | 128]) + varint(n >> 7) if n > 127 else bytes([n])
+
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + np.float32(value).tobytes()
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def piece_model(kind, pieces, fallback, prefix=True, squeeze=False, rules=None):
+    """A model of hand-made pieces: (text, score, type)."""
+    import sentencepiece
+
+    every = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *([(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] if fallback else []), *pieces]
+    out = b"".join(field(1, field(1, p.encode()) + field(2, s) + field(3, t)) for p, s, t in every)
+    out += field(2, field(3, kind) + (field(35, 1) if fallback else b""))
+    spec = field(1, (rules or "own").encode())
+    if rules:
+        normaliser = sentencepiece.SentencePieceNormalizer(rule_name=rules)
+        from polyadic.llm.wfst import _fields
+
+        spec += field(2, dict(_fields(normaliser.serialized_normalizer_spec()))[2])
+    return out + field(3, spec + field(3, int(prefix)) + field(4, int(squeeze)))
+
+
+CHARS = "abcde ▁é日"
+
+
+def hand_made(kind, rng, users=(), **how):
+    """Random pieces over a few letters; each of a BPE model's is two others joined."""
+    texts = list("abcde▁") if how["fallback"] else list("abcd▁")
+    for _ in range(40):
+        a, b = rng.choice(texts), rng.choice(texts)
+        if a + b not in texts and "▁" not in (a + b)[1:] and len(a + b) < 7:
+            texts.append(a + b)
+    if kind == 2:
+        scored = [(t, -float(k), 1) for k, t in enumerate(texts[5 + how["fallback"] :] + texts[: 5 + how["fallback"]])]
+    else:
+        scored = [(t, -rng.uniform(1, 9), 1) for t in texts]
+    return piece_model(kind, scored + [(u, 0.0, 4) for u in users if u not in texts], **how)
+
+
+@pytest.mark.parametrize("kind", [1, 2])
+@pytest.mark.parametrize("fallback", [True, False])
+@pytest.mark.parametrize("prefix,squeeze,rules,users", [(True, False, None, ()), (True, True, None, ()), (False, True, "nmt_nfkc", ()), (True, True, "nmt_nfkc", ("bé日", "<u>", "ba")), (True, False, "nfkc_cf", ("cab",)), (False, False, None, ("ee", "▁da"))])
+def test_hand_made_models_equal_the_library(kind, fallback, prefix, squeeze, rules, users):
+    """Both kinds of models with character maps, squeezed spaces, user-defined pieces, with and without bytes."""
+    import sentencepiece
+
+    from polyadic.llm.wfst import Transducer, WordCoder
+
+    rng = random.Random(kind * 100 + fallback * 10 + len(users))
+    for _ in range(3):
+        model = hand_made(kind, rng, users, fallback=fallback, prefix=prefix, squeeze=squeeze, rules=rules)
+        library = sentencepiece.SentencePieceProcessor(model_proto=model)
+        machine = Transducer(model)
+        coder = WordCoder(machine.splitter(), lambda words, m=machine: [m.ids_of(w) for w in words])
+        texts = ["", " ", "  ", "▁", " ▁ a ▁ ", "ab\u3000\u3000 c\u200b", "\u200b", "\x01 a", "ＡＢ ﬁ①e\u0301", "bé日ba<u>ba cabcab ▁dada eee", "xyz xx日日x"]
+        texts += ["".join(rng.choice(CHARS + "ﬁ①\u3000\u0301\tE") for _ in range(rng.randint(0, 30))) for _ in range(150)]
+        texts += ["".join(rng.choice("abcd ") for _ in range(rng.randint(0, 40))) for _ in range(150)]
+        stretches = coder(pa.array(map(machine.normaliser, texts), pa.large_string()))
+        for text, ids in zip(texts, stretches, strict=True):
+            want = library.encode(text)
+            assert machine.encode(text) == want, (text, model)
+            assert machine.drawn_together(ids).tolist() == want, text
+            assert machine.decode(want) == library.decode(want), text
+
+
+def test_spaced_pieces_and_refused_models():
+    """Pieces with spaces inside are found across words; what can't be compiled is refused."""
+    import sentencepiece
+
+    from polyadic.llm.wfst import Transducer, WordCoder
+
+    pieces = [(c, -5.0, 1) for c in "ab▁"] + [("a▁b", -1.5, 1), ("▁a▁", -2.25, 1)]
+    model = piece_model(1, pieces, True)
+    library, machine = sentencepiece.SentencePieceProcessor(model_proto=model), Transducer(model)
+    coder = WordCoder(machine.splitter(), lambda words: [machine.ids_of(w) for w in words])
+    texts = ["a b", "a a b a b", "b xa ba b", "a  b"]
+    assert [x.tolist() for x in coder(pa.array(map(machine.normaliser, texts), pa.large_string()))] == [library.encode(t) for t in texts]
+    for kind, bad in ((3, []), (4, []), (2, [("ab", -1.0, 5)])):
+        with pytest.raises(ValueError):
+            Transducer(piece_model(kind, pieces[:3] + bad, True))
+
+
 # 5: HTML
 
 
