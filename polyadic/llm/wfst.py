@@ -199,16 +199,21 @@ class Lexicon:
         self.root = _trie({p: (p, *arc) for p, arc in arcs.items()})
         self.other = other
 
-    def arcs(self, text: str, at: int) -> Iterator[tuple[int, str, tuple[int, ...], float]]:
-        """The arcs of the lattice from position ``at``: where each ends, its piece, ids and weight."""
+    def arcs(self, text: str, at: int) -> list[tuple[int, tuple[str, tuple[int, ...], float]]]:
+        """The arcs of the lattice from position ``at``: where each ends, and its piece, ids and weight."""
         node, end, n = self.root.get(text[at]), at + 1, len(text)
+        out = []
         if node is None or "" not in node:
-            yield end, text[at], *self.other(text[at])
+            out.append((end, (text[at], *self.other(text[at]))))
         while node is not None:
-            if "" in node:
-                yield end, *node[""]
-            node = node.get(text[end]) if end < n else None
+            closing = node.get("")
+            if closing is not None:
+                out.append((end, closing))
+            if end == n:
+                break
+            node = node.get(text[end])
             end += 1
+        return out
 
 
 class Transducer:
@@ -266,20 +271,25 @@ class Transducer:
     def _shortest(self, text: str) -> list[int]:
         """Ids of the shortest path through the lattice of normalised characters."""
         n, arcs, boundary, single = len(text), self.lexicon.arcs, self.boundary, ctypes.c_float
-        # By position: the least weight, where its last arc starts, that arc's piece and ids.  With a
+        # By position: the least weight, where its last arc starts, and that arc's piece and ids.  With a
         # boundary machine only one path leads to a position, so there too one state is enough.
         best: list[tuple[float, int, str, tuple[int, ...]] | None] = [None] * (n + 1)
         best[0] = (0.0, 0, "", ())
+        known = boundary.known if boundary else {}
         for at in range(n):
             here = best[at]
             if here is None:
                 continue
-            weight, before = here[0], here[2]
-            for end, piece, ids, more in arcs(text, at):
-                old = best[end]
-                total = single(weight + more).value
-                if (old is None or total < old[0]) and (boundary is None or not at or boundary(before, piece)):
-                    best[end] = (total, at, piece, ids)
+            weight, _, before, _ = here
+            for end, (piece, ids, more) in arcs(text, at):
+                if boundary is None:
+                    total = single(weight + more).value
+                    if best[end] is None or total < best[end][0]:
+                        best[end] = (total, at, piece, ids)
+                elif best[end] is None:
+                    meets = known.get((before, piece)) if at else True
+                    if meets or (meets is None and boundary(before, piece)):
+                        best[end] = (0.0, at, piece, ids)
         out, at = [], n
         while at:
             _, at, _, ids = best[at]
