@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder that driver and executors share."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession, label: str = "") -> str:
+    """The checkpoint folder that driver and executors share, or with ``label`` a new path in it."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        found = spark.conf.get("spark.checkpoint.dir", None)
         if not found and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(found or tempfile.mkdtemp(prefix="polyadic-"))
+    return f"{context.getCheckpointDir()}/{label}-{uuid.uuid4().hex}" if label else context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -181,3 +181,36 @@ def rank_scores(x: Tensor, ranks: Sequence[int], seed: int = 0) -> list[dict[str
         rss, k = max(total * (1 - model.fit) ** 2, 1e-300), r * sum(x.shape)
         out.append({"rank": r, "fit": model.fit, "aic": n * np.log(rss / n) + 2 * k, "bic": n * np.log(rss / n) + k * np.log(n)})
     return out
+
+
+def tt_add(a: Sequence[np.ndarray], b: Sequence[np.ndarray]) -> list[np.ndarray]:
+    """The sum of two tensor trains: ranks add up, cores are block-diagonal."""
+    out = []
+    for k, (x, y) in enumerate(zip(a, b, strict=True)):
+        first, last = k == 0, k == len(a) - 1
+        core = np.zeros((1 if first else x.shape[0] + y.shape[0], x.shape[1], 1 if last else x.shape[2] + y.shape[2]))
+        core[: x.shape[0], :, : x.shape[2]] = x
+        core[0 if first else x.shape[0] :, :, 0 if last else x.shape[2] :] += y
+        out.append(core)
+    return out
+
+
+def tt_dot(a: Sequence[np.ndarray], b: Sequence[np.ndarray]) -> float:
+    """Sum of products of all cells of two tensor trains, core by core."""
+    carried = np.ones((1, 1))
+    for x, y in zip(a, b, strict=True):
+        carried = np.einsum("ab,aic,bid->cd", carried, x, y, optimize=True)
+    return float(carried[0, 0])
+
+
+def tt_norm(cores: Sequence[np.ndarray]) -> float:
+    return max(tt_dot(cores, cores), 0.0) ** 0.5
+
+
+def tt_matvec(matrix: Sequence[np.ndarray], x: Sequence[np.ndarray]) -> list[np.ndarray]:
+    """A train of matrices [r, n, m, r'] times a tensor train; ranks multiply."""
+    out = []
+    for a, b in zip(matrix, x, strict=True):
+        core = np.einsum("rnms,pmq->rpnsq", a, b)
+        out.append(core.reshape(a.shape[0] * b.shape[0], a.shape[1], a.shape[3] * b.shape[2]))
+    return out

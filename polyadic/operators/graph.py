@@ -160,3 +160,64 @@ def topological_levels(edges: DataFrame) -> DataFrame:
         live = cut(live.join(ready.select(F.col("id").alias("src")), "src", "left_anti"))
         level += 1
     return done
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(id, component): the smallest vertex that can be reached and can reach back.
+
+    Forward colouring: each vertex takes the largest vertex that reaches it; what reaches that one
+    back through its own colour is its component.  Components found go, until no vertex is left.
+    """
+    live = cut(edges.where("src <> dst").select("src", "dst").distinct())
+    left, found = cut(vertices(edges)), None
+    while not left.isEmpty():
+        colour = left.withColumn("c", F.col("id"))
+        while True:
+            came = live.join(colour, F.col("src") == F.col("id")).groupBy("dst").agg(F.max("c").alias("m")).withColumnRenamed("dst", "id")
+            new = cut(colour.join(came, "id", "left").select("id", F.greatest("c", F.coalesce("m", "c")).alias("c"), F.col("c").alias("old")))
+            colour = new.select("id", "c")
+            if new.where("c <> old").isEmpty():
+                break
+        ends = live.join(colour.toDF("src", "a"), "src").join(colour.toDF("dst", "b"), "dst")
+        same = cut(ends.where("a = b").select("src", "dst"))
+        done = frontier = colour.where("id = c")
+        while not frontier.isEmpty():
+            back = same.join(frontier, F.col("dst") == F.col("id")).select(F.col("src").alias("id"), "c").distinct()
+            frontier = cut(back.join(done, "id", "left_anti"))
+            done = cut(done.union(frontier))
+        found = done if found is None else cut(found.union(done))
+        left = cut(left.join(done, "id", "left_anti"))
+        live = cut(live.join(left.toDF("src"), "src", "left_semi").join(left.toDF("dst"), "dst", "left_semi"))
+    if found is None:
+        return left.select("id", F.col("id").alias("component"))
+    names = found.groupBy("c").agg(F.min("id").alias("component"))
+    return found.join(names, "c").select("id", "component")
+
+
+def has_cycle(edges: DataFrame) -> bool:
+    """Whether directed edges close a cycle: what stays when vertices without predecessors go, again and again."""
+    live = cut(edges.select("src", "dst").distinct())
+    while not live.isEmpty():
+        entered = live.select(F.col("dst").alias("src")).distinct()
+        rest = cut(live.join(entered, "src", "left_semi"))
+        if rest.count() == live.count():
+            return True
+        live = rest
+    return False
+
+
+def colouring(edges: DataFrame, seed: int = 0) -> DataFrame:
+    """(id, colour) with different colours at the ends of each edge: maximal independent sets, one after the other.
+
+    A vertex has a colour below its degree plus 1, for each set that it is not in has a neighbour of it.
+    """
+    both = cut(_both(edges).where("src <> dst"))
+    left, out, colour = cut(vertices(edges)), None, 0
+    while not left.isEmpty():
+        alone = left.join(both.select(F.col("src").alias("id")), "id", "left_anti")
+        chosen = cut(alone.union(independent_set(both, seed + colour)).select("id", F.lit(colour).alias("colour")))
+        out = chosen if out is None else cut(out.union(chosen))
+        left = cut(left.join(chosen, "id", "left_anti"))
+        both = cut(both.join(left.toDF("src"), "src", "left_semi").join(left.toDF("dst"), "dst", "left_semi"))
+        colour += 1
+    return left.select("id", F.lit(0).alias("colour")) if out is None else out

@@ -183,3 +183,54 @@ def one_hot(t: Tensor, classes: int, name: str = "cls") -> Tensor:
     """A new last axis that is 1 at each cell's value."""
     cells = t.dense().df.where((F.col("v") >= 0) & (F.col("v") < classes)).select(*t.axes, F.col("v").cast("long").alias(name), F.lit(1.0).alias("v"))
     return Tensor(cells, (*t.axes, name), (*t.shape, classes))
+
+
+def split(t: Tensor, axis: str, sizes: Sequence[int]) -> list[Tensor]:
+    """Parts of given sizes along an axis."""
+    if sum(sizes) != t.size_of(axis):
+        raise ValueError("the sizes must add up to the axis")
+    ends = np.cumsum(sizes).tolist()
+    return [cut(t, axis, end - size, end) for size, end in zip(sizes, ends, strict=True)]
+
+
+def gather_cells(t: Tensor, index: DataFrame) -> Tensor:
+    """The cells at index tuples, as a vector; ``index`` has ``position`` (from 0) and a column for each axis."""
+    n = index.count()
+    return Tensor(t.df.join(index, list(t.axes)).select(F.col("position").alias("i"), "v"), ("i",), (n,))
+
+
+def _sources(t: Tensor, axis: str, size: int, mode: str) -> DataFrame:
+    """(axis, __to, __w): which old places make each new one along an axis, and their weights."""
+    old = t.size_of(axis)
+    to = t.df.sparkSession.range(size).withColumnRenamed("id", "__to")
+    if mode == "nearest":
+        return to.select(F.least(F.floor((F.col("__to") + 0.5) * old / size), F.lit(old - 1)).alias(axis), "__to", F.lit(1.0).alias("__w"))
+    at = F.col("__to") * (old - 1) / max(size - 1, 1)
+    low = F.floor(at)
+    both = F.array(F.struct(low.alias("p"), (1 - (at - low)).alias("w")), F.struct((low + 1).alias("p"), (at - low).alias("w")))
+    return to.select("__to", F.explode(both).alias("e")).where("e.w > 0").select(F.col("e.p").alias(axis), "__to", F.col("e.w").alias("__w"))
+
+
+def resize(t: Tensor, sizes: dict[str, int], mode: str = "nearest") -> Tensor:
+    """Other sizes of some axes: the nearest old centre, or linear between corners that stay corners.
+
+    One axis after the other; each is one join with a table of places and a grouped sum.
+    """
+    if mode not in ("nearest", "linear"):
+        raise ValueError("mode must be nearest or linear")
+    for axis, size in sizes.items():
+        placed = t.df.join(_sources(t, axis, size, mode), axis).drop(axis).withColumnRenamed("__to", axis)
+        cells = placed.withColumn("v", F.col("v") * F.col("__w")).groupBy(*t.axes).agg(F.sum("v").alias("v"))
+        t = Tensor(cells, t.axes, _resized(t, axis, size))
+    return t
+
+
+def patches(t: Tensor, sizes: Sequence[int], strides: Sequence[int]) -> Tensor:
+    """Windows over all axes: each axis numbers the windows, and new last axes the places in them."""
+    from polyadic.operators.windows import sliding
+
+    axes = t.axes
+    for axis, size, stride in zip(axes, sizes, strides, strict=True):
+        t = sliding(t, axis, size, stride)
+        t = t.renamed((*t.axes[:-1], f"{axis}_in"))
+    return t

@@ -112,3 +112,24 @@ def mask_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 def masked(t: Tensor, mask: DataFrame) -> Tensor:
     """The cells that ``mask`` (a frame of index tuples) names."""
     return t.with_df(t.df.join(mask, list(t.axes), "left_semi"))
+
+
+def scaled_columns(a: Tensor, d: Tensor) -> Tensor:
+    """a diag(d)."""
+    return einsum("ij,j->ij", a, d).renamed(a.axes)
+
+
+def is_banded(a: Tensor, lower: int, upper: int) -> DataFrame:
+    """Whether all stored cells are within the bandwidths, in one row."""
+    i, j = a.axes
+    return a.df.agg(F.coalesce(F.max((F.col(j) - F.col(i) > upper) | (F.col(i) - F.col(j) > lower)), F.lit(False)).alias("x")).select((~F.col("x")).alias("banded"))
+
+
+def is_dominant(a: Tensor, strict: bool = True) -> DataFrame:
+    """Whether each row's diagonal exceeds (or without ``strict`` reaches) the sum of its other moduli, in one row."""
+    i, j = a.axes
+    v = F.abs("v")
+    rows = a.df.groupBy(i).agg(F.sum(F.when(F.col(i) == F.col(j), v).otherwise(0.0)).alias("d"), F.sum(F.when(F.col(i) != F.col(j), v).otherwise(0.0)).alias("o"))
+    good = F.col("d") > F.col("o") if strict else F.col("d") >= F.col("o")
+    empty = F.lit(a.shape[0]) > F.count("*") if strict else F.lit(False)
+    return rows.agg((F.coalesce(F.min(good), F.lit(True)) & ~empty).alias("dominant"))

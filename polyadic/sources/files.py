@@ -77,15 +77,15 @@ def read_arrow(spark: SparkSession, path: str) -> DataFrame:
 
 def read_matrix_market(spark: SparkSession, path: str) -> Tensor:
     """A coordinate matrix: real, integer or pattern; general, symmetric or skew-symmetric."""
-    lines = spark.read.text(path).select(F.trim("value").alias("line"), F.monotonically_increasing_id().alias("k")).where("line <> ''")
+    lines = spark.read.text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("k")).where("line <> ''")
     head = lines.where("line like '\\%\\%MatrixMarket%'").first()["line"].lower().split()
     if head[1:3] != ["matrix", "coordinate"] or head[3] not in ("real", "integer", "pattern"):
         raise ValueError(f"can't read {' '.join(head)}")
     body = lines.where(~F.col("line").startswith("%"))
-    first = body.orderBy("k").first()
+    first = body.orderBy("file", "block", "k").first()
     rows, columns = map(int, first["line"].split()[:2])
     parts = F.split("line", r"\s+")
-    cells = body.where(F.col("k") != first["k"]).select((parts[0].cast("long") - 1).alias("i"), (parts[1].cast("long") - 1).alias("j"), (F.lit(1.0) if head[3] == "pattern" else parts[2].cast("double")).alias("v"))
+    cells = body.where((F.col("file") != first["file"]) | (F.col("k") != first["k"])).select((parts[0].cast("long") - 1).alias("i"), (parts[1].cast("long") - 1).alias("j"), (F.lit(1.0) if head[3] == "pattern" else parts[2].cast("double")).alias("v"))
     if head[4] != "general":
         sign = -1.0 if head[4] == "skew-symmetric" else 1.0
         cells = cells.unionByName(cells.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), (F.col("v") * sign).alias("v")))
