@@ -502,11 +502,11 @@ def source_matrix_market(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_matrix_market(spark, path).renamed(("p", "s")).df
 
 
-@_query(f"WITH {_NATIONS}, x AS (SELECT i, j, v / 1000 AS v FROM a), r AS (SELECT i, sum(v) AS r FROM x GROUP BY i) SELECT x.i, j, round(2 * exp(2 * r) + 2 * v, 5) AS v FROM x JOIN r USING (i)")
+@_query(f"WITH {_NATIONS}, x AS (SELECT i, j, v / 100000 AS v FROM a), r AS (SELECT i, sum(v) AS r FROM x GROUP BY i) SELECT x.i, j, round(2 * exp(2 * r) + 2 * v, 5) AS v FROM x JOIN r USING (i)")
 def ad_tape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gradient of the sum over rows of exp(2 * row sum), plus the sum of squares: sums, functions and products recorded."""
     a = nations(spark, sf_dir)
-    x = tape.leaf(a.with_df(a.df.withColumn("v", F.col("v") / 1000)))
+    x = tape.leaf(a.with_df(a.df.withColumn("v", F.col("v") / 100000)))
     rows = tape.unary(tape.scale(tape.reduced(x, ["j"]), 2.0), "exp")
     total = tape.add(tape.einsum("i->", rows), tape.einsum("ij,ij->", x, x))
     return _rounded(tape.backward(total, x)[0], 5)

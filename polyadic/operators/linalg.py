@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from polyadic.iterate import cut
 from polyadic.operators import krylov
 from polyadic.operators.kernels import gram
-from polyadic.operators.sparse import add
 from polyadic.plans.einsum import einsum
 from polyadic.tensor import Tensor, from_numpy
 
@@ -104,33 +103,6 @@ def small(a: Tensor, what: str) -> np.ndarray:
     return np.asarray(getattr(np.linalg, what)(on_driver(a)))
 
 
-def inverse_power_iteration(a: Tensor, shift: float = 0.0, tolerance: float = 1e-10, max_rounds: int = 200) -> tuple[float, Tensor]:
-    """The eigenvalue nearest to ``shift`` of a symmetric matrix, and its unit vector, largest entry positive.
-
-    Each round solves (a - shift) y = x by MINRES, which takes indefinite matrices too.
-    """
-    n = a.shape[0]
-    spark = a.df.sparkSession
-    one = Tensor(spark.range(n).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("v")), ("i", "j"), (n, n))
-    moved = add(a.renamed(("i", "j")), one, 1.0, -shift) if shift else a.renamed(("i", "j"))
-    moved = moved.with_df(cut(moved.df))
-    x = Tensor(spark.range(n).select(F.col("id").alias("i"), (1.0 + F.col("id") / n).alias("v")), ("i",), (n,))
-    x = x.with_df(x.df.withColumn("v", F.col("v") / krylov.dot(x, x) ** 0.5))
-    value = None
-    for _ in range(max_rounds):
-        y = krylov.minres(moved, x, tolerance=max(tolerance, 1e-12)).x
-        new = shift + 1.0 / krylov.dot(x, y)
-        size = krylov.dot(y, y) ** 0.5
-        x = Tensor(cut(y.df.select("i", (F.col("v") / size).alias("v"))), ("i",), (n,))
-        if value is not None and abs(new - value) <= tolerance * max(1.0, abs(new)):
-            break
-        value = new
-    else:
-        raise RuntimeError(f"no convergence after {max_rounds} rounds: the eigenvalue is about {new:g}")
-    sign = x.df.agg(F.signum(F.max_by("v", F.abs("v")))).first()[0] or 1.0
-    return new, x.with_df(x.df.withColumn("v", F.col("v") * sign))
-
-
 def lanczos(a: Tensor, count: int, steps: int | None = None) -> np.ndarray:
     """The ``count`` largest eigenvalues of a symmetric matrix, in falling order.
 
