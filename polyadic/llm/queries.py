@@ -99,6 +99,13 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_remainder(3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of two to five words of each language, by how strongly their parts attract one another."""
+    from .collocations import collocations
+
+    return collocations(_table(spark, sf_dir, "documents"), longest=5, least=100, top=2000)
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every hundredth vector, where every seventh one's label is shifted by one."""
     from .hard_negatives import hard_negatives
@@ -126,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_packing": op10_packing,
+    "op11_collocations": op11_collocations,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_document_fingerprints": op13_document_fingerprints,
 }
@@ -154,6 +162,27 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(size) AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id""",
+    "op11_collocations": f"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_NORM}, '[.,;:!?\\x0A-\\x0D]+')) AS piece FROM documents),
+        p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \\x09]+'), lambda x: x <> '') AS w FROM d),
+        o AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(list_slice(w, i, i + k - 1), ' '))) AS phrase
+              FROM p CROSS JOIN (SELECT unnest(range(1, 6)) AS k)),
+        g AS (SELECT lang, k, phrase, count(*) AS f FROM o GROUP BY ALL),
+        t AS (SELECT lang, sum(f) AS n FROM g WHERE k = 1 GROUP BY 1),
+        c AS (SELECT lang, k AS words, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE k > 1 AND f >= 100),
+        u AS (SELECT *, unnest(range(1, words)) AS cut FROM c),
+        s AS (SELECT u.lang, u.phrase, u.a, x.f AS l, y.f AS r, t.n, cut,
+                     CAST(1000 AS HUGEINT) * CAST(u.a AS HUGEINT) * CAST(t.n AS HUGEINT) // (CAST(x.f AS HUGEINT) * CAST(y.f AS HUGEINT)) AS score
+              FROM u JOIN t ON u.lang = t.lang
+              JOIN g x ON x.lang = u.lang AND x.phrase = array_to_string(list_slice(w, 1, cut), ' ')
+              JOIN g y ON y.lang = u.lang AND y.phrase = array_to_string(list_slice(w, cut + 1, words), ' ')),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        i AS (SELECT DISTINCT long.lang, array_to_string(list_slice(long.w, pos, pos + m.k - 1), ' ') AS phrase, long.a
+              FROM (SELECT *, unnest(range(1, words + 1)) AS pos FROM c) long CROSS JOIN (SELECT unnest(range(2, 5)) AS k) m
+              WHERE m.k < long.words AND pos + m.k - 1 <= long.words),
+        z AS (SELECT b.* FROM b ANTI JOIN i ON b.lang = i.lang AND b.phrase = i.phrase AND 100 * i.a >= 100 * b.a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+        FROM z QUALIFY rank <= 2000""",
     "op12_hard_negatives": """
         WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
                           list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(x * 256)) AS q
