@@ -237,7 +237,7 @@ def hard_negatives(vectors: DataFrame, anchors: Column, positives: int = 5, nega
     squares = F.aggregate("q", F.lit(0.0), lambda a, x: a + x * x) + most**2
     away = lambda score: F.sqrt(F.greatest(squares - 2 * score, F.lit(0.0)))
     bands = wanted.join(join.anchors.select("anchor", "q"), "anchor")
-    needs = bands.select("anchor", away(F.col("largest") * high / 100.0).alias("least"), away(F.col("smallest") * low / 100.0).alias("most"))
+    needs = bands.select("anchor", away(F.col("largest").cast("double") * high / 100.0).alias("least"), away(F.col("smallest").cast("double") * low / 100.0).alias("most"))
 
     def best_negatives(group: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
