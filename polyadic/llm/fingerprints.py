@@ -16,8 +16,8 @@ from polyadic.tensor import positions
 
 from .scratch import drop_scratch, write_scratch
 
-#: A paragraph ends after line ends and sentence marks, and at this many code points at most.
-PARAGRAPH_CHARS = 160
+#: A paragraph ends with its line, after the first sentence mark behind so many code points, or at the most.
+LEAST_CHARS, MOST_CHARS = 64, 192
 #: Tables of a fingerprint and their cells, a power of two.
 TABLES, CELLS = 3, 8
 #: Retries: digests of both texts for each part, and cells of its tables (a power of two).
@@ -28,7 +28,7 @@ _CHECK = 0xFFFF
 
 def paragraphs(text: Column) -> Column:
     """The text cut into paragraphs, without leaving anything out."""
-    return F.regexp_extract_all(text, F.lit(rf"[^\n.!?]{{1,{PARAGRAPH_CHARS}}}+[\n.!?]*+|[\n.!?]++"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(rf"[^\n]{{{LEAST_CHARS},{MOST_CHARS}}}?[.!?]++\n*+|[^\n]{{1,{MOST_CHARS}}}\n*+|\n++"), F.lit(0))
 
 
 def _certified(h: Column) -> Column:
@@ -69,10 +69,10 @@ def sketch(found: Column) -> Column:
     return F.transform(F.transform(where, lambda w: F.filter(found, lambda k: k.bitwiseAND(w["mask"]) == w["value"])), cell)
 
 
-def as_text(cells: Column, found: Column) -> Column:
+def as_text(cells: Column, many: Column) -> Column:
     """The fingerprint: the number of digests and every cell's count modulo 256 and XOR, in hexadecimal."""
     parts = F.transform(cells, lambda c: F.concat(F.lpad(F.hex(c["n"].bitwiseAND(255).cast("long")), 2, "0"), F.lpad(F.hex(c["x"]), 16, "0")))
-    return F.lower(F.concat(F.lpad(F.hex(F.size(found).cast("long")), 8, "0"), F.array_join(parts, "")))
+    return F.lower(F.concat(F.lpad(F.hex(many.cast("long")), 8, "0"), F.array_join(parts, "")))
 
 
 def subtracted(a: Column, b: Column) -> Column:
@@ -127,31 +127,32 @@ def _likeness(a: Column, b: Column, lost: Column, gained: Column) -> Column:
     return F.when((shared < 0) | (shared + gained != b), None).when(union == 0, 1.0).otherwise(shared / union)
 
 
-def _larger(pairs: DataFrame, attempt: int) -> DataFrame:
-    """(pair, near) for ``pairs`` (dealt, pair, a, b) with sketches of a size that fits both texts, doubled with each attempt.
+def _larger(pairs: DataFrame, key: list[str], attempt: int) -> DataFrame:
+    """(pair, near) for ``pairs`` (key, pair, near, a, b) with sketches of a size that fits both texts, doubled with each attempt.
 
     Digests go to parts by a hash, so that a part stays small however long a text is; a pair's parts
-    are peeled one by one.  ``near`` is null where one of them gets stuck.  Frames that are dealt out
-    by ``dealt``, which a pair determines, are not shuffled.
+    are peeled one by one.  ``near`` is null where one of them gets stuck; where it is known already, it
+    stays.  Frames that are dealt out by ``key``, which a pair determines, are not shuffled.
     """
     salt = F.lit(attempt)
     keys = F.concat(F.transform("a", lambda k: F.struct(k.alias("k"), F.lit(1).alias("n"))), F.transform("b", lambda k: F.struct(k.alias("k"), F.lit(-1).alias("n"))))
     parts = ((F.size("a") + F.size("b")) * 2**attempt / PART_DIGESTS + 1).cast("int")
     # The pair's numbers of digests ride on a cell of their own, -1.
     sizes = F.array(F.struct(F.size("a").cast("long").alias("k"), F.size("b").alias("n")))
-    rows = pairs.select("dealt", "pair", parts.alias("parts"), F.posexplode(F.concat(sizes, keys)).alias("at", "e"))
+    by = [*key, "pair", "near"]
+    rows = pairs.select(*by, parts.alias("parts"), F.posexplode(F.when(F.col("near").isNull(), F.concat(sizes, keys)).otherwise(sizes)).alias("at", "e"))
     h = F.xxhash64("e.k", salt)
     slots = F.array(*(F.pmod(F.shiftrightunsigned(h, 16), F.col("parts")) * (TABLES * PART_CELLS) + t * PART_CELLS + _place(h, t, PART_CELLS) for t in range(TABLES)))
-    rows = rows.select("dealt", "pair", "e.k", "e.n", F.explode(F.when(F.col("at") == 0, F.array(F.lit(-1).cast("long"))).otherwise(slots)).alias("slot"))
-    cells = rows.groupBy("dealt", "pair", "slot").agg(F.sum("n").cast("int").alias("n"), F.bit_xor("k").alias("x")).where("slot < 0 or n <> 0 or x <> 0")
+    rows = rows.select(*by, "e.k", "e.n", F.explode(F.when(F.col("at") == 0, F.array(F.lit(-1).cast("long"))).otherwise(slots)).alias("slot"))
+    cells = rows.groupBy(*by, "slot").agg(F.sum("n").cast("int").alias("n"), F.bit_xor("k").alias("x")).where("slot < 0 or n <> 0 or x <> 0")
     inside = F.pmod(F.col("slot"), F.lit(TABLES * PART_CELLS)).cast("int")
     cell = F.struct(F.floor(inside / PART_CELLS).cast("int").alias("t"), (inside % PART_CELLS).alias("i"), "n", "x")
-    some = cells.groupBy("dealt", "pair", F.floor(F.col("slot") / (TABLES * PART_CELLS)).alias("part")).agg(F.collect_list(cell).alias("cells"))
+    some = cells.groupBy(*by, F.floor(F.col("slot") / (TABLES * PART_CELLS)).alias("part")).agg(F.collect_list(cell).alias("cells"))
     own = F.col("part") >= 0
     some = some.withColumn("p", F.when(own, peeled(F.col("cells"), PART_CELLS, salt)))
     known = F.when(~own, F.col("cells")[0])
-    whole = some.groupBy("dealt", "pair").agg(F.max(known["x"]).alias("na"), F.max(known["n"]).alias("nb"), F.coalesce(F.bool_and("p.solved"), F.lit(True)).alias("solved"), F.coalesce(F.sum("p.lost"), F.lit(0)).alias("lost"), F.coalesce(F.sum("p.gained"), F.lit(0)).alias("gained"))
-    return whole.select("pair", F.when(F.col("solved"), _likeness(F.col("na"), F.col("nb"), F.col("lost"), F.col("gained"))).alias("near"))
+    whole = some.groupBy(*by).agg(F.max(known["x"]).alias("na"), F.max(known["n"]).alias("nb"), F.coalesce(F.bool_and("p.solved"), F.lit(True)).alias("solved"), F.coalesce(F.sum("p.lost"), F.lit(0)).alias("lost"), F.coalesce(F.sum("p.gained"), F.lit(0)).alias("gained"))
+    return whole.select("pair", F.coalesce("near", F.when(F.col("solved"), _likeness(F.col("na"), F.col("nb"), F.col("lost"), F.col("gained")))).alias("near"))
 
 
 def _first_try(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
@@ -182,7 +183,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The edited text has the last quarter (rounded down) of its code points replaced by as many first
     ones of the next document by ascending identifier, or all if it has fewer; the first document
-    follows the last.  Null texts count as empty.  A null identifier comes first; rows that repeat an
+    follows the last.  Null texts count as empty.  A null identifier (or -2^63, which counts as null) comes first; rows that repeat an
     identifier are ordered by a hash of their texts, and equal rows follow one another.  A single row
     is its own next one.  Fingerprints are equal for equal texts, have one size for texts of any
     length, and hold the number of paragraph digests and the cells of their sketch.  Likenesses are
@@ -192,7 +193,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), text.alias("text")).select(F.coalesce("doc", F.lit(-(2**63))).alias("id"), "doc", F.xxhash64("text").alias("h"), "text")
+    none = F.lit(-(2**63))  # stands for null identifiers
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), none).alias("id"), text.alias("text")).select("id", F.xxhash64("text").alias("h"), "text")
     ring = _neighbours(rows.select("id", "h", F.char_length("text").alias("n")))
     once = rows.dropDuplicates(["id", "h"])
     here = once.join(ring, ["id", "h"])
@@ -201,33 +203,42 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Of equal rows all but the last are followed by themselves.
     again = F.struct(F.lit(1).alias("turn"), (F.col("copies") - 1).alias("times"), F.substring("text", F.lit(1), k).alias("head"), F.col("id").alias("nid"), F.col("h").alias("nh"))
     onward = F.struct(F.lit(0).alias("turn"), F.lit(1).cast("long").alias("times"), F.col("head").alias("head"), F.col("nid").alias("nid"), F.col("nh").alias("nh"))
-    turns = here.join(heads, ["id", "h"]).select("id", "h", "doc", "text", n.alias("n"), k.alias("k"), F.explode(F.when(F.col("copies") > 1, F.array(onward, again)).otherwise(F.array(onward))).alias("turn"))
-    turns = turns.select("id", "h", "doc", "text", "n", "turn.*", F.concat(F.expr("substring(text, 1, n - k)"), F.col("turn.head")).alias("edited")).drop("head")
-    cut = turns.select("id", "h", "turn", "doc", "times", "nid", "nh", "n", F.sha2("edited", 256).alias("sha"), digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("e"))
-    cut = cut.withColumns({"ca": sketch(F.col("a")), "ce": sketch(F.col("e")), "row": F.monotonically_increasing_id()})
-    known = write_scratch(cut, "digests")
+    turns = here.join(heads, ["id", "h"]).select("id", "h", "text", n.alias("n"), k.alias("k"), F.explode(F.when(F.col("copies") > 1, F.array(onward, again)).otherwise(F.array(onward))).alias("turn"))
+    turns = turns.select("id", "h", "text", "n", "turn.*", F.concat(F.expr("substring(text, 1, n - k)"), F.col("turn.head")).alias("edited")).drop("head")
+    cut = turns.select("id", "h", "turn", "times", "nid", "nh", "n", F.sha2("edited", 256).alias("sha"), digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("e"))
+    cut = cut.withColumns({"ca": sketch(F.col("a")), "ce": sketch(F.col("e"))})
+    # Digests of the edited text are kept from the first one on that differs.
+    differs = F.array_position(F.zip_with("a", "e", lambda x, y: F.coalesce(x == y, F.lit(False))), F.lit(False)).cast("int")
+    common = F.when(differs > 0, differs - 1).otherwise(F.size("a"))
+    cut = cut.withColumns({"near": _first_try(F.col("a"), F.col("e"), F.col("ca"), F.col("ce")), "common": common, "row": F.monotonically_increasing_id()})
+    known = write_scratch(cut.select("row", "id", "h", "turn", "times", "nid", "nh", "n", "sha", "a", "common", F.expr("slice(e, common + 1, size(e))").alias("rest"), F.size("e").alias("ne"), "ca", "ce", "near"), "digests")
     drop_scratch(ring)
 
-    own = known.select("id", "h", "nid", "nh", "row", "a", "e", "ca", "ce")
-    following = known.where("turn = 0").select(F.col("id").alias("nid"), F.col("h").alias("nh"), F.col("a").alias("b"), F.col("ca").alias("cb"))
-
-    def pairs(which: DataFrame) -> DataFrame:
-        """A row for each pair of texts; pairs of a row and its edited text have even numbers."""
-        edited = F.struct((F.col("row") * 2).alias("pair"), "a", F.col("e").alias("b"), "ca", F.col("ce").alias("cb"))
-        onto = F.struct((F.col("row") * 2 + 1).alias("pair"), "a", "b", "ca", "cb")
-        return which.join(following, ["nid", "nh"]).withColumn("dealt", F.xxhash64("nid", "nh")).select("dealt", F.explode(F.array(edited, onto)).alias("p")).select("dealt", "p.*")
-
-    tried = pairs(own).withColumn("near", _first_try(F.col("a"), F.col("b"), F.col("ca"), F.col("cb")))
-    near = write_scratch(tried.select("pair", "near"), "near")
-    solved, attempt = near.where("near is not null"), 0
-    stuck = near.where("near is null").select("pair")
-    while not stuck.isEmpty():
-        some = own.join(stuck.select(F.shiftright("pair", 1).alias("row")).distinct(), "row", "left_semi") if attempt else own
-        near = write_scratch(_larger(pairs(some).join(stuck, "pair", "left_semi").repartition("dealt"), attempt), f"near-{attempt}")
+    # Pairs of a text and its edited one have even numbers, pairs with the next document odd ones.
+    own = known.select("row", "nid", "nh", "a", "common", "rest", "near")
+    following = known.where("turn = 0").select(F.col("id").alias("nid"), F.col("h").alias("nh"), F.col("a").alias("b"))
+
+    def edited(which: DataFrame, attempt: int) -> DataFrame:
+        both = which.select("row", (F.col("row") * 2).alias("pair"), "near", "a", F.concat(F.slice("a", F.lit(1), F.col("common")), "rest").alias("b"))
+        return _larger(both.repartition("row"), ["row"], attempt)
+
+    def onward(which: DataFrame, attempt: int) -> DataFrame:
+        both = which.select("row", "nid", "nh", "a").join(following, ["nid", "nh"]).select("nid", "nh", (F.col("row") * 2 + 1).alias("pair"), "a", "b")
+        tried = F.lit(None).cast("double") if attempt else _first_try(F.col("a"), F.col("b"), sketch(F.col("a")), sketch(F.col("b")))
+        return _larger(both.withColumn("near", tried), ["nid", "nh"], attempt)
+
+    solved = known.where("near is not null").select((F.col("row") * 2).alias("pair"), "near")
+    near = write_scratch(onward(own, 0).unionByName(edited(own.where("near is null"), 0)), "near-0")
+    attempt = 0
+    while True:
         solved = solved.unionByName(near.where("near is not null"))
-        stuck = near.where("near is null").select("pair")
+        stuck = write_scratch(near.where("near is null").select("pair", F.shiftright("pair", 1).alias("row")), "stuck")
+        if stuck.isEmpty():
+            break
         attempt += 1
+        by = lambda odd: write_scratch(own.withColumn("near", F.lit(None).cast("double")).join(stuck.where(F.col("pair") % 2 == odd), "row", "left_semi"), "again")
+        near = write_scratch(onward(by(1), attempt).unionByName(edited(by(0), attempt)), f"near-{attempt}")
     both = solved.groupBy(F.shiftright("pair", 1).alias("row")).agg(F.max(F.when(F.col("pair") % 2 == 0, F.col("near"))).alias("near_edited"), F.max(F.when(F.col("pair") % 2 == 1, F.col("near"))).alias("near_next"))
-    out = known.select("row", "doc", "times", "n", "sha", as_text(F.col("ca"), F.col("a")).alias("fa"), as_text(F.col("ce"), F.col("e")).alias("fe")).join(both, "row")
+    out = known.select("row", "id", "times", "n", "sha", as_text(F.col("ca"), F.size("a")).alias("fa"), as_text(F.col("ce"), F.col("ne")).alias("fe")).join(both, "row")
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
-    return out.select(F.col("doc").alias(id_col), F.col("n").cast("long").alias("n_chars"), F.col("sha").alias("edited_sha256"), F.col("fa").alias("fingerprint"), F.col("fe").alias("edited_fingerprint"), "near_edited", "near_next")
+    return out.select(F.nullif("id", none).alias(id_col), F.col("n").cast("long").alias("n_chars"), F.col("sha").alias("edited_sha256"), F.col("fa").alias("fingerprint"), F.col("fe").alias("edited_fingerprint"), "near_edited", "near_next")

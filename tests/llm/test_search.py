@@ -159,7 +159,7 @@ def signed(x):
 
 
 def plain_digests(text):
-    cut = re.findall(r"[^\n.!?]{1,160}[\n.!?]*|[\n.!?]+", text)
+    cut = re.findall(r"[^\n]{64,192}?[.!?]+\n*|[^\n]{1,192}\n*|\n+", text)
     assert "".join(cut) == text
     out = set()
     for p in cut:
