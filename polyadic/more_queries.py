@@ -363,7 +363,7 @@ def _power_sql(rounds: int = 40) -> str:
 @_query(_power_sql())
 def linalg_power_iteration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The leading eigenvector of the trade between nations, with sum 1."""
-    _, x = linalg.power_iteration(nations(spark, sf_dir), tolerance=1e-14)
+    _, x = linalg.power_iteration(nations(spark, sf_dir), tolerance=1e-10)
     total = x.df.agg(F.sum("v")).first()[0]
     return x.df.select("i", F.round(F.col("v") / total, 6).alias("v"))
 

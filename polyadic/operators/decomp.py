@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from polyadic.iterate import cut
 from polyadic.operators.kernels import mttkrp, nmode_products
-from polyadic.operators.linalg import on_driver
+from polyadic.operators import tall
 from polyadic.operators.shape import reshape, unfold
 from polyadic.plans.einsum import einsum
 from polyadic.tensor import Tensor, from_numpy
@@ -95,15 +95,15 @@ def cp_completion(x: Tensor, rank: int, rounds: int = 50, ridge: float = 1e-6, s
 
 
 def _leading(m: Tensor, rank: int) -> np.ndarray:
-    """Leading left singular vectors of an unfolding, through the small Gram matrix of its rows."""
-    g = on_driver(einsum("ij,kj->ik", m, m))
-    values, vectors = np.linalg.eigh(g)
-    u = vectors[:, np.argsort(-values)[:rank]]
-    return u * np.where(u[np.abs(u).argmax(axis=0), np.arange(u.shape[1])] < 0, -1.0, 1.0)
+    """Leading left singular vectors of an unfolding, by a tree QR of its transpose; only its triangle reaches the driver."""
+    i, j = m.axes
+    return tall.right_vectors(Tensor(m.df.select(j, i, "v"), (j, i), m.shape[::-1]), rank)[0]
 
 
 def tucker(x: Tensor, ranks: Sequence[int], rounds: int = 0, tolerance: float = 1e-8) -> Tucker:
     """Tucker by HOSVD, refined by up to ``rounds`` sweeps of HOOI."""
+    if len(ranks) != len(x.shape) or any(not 1 <= r <= n for r, n in zip(ranks, x.shape)):
+        raise ValueError("each rank must be from 1 to its mode's size")
     x = x.with_df(cut(x.df))
     spark = x.df.sparkSession
     factors = [_leading(unfold(x, a), r) for a, r in zip(x.axes, ranks, strict=True)]
@@ -126,22 +126,20 @@ def tt_svd(x: Tensor, max_ranks: Sequence[int] | None = None, tolerance: float =
     """Tensor-train cores [r, n, r'] by successive SVDs; the long side of each unfolding stays distributed.
 
     At each step singular values above ``tolerance`` times the largest are kept, at least one.  They come
-    from Gram matrices, which square the condition, so a tolerance below 1e-8 is refused.
+    from a tree QR of the unfolding's transpose; a tolerance below 1e-14 is refused, as rounding is above it.
     """
-    if tolerance < 1e-8:
-        raise ValueError("singular values below 1e-8 of the largest cannot be told from 0")
+    if tolerance < 1e-14:
+        raise ValueError("singular values below 1e-14 of the largest cannot be told from 0")
     spark, shape = x.df.sparkSession, x.shape
     cores, left, rest = [], 1, x
     for k, n in enumerate(shape[:-1]):
         columns = int(np.prod(shape[k + 1 :]))
         m = reshape(rest, ("row", "col"), (left * n, columns))
         m = m.with_df(cut(m.df))
-        values, vectors = np.linalg.eigh(on_driver(einsum("ij,kj->ik", m, m)))
-        order = np.argsort(-values)
-        s = np.sqrt(np.maximum(values[order], 0))
+        vectors, s = tall.right_vectors(Tensor(m.df.select("col", "row", "v"), ("col", "row"), m.shape[::-1]), left * n)
         r = max(1, int((s > tolerance * s[0]).sum()))
         r = min(r, max_ranks[k]) if max_ranks else r
-        u = vectors[:, order[:r]]
+        u = vectors[:, :r]
         cores.append(u.reshape(left, n, r))
         rest = einsum("ik,ij->kj", from_numpy(spark, u, ("i", "k")), m)
         left = r

@@ -32,6 +32,26 @@ def dot(x: Tensor, y: Tensor) -> float:
     return float(einsum("i,i->", x, y).df.first()[0] or 0.0)
 
 
+def dots(basis: list[Tensor], y: Tensor) -> np.ndarray:
+    """The products of a vector with each of some others, in one grouped sum."""
+    rows = None
+    for k, b in enumerate(basis):
+        part = b.renamed(("i",)).df.select(F.lit(k).alias("k"), "i", F.col("v").alias("x"))
+        rows = part if rows is None else rows.unionByName(part)
+    out = np.zeros(len(basis))
+    if rows is not None:
+        for r in rows.join(y.renamed(("i",)).df, "i").groupBy("k").agg(F.sum(F.col("x") * F.col("v")).alias("s")).collect():  # a number for each vector
+            out[r["k"]] = r["s"]
+    return out
+
+
+def orthogonal(y: Tensor, basis: list[Tensor]) -> Tensor:
+    """What is left of a vector beside some orthonormal ones, taken off twice."""
+    for _ in range(2 if basis else 0):
+        y = combine((1.0, y), *((-float(c), b) for c, b in zip(dots(basis, y), basis, strict=True)))
+    return y
+
+
 def combine(*terms: tuple[float, Tensor]) -> Tensor:
     """The sum of some multiples of vectors, written."""
     first = terms[0][1]
@@ -74,7 +94,9 @@ def cg(a: Tensor, b: Tensor, tolerance: float = 1e-10, max_rounds: int = 200, pr
     p, rz, rounds = z, dot(r, z), 0
     while (size := dot(r, r) ** 0.5) > tolerance and rounds < max_rounds:
         ap = apply(a, p)
-        alpha = rz / dot(p, ap)
+        if not rz or (below := dot(p, ap)) <= 0:  # not positive definite
+            break
+        alpha = rz / below
         x, r = combine((1.0, x), (alpha, p)), combine((1.0, r), (-alpha, ap))
         z = preconditioner(r) if preconditioner else r
         rz, before = dot(r, z), rz
@@ -175,7 +197,9 @@ def cgnr(a: Tensor, b: Tensor, tolerance: float = 1e-10, max_rounds: int = 200,
     p, zz, rounds = z, dot(z, z), 0
     while zz**0.5 > tolerance and rounds < max_rounds:
         w = apply(a, p)
-        alpha = zz / dot(w, w)
+        if not (below := dot(w, w)):
+            break
+        alpha = zz / below
         x, r = combine((1.0, x), (alpha, p)), combine((1.0, r), (-alpha, w))
         z = apply(a, r, transposed=True)
         zz, before = dot(z, z), zz
@@ -188,7 +212,9 @@ def cgne(a: Tensor, b: Tensor, tolerance: float = 1e-10, max_rounds: int = 200,
     a, r, x = _ready(a, b)
     p, rr, rounds = apply(a, r, transposed=True), dot(r, r), 0
     while rr**0.5 > tolerance and rounds < max_rounds:
-        alpha = rr / dot(p, p)
+        if not (below := dot(p, p)):  # nothing of the residual is in reach
+            break
+        alpha = rr / below
         x, r = combine((1.0, x), (alpha, p)), combine((1.0, r), (-alpha, apply(a, p)))
         rr, before = dot(r, r), rr
         p, rounds = combine((1.0, apply(a, r, transposed=True)), (rr / before, p)), rounds + 1

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from polyadic.iterate import cut
-from polyadic.operators import krylov
+from polyadic.operators import krylov, tall
 from polyadic.operators.kernels import gram
 from polyadic.plans.einsum import einsum
 from polyadic.tensor import Tensor, from_numpy
@@ -28,43 +28,43 @@ def conjugate_gradient(a: Tensor, b: Tensor, tolerance: float = 1e-10, max_round
     return krylov.cg(a, b, tolerance, max_rounds, krylov.jacobi(a) if jacobi else None).x
 
 
-def power_iteration(a: Tensor, tolerance: float = 1e-10, max_rounds: int = 500) -> tuple[float, Tensor]:
-    """The eigenvalue of largest modulus and its unit vector, largest entry positive."""
+def power_iteration(a: Tensor, tolerance: float = 1e-9, max_rounds: int = 500) -> tuple[float, Tensor]:
+    """The eigenvalue of largest modulus and its unit vector, largest entry positive.
+
+    Rounds go on until |A x - value x| is at most ``tolerance`` times |value| (or 1, if that is more),
+    so a matrix with two such eigenvalues of opposite signs raises instead of giving a wrong one.
+    """
     a = a.with_df(cut(a.df))
     n = a.shape[0]
-    x = Tensor(a.df.sparkSession.range(n).select(F.col("id").alias("i"), (1.0 + F.col("id") / n).alias("v")), ("i",), (n,))
-    x = x.with_df(x.df.withColumn("v", F.col("v") / krylov.dot(x, x) ** 0.5))
+    x = _start(a, 0)
     value = 0.0
     for _ in range(max_rounds):
         y = einsum("ij,j->i", a, x)
         y = Tensor(cut(y.df), ("i",), (n,))
-        new, size = krylov.dot(x, y), krylov.dot(y, y) ** 0.5
+        value, size = krylov.dot(x, y), krylov.dot(y, y) ** 0.5
         if not size:
             return 0.0, x
-        x = y.with_df(y.df.withColumn("v", F.col("v") / size))
-        if abs(new - value) <= tolerance * max(1.0, abs(new)):
+        rest = krylov.combine((1.0, y), (-value, x))
+        if krylov.dot(rest, rest) ** 0.5 <= tolerance * max(1.0, abs(value)):
             break
-        value = new
+        x = y.with_df(y.df.withColumn("v", F.col("v") / size))
     else:
-        raise RuntimeError(f"no convergence after {max_rounds} rounds: the eigenvalue is about {new:g}")
+        raise RuntimeError(f"no convergence after {max_rounds} rounds: the eigenvalue is about {value:g}")
     sign = x.df.agg(F.signum(F.max_by("v", F.abs("v")))).first()[0] or 1.0
-    return new, x.with_df(x.df.withColumn("v", F.col("v") * sign))
+    return value, x.with_df(x.df.withColumn("v", F.col("v") * sign))
 
 
-def svd(x: Tensor, rank: int | None = None) -> tuple[Tensor, np.ndarray, np.ndarray]:
-    """U (a frame), singular values and V of a matrix with few columns, through the Gram matrix.
+def _start(a: Tensor, seed: int) -> Tensor:
+    """A unit vector from a hash of the index."""
+    n = a.shape[0]
+    bits = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20))
+    x = Tensor(cut(a.df.sparkSession.range(n).select(F.col("id").alias("i"), (bits / (1 << 19) - 0.9990234375).alias("v"))), ("i",), (n,))
+    return krylov.combine((krylov.dot(x, x) ** -0.5, x))
 
-    The rows stay distributed; columns by columns cells reach the driver.  Squaring costs precision:
-    values below about 1e-8 of the largest are lost.  Each vector's largest entry in V is positive.
-    """
-    i, j = x.axes
-    values, vectors = np.linalg.eigh(on_driver(gram(x)))
-    order = np.argsort(-values)[: rank or len(values)]
-    s, v = np.sqrt(np.maximum(values[order], 0)), vectors[:, order]
-    v = v * np.where(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])] < 0, -1.0, 1.0)
-    scale = np.divide(1.0, s, out=np.zeros_like(s), where=s > 1e-8 * max(s.max(initial=0), 1e-300))
-    u = einsum("ij,jk->ik", x, from_numpy(x.df.sparkSession, v * scale, ("j", "k")))
-    return Tensor(u.df.select(F.col("i").alias(i), "k", "v"), (i, "k"), (x.shape[0], len(s))), s, v
+
+def svd(x: Tensor, rank: int | None = None) -> tuple[Tensor, np.ndarray, np.ndarray]:
+    """U (a frame), singular values and V of a matrix with few columns, by a tree of QR factorisations."""
+    return tall.svd(x, rank)
 
 
 def randomized_svd(x: Tensor, rank: int, oversampling: int = 8, power: int = 2, seed: int = 0) -> tuple[Tensor, np.ndarray, np.ndarray]:
@@ -82,14 +82,9 @@ def randomized_svd(x: Tensor, rank: int, oversampling: int = 8, power: int = 2,
 
 
 def tall_qr(x: Tensor) -> tuple[Tensor, np.ndarray]:
-    """Q (a frame) and R of a matrix with few, independent columns, by Cholesky of the Gram matrix, twice."""
-    spark, r = x.df.sparkSession, np.eye(x.shape[1])
-    for _ in range(2):
-        low = np.linalg.cholesky(on_driver(gram(x)))
-        r = low.T @ r
-        q = einsum("ij,jk->ik", x, from_numpy(spark, np.linalg.inv(low).T, ("j", "k")))
-        x = Tensor(cut(q.df), ("i", "j"), x.shape).renamed(("i", "j")) if q.axes == ("i", "j") else Tensor(cut(q.df.select("i", F.col("k").alias("j"), "v")), ("i", "j"), x.shape)
-    return x, r
+    """Q (a frame) and R of a matrix with few columns, dependent or not, by a tree of QR factorisations."""
+    q, r = tall.qr(x)
+    return q.renamed(("i", "j")), r
 
 
 def least_squares(a: Tensor, b: Tensor, ridge: float = 0.0) -> np.ndarray:
@@ -103,29 +98,57 @@ def small(a: Tensor, what: str) -> np.ndarray:
     return np.asarray(getattr(np.linalg, what)(on_driver(a)))
 
 
-def lanczos(a: Tensor, count: int, steps: int | None = None) -> np.ndarray:
-    """The ``count`` largest eigenvalues of a symmetric matrix, in falling order.
+def _lanczos_run(a: Tensor, locked: list[Tensor], count: int, tolerance: float, seed: int) -> tuple[np.ndarray, np.ndarray, list[Tensor]]:
+    """Leading eigenvalues of ``a`` beside some locked eigenvectors: values, vectors in the basis, and the basis.
 
-    Lanczos vectors are frames, each made orthogonal to all before it; only the tridiagonal matrix of
-    ``steps`` (three times the count and 10 more, unless given) reaches the driver.
+    Steps go on until the residuals of ``count`` values are small or the space is used up.
     """
-    a = a.renamed(("i", "j"))
-    a = a.with_df(cut(a.df))
-    n = a.shape[0]
-    steps = min(n, steps or 3 * count + 10)
-    x = Tensor(a.df.sparkSession.range(n).select(F.col("id").alias("i"), (1.0 + F.col("id") / n).alias("v")), ("i",), (n,))
-    basis = [krylov.combine((krylov.dot(x, x) ** -0.5, x))]
-    along, beside = [], []
-    for _ in range(steps):
+    n = a.shape[0] - len(locked)
+    basis: list[Tensor] = []
+    along: list[float] = []
+    beside: list[float] = []
+    y = krylov.orthogonal(_start(a, seed), locked)
+    size = krylov.dot(y, y) ** 0.5
+    while len(basis) < n:
+        basis.append(krylov.combine((1.0 / size, y)))
         y = krylov.apply(a, basis[-1])
         along.append(krylov.dot(y, basis[-1]))
-        for _ in range(2):
-            y = krylov.combine((1.0, y), *((-krylov.dot(y, b), b) for b in basis))
+        y = krylov.orthogonal(y, [*locked, *basis])
         size = krylov.dot(y, y) ** 0.5
-        if size <= 1e-10 * max(map(abs, along)):
+        scale = max(1e-300, max(map(abs, along)), max(beside, default=0.0))
+        values, vectors = np.linalg.eigh(np.diag(along) + np.diag(beside, 1) + np.diag(beside, -1))
+        values, vectors = values[::-1], vectors[:, ::-1]
+        if len(basis) >= count and (size * np.abs(vectors[-1, :count]) <= tolerance * scale).all():
             break
-        beside.append(size)
-        basis.append(krylov.combine((1.0 / size, y)))
-    k = len(along)
-    small_ = np.diag(along) + np.diag(beside[: k - 1], 1) + np.diag(beside[: k - 1], -1)
-    return np.linalg.eigvalsh(small_)[::-1][:count]
+        if size <= 1e-12 * scale:  # the space is invariant: go on from a new vector
+            seed += 1_000
+            y = krylov.orthogonal(_start(a, seed), [*locked, *basis])
+            beside.append(0.0)
+            size = krylov.dot(y, y) ** 0.5
+        else:
+            beside.append(size)
+    return values[:count], vectors[:, :count], basis
+
+
+def lanczos(a: Tensor, count: int, tolerance: float = 1e-9) -> np.ndarray:
+    """The ``count`` largest eigenvalues of a symmetric matrix, in falling order, repeated as often as they occur.
+
+    Lanczos vectors are frames, each made orthogonal to all before it; only the tridiagonal matrix
+    reaches the driver.  A single start finds one vector of a repeated eigenvalue, so further runs
+    beside the vectors found look for larger values than the smallest found, until there are none.
+    """
+    a = a.renamed(("i", "j"))
+    if not 1 <= count <= a.shape[0]:
+        raise ValueError("count must be from 1 to the number of rows")
+    a = a.with_df(cut(a.df))
+    values, vectors, basis = _lanczos_run(a, [], count, tolerance, 1)
+    found = list(values)
+    locked = [krylov.combine(*zip(map(float, v), basis)) for v in vectors.T]
+    while len(locked) < a.shape[0]:
+        more, vectors, basis = _lanczos_run(a, locked, 1, tolerance, 1 + len(locked))
+        smallest = sorted(found, reverse=True)[count - 1]
+        if more[0] <= smallest + tolerance * max(1.0, abs(smallest)):
+            break
+        found.append(more[0])
+        locked.append(krylov.combine(*zip(map(float, vectors[:, 0]), basis)))
+    return np.sort(found)[::-1][:count]

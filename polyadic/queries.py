@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from polyadic import blocks
+from polyadic.blocks import einsum_blocks
 from polyadic.functions.numeric import UNARY
 from polyadic.operators import ad, decomp, elementwise, fourier, graph, kernels, krylov, linalg, optim, reduce, shape, sparse, windows
 from polyadic.plans.einsum import einsum
@@ -84,9 +86,9 @@ def einsum_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {_PARTS} SELECT a.s AS i, b.s AS j, sum(a.v * b.v) AS v FROM p a JOIN p b ON a.p = b.p GROUP BY 1, 2")
 def einsum_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Supplier similarities: einsum('pi,pj->ij')."""
+    """Supplier similarities: einsum('pi,pj->ij'), by dense blocks."""
     p = purchases(spark, sf_dir)
-    return einsum("pi,pj->ij", p, p).df
+    return einsum_blocks("pi,pj->ij", p, p).df
 
 
 @_query(f"WITH {_NATIONS}, {_REGIONS} SELECT x.r AS a, y.r AS b, sum(v) AS v FROM a JOIN w x ON i = x.n JOIN w y ON j = y.n GROUP BY 1, 2")
@@ -201,8 +203,9 @@ _EMB = "e AS (SELECT vec_id AS e, unnest(range(64)) AS d, CAST(unnest(embedding)
 
 @_query(f"WITH {_EMB} SELECT a.d AS a, b.d AS b, round(covar_samp(a.v, b.v), 9) + 0.0 AS v FROM e a JOIN e b ON a.e = b.e GROUP BY 1, 2")
 def stat_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Covariance of the embeddings' components."""
-    out = reduce.covariance_matrix(vectors(spark, sf_dir))
+    """Covariance of the embeddings' components, by strips of rows."""
+    rows = blocks.from_vectors(_read(spark, sf_dir, "embeddings"), F.col("embedding"), 64)
+    out = blocks.to_cells(blocks.covariance(rows), ("a", "b"))
     return out.df.select("a", "b", (F.round("v", 9) + 0.0).alias("v"))
 
 
