@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyadic.iterate import shared_folder
-from polyadic.operators import ad, decomp, elementwise, graph, kernels, krylov, linalg, optim, reduce, shape, sparse, tape, windows
+from polyadic import blocks
+from polyadic.operators import ad, decomp, elementwise, factorization, graph, kernels, krylov, linalg, optim, reduce, shape, sparse, tape, windows
+from polyadic.plans.einsum import einsum
 from polyadic.queries import _CUBE, _FULL, _GRAPH, _NATIONS, _PARTS, _query, _system, cube, nations, purchases, sales_graph, vectors
 from polyadic.sources import files
-from polyadic.tensor import Tensor, from_numpy
+from polyadic.tensor import Tensor, from_numpy, positions
 
 
 def _rounded(t: Tensor, digits: int) -> DataFrame:
@@ -510,3 +512,48 @@ def ad_tape(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tape.unary(tape.scale(tape.reduced(x, ["j"]), 2.0), "exp")
     total = tape.add(tape.einsum("i->", rows), tape.einsum("ij,ij->", x, x))
     return _rounded(tape.backward(total, x)[0], 5)
+
+
+_BIPARTITE = f"""{_PARTS}, n AS (SELECT (SELECT count(*) FROM part) AS parts, (SELECT count(*) FROM supplier) AS suppliers),
+    o AS (SELECT p AS i, parts + s AS j, v FROM p, n UNION ALL SELECT parts + s, p, v FROM p, n),
+    r AS (SELECT unnest(range(parts + suppliers)) AS i FROM n),
+    g AS (SELECT i, i AS j, coalesce(t, 0) + 1.0::DOUBLE AS v FROM r LEFT JOIN (SELECT i, sum(v) AS t FROM o GROUP BY i) USING (i)),
+    a AS (SELECT i, j, v FROM o WHERE v <> 0 UNION ALL SELECT i, j, v FROM g)"""
+
+
+def _bipartite(spark: SparkSession, sf_dir: str) -> Tensor:
+    """Parts and suppliers as one symmetric matrix of their quantities, with the rows' sums and 1 on the diagonal."""
+    p = purchases(spark, sf_dir)
+    parts, n = p.shape[0], sum(p.shape)
+    one = p.df.select(F.col("p").alias("i"), (F.col("s") + parts).alias("j"), "v")
+    off = one.unionByName(one.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))
+    ones = spark.range(n).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("v"))
+    cells = off.unionByName(off.select("i", F.col("i").alias("j"), "v")).unionByName(ones)
+    return Tensor(cells.groupBy("i", "j").agg(F.sum("v").alias("v")).where("v <> 0"), ("i", "j"), (n, n))
+
+
+@_query(f"WITH {_BIPARTITE} SELECT i, j, round(v, 4) AS v FROM a")
+def linalg_ilu_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L U of the incomplete factorisation of all parts' and suppliers' quantities, on the matrix's own cells: the matrix."""
+    a = _bipartite(spark, sf_dir)
+    low, up = factorization.ilu0(a)
+    return _rounded(einsum("ik,kj->ij", low, up, mask=a.df.select("i", "j")), 4)
+
+
+@_query("SELECT i, CAST(i % 7 + 1 AS DOUBLE) AS v FROM (SELECT unnest(range((SELECT count(*) FROM part) + (SELECT count(*) FROM supplier))) AS i)")
+def linalg_ic_cg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the parts' and suppliers' matrix makes of a solution by conjugate gradients under IC(0): the right-hand side."""
+    a = _bipartite(spark, sf_dir)
+    b = Tensor(spark.range(a.shape[0]).select(F.col("id").alias("i"), (F.col("id") % 7 + 1.0).alias("v")), ("i",), a.shape[:1])
+    found = krylov.cg(a, b, tolerance=1e-5, preconditioner=factorization.ic_preconditioner(a))
+    return _rounded(krylov.apply(a, found.x), 3)
+
+
+@_query("SELECT row_number() OVER (ORDER BY v DESC) - 1 AS k, v FROM (SELECT CAST(p_size % 4 + 1 AS DOUBLE) AS v FROM part ORDER BY v DESC LIMIT 3)")
+def linalg_lanczos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three largest eigenvalues of a diagonal matrix over all parts with four values, each repeated often."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    n = part.count()
+    places = positions(part, "p_partkey", "i").join(part, "p_partkey")
+    a = Tensor(places.select("i", F.col("i").alias("j"), (F.col("p_size") % 4 + 1.0).alias("v")), ("i", "j"), (n, n))
+    return spark.createDataFrame([(k, round(float(v), 6)) for k, v in enumerate(linalg.lanczos(a, 3))], "k long, v double")

@@ -9,10 +9,11 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyadic.functions.numeric import safe_div
-from polyadic.iterate import cut
+from polyadic.iterate import cut, shared_folder
 from polyadic.plans.einsum import einsum
 from polyadic.tensor import Tensor
 
@@ -32,24 +33,50 @@ def dot(x: Tensor, y: Tensor) -> float:
     return float(einsum("i,i->", x, y).df.first()[0] or 0.0)
 
 
-def dots(basis: list[Tensor], y: Tensor) -> np.ndarray:
-    """The products of a vector with each of some others, in one grouped sum."""
-    rows = None
-    for k, b in enumerate(basis):
-        part = b.renamed(("i",)).df.select(F.lit(k).alias("k"), "i", F.col("v").alias("x"))
-        rows = part if rows is None else rows.unionByName(part)
-    out = np.zeros(len(basis))
-    if rows is not None:
-        for r in rows.join(y.renamed(("i",)).df, "i").groupBy("k").agg(F.sum(F.col("x") * F.col("v")).alias("s")).collect():  # a number for each vector
-            out[r["k"]] = r["s"]
-    return out
+class Basis:
+    """Orthonormal vectors as one frame (k, i, v), each written once; products with all of them are one grouped sum."""
+
+    def __init__(self, spark: SparkSession, n: int):
+        self.spark, self.n, self.size = spark, n, 0
+        self.folder = shared_folder(spark, "basis")
+
+    def __len__(self) -> int:
+        return self.size
+
+    def add(self, y: Tensor, scale: float = 1.0) -> Tensor:
+        y.renamed(("i",)).df.select("i", (F.col("v") * scale).alias("v")).write.parquet(f"{self.folder}/k={self.size}")
+        self.size += 1
+        return self[self.size - 1]
 
+    def __getitem__(self, k: int) -> Tensor:
+        return Tensor(self.spark.read.schema("i long, v double").parquet(f"{self.folder}/k={k}"), ("i",), (self.n,))
 
-def orthogonal(y: Tensor, basis: list[Tensor]) -> Tensor:
-    """What is left of a vector beside some orthonormal ones, taken off twice."""
-    for _ in range(2 if basis else 0):
-        y = combine((1.0, y), *((-float(c), b) for c, b in zip(dots(basis, y), basis, strict=True)))
-    return y
+    def _all(self) -> DataFrame:
+        return self.spark.read.schema("i long, v double, k int").parquet(self.folder)
+
+    def dots(self, y: Tensor) -> np.ndarray:
+        """The product of a vector with each one."""
+        out = np.zeros(self.size)
+        if self.size:
+            for r in self._all().withColumnRenamed("v", "x").join(y.renamed(("i",)).df, "i").groupBy("k").agg(F.sum(F.col("x") * F.col("v")).alias("s")).collect():  # a number for each vector
+                out[r["k"]] = r["s"]
+        return out
+
+    def combined(self, factors: np.ndarray, plus: Tensor | None = None) -> Tensor:
+        """The sum of multiples of the vectors, and of ``plus``; written."""
+        some = self._all().where(F.col("k") < len(factors)).select("i", (F.col("v") * F.get(F.array(*(F.lit(float(c)) for c in factors)), F.col("k"))).alias("v"))
+        if plus is not None:
+            some = some.unionByName(plus.renamed(("i",)).df)
+        return Tensor(cut(some.groupBy("i").agg(F.sum("v").alias("v"))), ("i",), (self.n,))
+
+    def off(self, y: Tensor) -> tuple[Tensor, np.ndarray]:
+        """What is left of a vector beside these, taken off twice, and its products with them."""
+        total = np.zeros(self.size)
+        for _ in range(2 if self.size else 0):
+            along = self.dots(y)
+            total += along
+            y = self.combined(-along, plus=y)
+        return y, total
 
 
 def combine(*terms: tuple[float, Tensor]) -> Tensor:
@@ -131,18 +158,20 @@ def bicgstab(a: Tensor, b: Tensor, tolerance: float = 1e-10, max_rounds: int = 2
     return _done(x, rounds, size, tolerance, strict)
 
 
-def gmres(a: Tensor, b: Tensor, tolerance: float = 1e-10, max_rounds: int = 200, restart: int = 30, strict: bool = True) -> Solution:
-    """Least residual over Krylov spaces of up to ``restart`` vectors; the small Hessenberg matrix is on the driver."""
+def gmres(a: Tensor, b: Tensor, tolerance: float = 1e-10, max_rounds: int = 200, restart: int = 30, preconditioner: Preconditioner | None = None, strict: bool = True) -> Solution:
+    """Least residual over Krylov spaces of up to ``restart`` vectors; the small Hessenberg matrix is on the driver.
+
+    A preconditioner is applied from the right, so residuals are those of the system itself.
+    """
     a, b, x = _ready(a, b)
     r, rounds = b, 0
     size = dot(r, r) ** 0.5
     while size > tolerance and rounds < max_rounds:
-        basis, h = [combine((1.0 / size, r))], np.zeros((restart + 1, restart))
+        basis, h = Basis(a.df.sparkSession, a.shape[1]), np.zeros((restart + 1, restart))
+        now = basis.add(r, 1.0 / size)
         for k in range(restart):
-            w = apply(a, basis[k])
-            for j, q in enumerate(basis):
-                h[j, k] = dot(w, q)
-                w = combine((1.0, w), (-h[j, k], q))
+            w = apply(a, preconditioner(now) if preconditioner else now)
+            w, h[: k + 1, k] = basis.off(w)
             h[k + 1, k] = dot(w, w) ** 0.5
             rounds += 1
             target = np.zeros(k + 2)
@@ -151,8 +180,9 @@ def gmres(a: Tensor, b: Tensor, tolerance: float = 1e-10, max_rounds: int = 200,
             left = float(np.linalg.norm(h[: k + 2, : k + 1] @ y - target))
             if left <= tolerance / 2 or h[k + 1, k] < 1e-14 * size or rounds >= max_rounds:
                 break
-            basis.append(combine((1.0 / h[k + 1, k], w)))
-        x = combine((1.0, x), *zip(y.tolist(), basis, strict=False))
+            now = basis.add(w, 1.0 / h[k + 1, k])
+        step = basis.combined(y)
+        x = combine((1.0, x), (1.0, preconditioner(step) if preconditioner else step))
         r = combine((1.0, b), (-1.0, apply(a, x)))
         size, before = dot(r, r) ** 0.5, size
         if size >= before:

@@ -41,11 +41,12 @@ def power_iteration(a: Tensor, tolerance: float = 1e-9, max_rounds: int = 500) -
     for _ in range(max_rounds):
         y = einsum("ij,j->i", a, x)
         y = Tensor(cut(y.df), ("i",), (n,))
-        value, size = krylov.dot(x, y), krylov.dot(y, y) ** 0.5
+        both = x.df.withColumnRenamed("v", "x").join(y.df.withColumnRenamed("v", "y"), "i", "full").na.fill(0.0, ["x", "y"])
+        value, size = both.agg(F.sum(F.col("x") * F.col("y")), F.sqrt(F.sum(F.col("y") * F.col("y")))).first()
         if not size:
             return 0.0, x
-        rest = krylov.combine((1.0, y), (-value, x))
-        if krylov.dot(rest, rest) ** 0.5 <= tolerance * max(1.0, abs(value)):
+        rest = F.col("y") - value * F.col("x")
+        if both.agg(F.sqrt(F.sum(rest * rest))).first()[0] <= tolerance * max(1.0, abs(value)):
             break
         x = y.with_df(y.df.withColumn("v", F.col("v") / size))
     else:
@@ -98,22 +99,21 @@ def small(a: Tensor, what: str) -> np.ndarray:
     return np.asarray(getattr(np.linalg, what)(on_driver(a)))
 
 
-def _lanczos_run(a: Tensor, locked: list[Tensor], count: int, tolerance: float, seed: int) -> tuple[np.ndarray, np.ndarray, list[Tensor]]:
-    """Leading eigenvalues of ``a`` beside some locked eigenvectors: values, vectors in the basis, and the basis.
+def _lanczos_run(a: Tensor, locked: krylov.Basis, count: int, tolerance: float, seed: int) -> tuple[np.ndarray, list[Tensor]]:
+    """Leading eigenvalues of ``a`` beside some locked eigenvectors, and their vectors.
 
     Steps go on until the residuals of ``count`` values are small or the space is used up.
     """
     n = a.shape[0] - len(locked)
-    basis: list[Tensor] = []
+    basis = krylov.Basis(a.df.sparkSession, a.shape[0])
     along: list[float] = []
     beside: list[float] = []
-    y = krylov.orthogonal(_start(a, seed), locked)
+    y = locked.off(_start(a, seed))[0]
     size = krylov.dot(y, y) ** 0.5
     while len(basis) < n:
-        basis.append(krylov.combine((1.0 / size, y)))
-        y = krylov.apply(a, basis[-1])
-        along.append(krylov.dot(y, basis[-1]))
-        y = krylov.orthogonal(y, [*locked, *basis])
+        y = krylov.apply(a, basis.add(y, 1.0 / size))
+        y, products = basis.off(locked.off(y)[0])
+        along.append(float(products[-1]))
         size = krylov.dot(y, y) ** 0.5
         scale = max(1e-300, max(map(abs, along)), max(beside, default=0.0))
         values, vectors = np.linalg.eigh(np.diag(along) + np.diag(beside, 1) + np.diag(beside, -1))
@@ -122,18 +122,18 @@ def _lanczos_run(a: Tensor, locked: list[Tensor], count: int, tolerance: float,
             break
         if size <= 1e-12 * scale:  # the space is invariant: go on from a new vector
             seed += 1_000
-            y = krylov.orthogonal(_start(a, seed), [*locked, *basis])
+            y = basis.off(locked.off(_start(a, seed))[0])[0]
             beside.append(0.0)
             size = krylov.dot(y, y) ** 0.5
         else:
             beside.append(size)
-    return values[:count], vectors[:, :count], basis
+    return values[:count], [basis.combined(v) for v in vectors[:, :count].T]
 
 
 def lanczos(a: Tensor, count: int, tolerance: float = 1e-9) -> np.ndarray:
     """The ``count`` largest eigenvalues of a symmetric matrix, in falling order, repeated as often as they occur.
 
-    Lanczos vectors are frames, each made orthogonal to all before it; only the tridiagonal matrix
+    Lanczos vectors are one frame, each made orthogonal to all before it; only the tridiagonal matrix
     reaches the driver.  A single start finds one vector of a repeated eigenvalue, so further runs
     beside the vectors found look for larger values than the smallest found, until there are none.
     """
@@ -141,14 +141,16 @@ def lanczos(a: Tensor, count: int, tolerance: float = 1e-9) -> np.ndarray:
     if not 1 <= count <= a.shape[0]:
         raise ValueError("count must be from 1 to the number of rows")
     a = a.with_df(cut(a.df))
-    values, vectors, basis = _lanczos_run(a, [], count, tolerance, 1)
-    found = list(values)
-    locked = [krylov.combine(*zip(map(float, v), basis)) for v in vectors.T]
-    while len(locked) < a.shape[0]:
-        more, vectors, basis = _lanczos_run(a, locked, 1, tolerance, 1 + len(locked))
+    locked, found = krylov.Basis(a.df.sparkSession, a.shape[0]), []
+    values, vectors = _lanczos_run(a, locked, count, tolerance, 1)
+    while True:
+        found += list(values)
+        for v in vectors:
+            locked.add(v)
+        if len(locked) >= a.shape[0]:
+            break
+        values, vectors = _lanczos_run(a, locked, 1, tolerance, 1 + len(locked))
         smallest = sorted(found, reverse=True)[count - 1]
-        if more[0] <= smallest + tolerance * max(1.0, abs(smallest)):
+        if values[0] <= smallest + tolerance * max(1.0, abs(smallest)):
             break
-        found.append(more[0])
-        locked.append(krylov.combine(*zip(map(float, vectors[:, 0]), basis)))
     return np.sort(found)[::-1][:count]
