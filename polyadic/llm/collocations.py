@@ -23,13 +23,13 @@ from .scratch import drop_scratch, write_scratch
 from .textarrays import byte_views
 
 #: Texts are cut into words in slices of about this many bytes, and n-grams counted in blocks of so many numbers.
-SLICE_BYTES, BLOCK_IDS = 4_000_000, 1_500_000
+SLICE_BYTES, BLOCK_IDS = 2_000_000, 1_000_000
 #: A dictionary of this many bytes at most is broadcast; a larger one is joined.
 DICTIONARY_BYTES = 64_000_000
 #: Bits of the filter over frequent (n-1)-grams, for each of them and in all.  It may let too many n-grams pass, never too few.
 FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 28
 #: Rows and evenly spaced keys of a block that splitters are chosen from, and n-grams of a range.
-SAMPLE_ROWS, SAMPLE_KEYS, RANGE_KEYS = 24, 4_096, 1_500_000
+SAMPLE_ROWS, SAMPLE_KEYS, RANGE_KEYS = 24, 4_096, 750_000
 #: Words of a block where the dictionary is joined.
 JOIN_BLOCK = 1 << 16
 
