@@ -28,8 +28,8 @@ SLICE_BYTES, BLOCK_IDS = 4_000_000, 1_500_000
 DICTIONARY_BYTES = 64_000_000
 #: Bits of the filter over frequent (n-1)-grams, for each of them and in all.  It may let too many n-grams pass, never too few.
 FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 28
-#: Rows and evenly spaced keys of a block that splitters are chosen from, and n-grams of a range.
-SAMPLE_ROWS, SAMPLE_KEYS, RANGE_KEYS = 24, 4_096, 1_500_000
+#: Rows and evenly spaced keys of a block that splitters are chosen from, n-grams of a range, and most ranges for each core.
+SAMPLE_ROWS, SAMPLE_KEYS, RANGE_KEYS, CORE_RANGES = 24, 4_096, 1_500_000, 32
 #: Words of a block where the dictionary is joined.
 JOIN_BLOCK = 1 << 16
 
@@ -262,7 +262,7 @@ def _count_grams(runs: DataFrame, total: int, n: int, least: int, bitmap: np.nda
     taken = [np.frombuffer(r["keys"], form).reshape(n, -1) for r in some.mapInArrow(sample, "keys binary").collect()]
     sampled, _ = _runs(list(np.concatenate(taken, axis=1)) if taken else [np.zeros(0, form)] * n)
     most = len(sampled[0])
-    ranges = min(max(-(-total // RANGE_KEYS), spark.sparkContext.defaultParallelism * 2), max(1, most))
+    ranges = min(max(-(-total // RANGE_KEYS), 2), spark.sparkContext.defaultParallelism * CORE_RANGES, max(1, most))
     splitters = list(zip(*(s[np.linspace(0, most - 1, ranges + 1).astype(int)[1:-1]].tolist() for s in sampled))) if most else []
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
