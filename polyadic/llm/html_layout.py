@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Generator, Iterator
 from html.parser import HTMLParser
 
@@ -45,39 +46,73 @@ _SPACES = re.compile(r"[ \t\n\r\f]+")
 MOST_COLUMNS, MOST_ROWS = 1_000, 65_534
 #: What a declaration may say: not laid out at all, or laid out but not painted (which descendants may undo).
 GONE, UNPAINTED, PAINTED = "gone", "unpainted", "painted"
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_MEDIA = frozenset({"", "all", "screen", "only screen"})
+_COMMENT = re.compile(r"/\*.*?(?:\*/|$)", re.S)
 _SELECTOR = re.compile(r"(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)$")
 
 
-def declared(style: str | None) -> dict[str, str]:
-    """What some CSS declarations say about showing: under "display" and "visibility", the last of each."""
-    out: dict[str, str] = {}
+def declared(style: str | None) -> dict[str, tuple[bool, str]]:
+    """What some CSS declarations say about showing, under "display" and "visibility": whether it is !important, and what.
+
+    The last of each holds, but an !important one over all that are not.
+    """
+    out: dict[str, tuple[bool, str]] = {}
     for part in (style or "").split(";"):
         name, _, value = part.partition(":")
-        name, value = name.strip().lower(), value.partition("!")[0].strip().lower()
+        value, _, mark = value.partition("!")
+        name, value, important = name.strip().lower(), value.strip().lower(), mark.strip().lower() == "important"
         if name == "display" and value:
-            out["display"] = GONE if value == "none" else PAINTED
+            says = GONE if value == "none" else PAINTED
         elif name == "content-visibility" and value == "hidden":
-            out["display"] = GONE
+            name, says = "display", GONE
         elif name == "visibility":
-            out["visibility"] = UNPAINTED if value in ("hidden", "collapse") else PAINTED if value == "visible" else ""
+            says = UNPAINTED if value in ("hidden", "collapse") else PAINTED if value == "visible" else ""
+        else:
+            continue
+        if important or not out.get(name, (False, ""))[0]:
+            out[name] = (important, says)
     return out
 
 
+def _rules(css: str) -> Iterator[tuple[str, str]]:
+    """Selectors and declarations outside @-blocks, in one pass."""
+    at, depth, start, head, skipped = 0, 0, 0, "", False
+    for m in re.finditer(r"/\*|[{};]", css):
+        if m.start() < at:
+            continue
+        mark = m[0]
+        if mark == "/*":
+            end = css.find("*/", m.end())
+            at = len(css) if end < 0 else end + 2
+        elif mark == "{":
+            if depth == 0:
+                head = _COMMENT.sub("", css[start : m.start()]).strip()
+                skipped, start = head.startswith("@"), m.end()
+            depth += 1
+        elif mark == "}":
+            depth = max(0, depth - 1)
+            if depth == 0:
+                if head and not skipped:
+                    yield head, _COMMENT.sub("", css[start : m.start()])
+                head, start = "", m.end()
+        elif depth == 0 and css[start : m.start()].lstrip().startswith("@"):
+            start = m.end()  # an @-rule without a block
+
+
 class Sheet:
     """The page's own style rules about showing, with selectors of one tag, identifier and classes.
 
-    The more specific rule holds, then the later one.  Rules inside @-blocks and other selectors do
-    not count.
+    Of what rules and style attributes say, what is !important holds first, then the attribute, then
+    the more specific rule, then the later one.  Rules inside @-blocks and other selectors do not count.
     """
 
     def __init__(self) -> None:
-        self.rules: list[tuple[tuple[int, int, int, int], str, frozenset[str], frozenset[str], dict[str, str]]] = []
+        self.count = 0
+        #: Rules by one identifier, class or tag that their elements must have.
+        self.rules: dict[str, list[tuple[tuple[int, int, int, int], str, frozenset[str], frozenset[str], dict[str, tuple[bool, str]]]]] = {}
 
     def add(self, css: str) -> None:
-        css = re.sub(r"/\*.*?(?:\*/|$)", "", css, flags=re.S)
-        css = re.sub(r"@[^{};]*(?:;|\{(?:[^{}]*\{[^{}]*\})*[^{}]*\})", "", css)
-        for selectors, body in _RULE.findall(css):
+        for selectors, body in _rules(css):
             says = declared(body)
             for selector in selectors.split(",") if says else ():
                 m = _SELECTOR.match(selector.strip())
@@ -85,16 +120,40 @@ class Sheet:
                     marks = re.findall(r"[.#][\w-]+", m[2])
                     ids, classes = (frozenset(x[1:] for x in marks if x[0] == c) for c in "#.")
                     tag = (m[1] or "*").lower()
-                    self.rules.append(((len(ids), len(classes), int(tag != "*"), len(self.rules)), tag, ids, classes, says))
+                    key = "#" + min(ids) if ids else "." + min(classes) if classes else tag
+                    self.rules.setdefault(key, []).append(((len(ids), len(classes), int(tag != "*"), self.count), tag, ids, classes, says))
+                    self.count += 1
+
+    def close(self) -> None:
+        """Of rules with one selector only what the last and the last !important one say is kept."""
+        for key, rules in self.rules.items():
+            last: dict[tuple, dict[str, tuple[bool, str]]] = {}
+            place: dict[tuple, tuple[int, int, int, int]] = {}
+            for rank, tag, ids, classes, says in rules:
+                held = last.setdefault((tag, ids, classes), {})
+                for name, (important, what) in says.items():
+                    if important or not held.get(name, (False, ""))[0]:
+                        held[name] = (important, what)
+                        place[tag, ids, classes, name] = rank
+            self.rules[key] = [(place[*who, name], *who, {name: said}) for who, held in last.items() for name, said in held.items()]
 
     def of(self, node: Node) -> dict[str, str]:
-        out = {"display": GONE} if "hidden" in node.attrs else {}
+        found: dict[str, tuple[tuple, str]] = {"display": ((False, -1), GONE)} if "hidden" in node.attrs else {}
+
+        def put(rank: tuple, says: dict[str, tuple[bool, str]]) -> None:
+            for name, (important, what) in says.items():
+                if name not in found or (important, *rank) >= found[name][0]:
+                    found[name] = ((important, *rank), what)
+
         if self.rules:
             mine, name = frozenset((node.attrs.get("class") or "").split()), node.attrs.get("id")
-            for _, tag, ids, classes, says in sorted(self.rules, key=lambda r: r[0]):
-                if tag in ("*", node.tag) and ids <= {name} and classes <= mine:
-                    out |= says
-        return out | declared(node.attrs["style"]) if node.attrs.get("style") else out
+            for key in ("*", node.tag, f"#{name}", *("." + c for c in mine)):
+                for rank, tag, ids, classes, says in self.rules.get(key, ()):
+                    if tag in ("*", node.tag) and ids <= {name} and classes <= mine:
+                        put((0, *rank), says)
+        if node.attrs.get("style"):
+            put((1,), declared(node.attrs["style"]))
+        return {name: what for name, (_, what) in found.items()}
 
 
 class Node:
@@ -115,7 +174,7 @@ class _Builder(HTMLParser):
         self.counts: dict[str, int] = {}
         self.foreign = [""]  # svg, math or nothing for each open element
         self.begun = False
-        self.sheet = Sheet()
+        self.styles: list[str] = []
 
     def _pop_to(self, k: int) -> None:
         while len(self.open) > k:
@@ -207,8 +266,9 @@ class _Builder(HTMLParser):
                     break  # an end tag does not reach out of its cell
 
     def handle_data(self, data: str) -> None:
-        if self.open[-1].tag == "style":
-            self.sheet.add(data)
+        if self.open[-1].tag == "style" and not (self.counts.get("noscript") or self.counts.get("template")):
+            if (self.open[-1].attrs.get("media") or "").strip().lower() in _MEDIA:
+                self.styles.append(data)
         if data.strip(" \t\n\r\f"):
             self.begun = True
             if self.open[-1].tag == "head":
@@ -222,7 +282,11 @@ def parse(html: str) -> tuple[Node, Sheet]:
     builder = _Builder()
     builder.feed(html)
     builder.close()
-    return builder.root, builder.sheet
+    sheet = Sheet()
+    for css in builder.styles:
+        sheet.add(css)
+    sheet.close()
+    return builder.root, sheet
 
 
 def shown(node: Node, sheet: Sheet, painted: bool) -> bool | None:
@@ -315,19 +379,19 @@ Work = Generator[tuple["Node", bool], str, str]
 def _table(table: Node, page: _Page, sheet: Sheet, painted: bool) -> Generator[tuple[Node, bool], str, None]:
     """Rows of aligned cells; a cell of several lines makes its row as high."""
     grid: list[dict[int, list[str]]] = []
-    below: dict[int, int] = {}  # columns that a cell from above still covers, and for how many rows
-    for cells in _rows(table, sheet, painted):
+    below: list[tuple[int, int, int]] = []  # from where to where cells from above still cover columns, and up to which row
+    for number, cells in enumerate(_rows(table, sheet, painted)):
         row: dict[int, list[str]] = {}
-        at, fresh = 0, {}
+        at, fresh, k = 0, [], 0
         for cell, own in cells:
-            while below.get(at):
-                at += 1
+            while k < len(below) and below[k][0] <= at:
+                at, k = max(at, below[k][1]), k + 1
             row[at] = (yield cell, own).split("\n")
             span, down = _number(cell.attrs.get("colspan"), MOST_COLUMNS), _number(cell.attrs.get("rowspan"), MOST_ROWS) - 1
             if down:
-                fresh |= dict.fromkeys(range(at, at + span), down)
+                fresh.append((at, at + span, number + down))
             at += span
-        below = {k: n - 1 for k, n in below.items() if n > 1} | fresh
+        below = sorted(x for x in (*below, *fresh) if x[2] > number)
         grid.append(row)
     widths: dict[int, int] = {}
     for row in grid:
@@ -335,7 +399,8 @@ def _table(table: Node, page: _Page, sheet: Sheet, painted: bool) -> Generator[t
             widths[k] = max(widths.get(k, 0), *map(len, lines))
     order = sorted(widths)
     for row in grid:
-        used = [k for k in order if k <= max((k for k, lines in row.items() if any(lines)), default=-1)]
+        last = max((k for k, lines in row.items() if any(lines)), default=-1)
+        used = order[: bisect_right(order, last)]
         for n in range(max(map(len, row.values()), default=1)):
             page.end_line()
             page.line.append("  ".join((row[k][n] if k in row and n < len(row[k]) else "").ljust(widths[k]) for k in used))
