@@ -27,17 +27,22 @@ WRONGLY_REJECTED = 0.01
 #: Texts are compressed in blocks of this many bytes, each against the dictionary anew, so that a
 #: long text's own past does not hide the language.
 BLOCK_BYTES = 2_048
+#: Rows that a language must have for some of them to be held back.
+LEAST_HELD = 20
 _LETTER = regex.compile(r"\p{L}")
 
 
 def _labelled(docs: DataFrame, learn: Column | None, id_col: str, text_col: str, lang_col: str, rows: int) -> DataFrame:
-    """(lang, text, held): about ``rows`` rows of each language for its dictionary, and as many others (held)."""
+    """(lang, text, held): about ``rows`` rows of each language for its dictionary, and as many others (held).
+
+    Of a language of fewer than LEAST_HELD rows none is held back, so that no dictionary is empty.
+    """
     named = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     named = named if learn is None else named.where(learn)
     counts = named.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n"))
     place = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 30)) / (1 << 30) * F.col("n")
     chosen = named.select(id_col, F.col(text_col), F.col(lang_col).alias("lang")).join(F.broadcast(counts.limit(MAX_LANGUAGES + 1)), "lang")
-    return chosen.where(place < 2 * rows).select("lang", F.lower(text_col).alias("text"), (place >= F.least(F.lit(float(rows)), F.col("n") * 0.75)).alias("held"))
+    return chosen.where(place < 2 * rows).select("lang", F.lower(text_col).alias("text"), ((F.col("n") >= LEAST_HELD) & (place >= F.least(F.lit(float(rows)), F.col("n") * 0.75))).alias("held"))
 
 
 def fit(docs: DataFrame, learn: Column | None, id_col: str, text_col: str, lang_col: str, rows: int, size: int) -> tuple[dict[str, bytes], DataFrame]:
