@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import pickle
 
 import numpy as np
 
 LINKS, BUILD_BEAM, BATCH = 12, 40, 256
+#: Nodes near a query that are walked to; beyond, the query is left to a product with all nodes.
+CROWD = 512
 
 
 def _similarities(x: np.ndarray, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -138,27 +141,39 @@ class Graph:
             entry = ids[np.arange(len(q)), sims.argmax(axis=1)]
         return entry
 
-    def within(self, q: np.ndarray, least: float, beam: int) -> list[np.ndarray]:
+    @functools.cached_property
+    def _pointing(self) -> tuple[np.ndarray, np.ndarray]:
+        """Nodes of the lowest level by the node they link to, and where each one's list starts."""
+        links = self.levels[-1][1]
+        able = links.ravel() >= 0
+        to, by = links.ravel()[able], np.flatnonzero(able) // links.shape[1]
+        order = np.argsort(to, kind="stable")
+        return by[order], np.searchsorted(to[order], np.arange(len(links) + 1))
+
+    def within(self, q: np.ndarray, least: float, beam: int, crowd: int = CROWD) -> list[np.ndarray | None]:
         """For each query the nodes found with a similarity of ``least`` or more.
 
         A beam search finds the surroundings; from what is near enough there, links are followed for
-        as long as they stay near enough, so a query with many such nodes has no limit.
+        as long as they stay near enough.  A query whose whole beam, or more than ``crowd`` nodes, are
+        near enough gets None: comparing it with all nodes by a product is cheaper than the walk.
         """
         nodes, links = self.levels[-1]
         x = self.x[nodes]
         # Links are followed both ways: a node that others' thinned lists left out is still reached.
-        pointed, by = np.divmod(np.flatnonzero(links.ravel() >= 0), links.shape[1])[0], links.ravel()[links.ravel() >= 0]
-        order = np.argsort(by, kind="stable")
-        sources, start = pointed[order], np.searchsorted(by[order], np.arange(len(x) + 1))
-        out = []
+        sources, start = self._pointing
+        out: list[np.ndarray | None] = []
         for at in range(0, len(q), BATCH):
             part = q[at : at + BATCH]
             ids, sims = beam_search(x, links, part, self._enter(part, len(self.levels) - 1), beam)
             for row, (i, s) in enumerate(zip(ids, sims, strict=True)):
+                if (s >= least).all():
+                    out.append(None)
+                    continue
                 edge = i[s >= least - 0.02]
                 hits = [i[s >= least]]
+                many = len(hits[0])
                 seen = set(i[i >= 0].tolist())
-                while len(edge):
+                while len(edge) and many <= crowd:
                     near = np.unique(np.concatenate([links[edge].ravel(), *(sources[start[e] : start[e + 1]] for e in edge.tolist())]))
                     near = np.array([v for v in near.tolist() if v >= 0 and v not in seen], dtype=np.int64)
                     if not len(near):
@@ -166,8 +181,9 @@ class Graph:
                     seen.update(near.tolist())
                     found = x[near] @ part[row]
                     hits.append(near[found >= least])
+                    many += len(hits[-1])
                     edge = near[found >= least - 0.02]
-                out.append(nodes[np.concatenate(hits)])
+                out.append(nodes[np.concatenate(hits)] if many <= crowd else None)
         return out
 
     def dump(self) -> bytes:

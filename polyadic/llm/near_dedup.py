@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,6 +20,9 @@ SHARD_ROWS, SHARDS, SPLIT_ROWS = 100_000, 4, 4_096
 AUDIT_QUERIES, RECALL, FIRST_BEAM = 128, 0.99, 32
 #: Beyond this beam the shard is scanned instead.
 LAST_BEAM = 256
+#: Queries compared with a whole shard at a time.
+SCANNED = 64
+LOG = logging.getLogger(__name__)
 
 
 def _unit(column: pd.Series) -> np.ndarray:
@@ -32,18 +38,72 @@ def _build(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"dim": [int(frame["dim"].iloc[0])], "shard": [int(frame["shard"].iloc[0])], "graph": [graph.dump()], "exact": [x.tobytes()], "reps": [frame["rep"].to_numpy(np.int64).tobytes()], "copies": [frame["copies"].to_numpy(np.int64).tobytes()]})
 
 
-def _enough(true: list[np.ndarray], got: list[np.ndarray]) -> bool:
+def _recalls(true: list[np.ndarray], got: Iterable[np.ndarray]) -> list[float]:
+    """The share found of each query's links, of queries that have some."""
+    return [len(np.intersect1d(a, b)) / len(a) for a, b in zip(true, got, strict=True) if len(a)]
+
+
+def _enough(shares: list[float]) -> bool:
     """Whether queries find RECALL of their links on the mean, and none with links finds none, so that no large group outvotes the rest."""
-    shares = [len(np.intersect1d(a, b)) / len(a) for a, b in zip(true, got, strict=True) if len(a)]
     return not shares or (min(shares) > 0 and float(np.mean(shares)) >= RECALL)
 
 
+def _spread(x: np.ndarray, threshold: float) -> np.ndarray:
+    """Places of up to AUDIT_QUERIES rows, taken where the fewest others are near, so that a large group cannot fill the audit."""
+    pool = np.unique(np.linspace(0, len(x) - 1, min(16 * AUDIT_QUERIES, len(x))).astype(int))
+    near = (x[pool] @ x[pool].T >= threshold).sum(axis=1)
+    return np.sort(pool[np.argsort(near, kind="stable")[:AUDIT_QUERIES]])
+
+
+def _probes(exact: np.ndarray, threshold: float) -> np.ndarray:
+    """Stored vectors turned by known angles, so that each has a link whatever the data: cosines from just above the threshold to 0.999."""
+    rng = np.random.default_rng(11)
+    base = exact[_spread(exact, threshold)]
+    away = rng.standard_normal(base.shape)
+    away -= (away * base).sum(axis=1, keepdims=True) * base
+    length = np.linalg.norm(away, axis=1, keepdims=True)
+    away = np.divide(away, length, out=np.zeros_like(away), where=length > 1e-9)  # nothing to turn to in one dimension
+    low = min(threshold + 0.001, 0.999)
+    cosine = np.linspace(low, max(low, 0.999), len(base))[:, None]
+    turned = cosine * base + np.sqrt(1 - cosine**2) * away
+    return turned / np.linalg.norm(turned, axis=1, keepdims=True)
+
+
+def _unite(parent: np.ndarray, nodes: np.ndarray) -> None:
+    """Put nodes into one set: all of them and their roots point to the smallest root."""
+    roots = parent[nodes]
+    while True:
+        above = parent[roots]
+        if (above == roots).all():
+            break
+        roots = above
+    least = roots.min()
+    parent[roots] = least
+    parent[nodes] = least
+
+
 def _search(threshold: float):
-    def links_of(graph: Graph | None, exact: np.ndarray, q: np.ndarray, beam: int) -> list[np.ndarray]:
-        if graph is None:
-            return [np.flatnonzero(row >= threshold) for at in range(0, len(q), 256) for row in q[at : at + 256] @ exact.T]
-        found = graph.within(q.astype(np.float32), threshold - 1e-4, beam)
-        return [f[exact[f] @ v >= threshold] for f, v in zip(found, q, strict=True)]
+    def links_of(graph: Graph | None, exact: np.ndarray, q: np.ndarray, beam: int) -> Iterator[np.ndarray]:
+        """Each query's links, some queries at a time."""
+        for at in range(0, len(q), 256):
+            part = q[at : at + 256]
+            found: list[np.ndarray | None] = [None] * len(part)
+            if graph is not None:
+                found = graph.within(part.astype(np.float32), threshold - 1e-4, FIRST_BEAM)
+                lone = [k for k, f in enumerate(found) if f is not None]  # the others are among many, and scanned
+                if lone and beam > FIRST_BEAM:
+                    for k, f in zip(lone, graph.within(part[lone].astype(np.float32), threshold - 1e-4, beam), strict=True):
+                        found[k] = f
+            scanned = [k for k, f in enumerate(found) if f is None]
+            hits: dict[int, np.ndarray] = {}
+            for k, f in enumerate(found):
+                if f is not None:
+                    yield f[exact[f] @ part[k] >= threshold]
+                    continue
+                if k not in hits:
+                    some = [j for j in scanned if j >= k][:SCANNED]
+                    hits = dict(zip(some, (np.flatnonzero(row >= threshold) for row in part[some] @ exact.T), strict=True))
+                yield hits.pop(k)
 
     def search(queries: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(index):
@@ -54,35 +114,40 @@ def _search(threshold: float):
         graph = Graph.load(row["graph"])
         queries = queries.sort_values("rep")
         q, ids = _unit(queries["embedding"]), queries["rep"].to_numpy(np.int64)
-        # Widen the beam until a brute-force audit of some queries passes.
+        # Widen the beam until brute-force audits pass, of some queries and of probes that have links by construction.
         some = np.unique(np.linspace(0, len(q) - 1, min(AUDIT_QUERIES, len(q))).astype(int))
         true = [np.flatnonzero((row >= threshold) & (reps != me)) for row, me in zip(q[some] @ exact.T, ids[some], strict=True)]
+        probes = _probes(exact, threshold)
+        known = [np.flatnonzero(row >= threshold) for row in probes @ exact.T]
         beam = FIRST_BEAM
-        while True:
-            if _enough(true, links_of(graph, exact, q[some], beam)):
+        while graph is not None:
+            recalls = _recalls(known, links_of(graph, exact, probes, beam))
+            if _enough(recalls) and _enough(_recalls(true, links_of(graph, exact, q[some], beam))):
+                LOG.info("shard %s: beam %d, %d probes, least recall %.3f, mean %.4f", row.get("shard"), beam, len(recalls), min(recalls), float(np.mean(recalls)))
                 break
             beam *= 2
             if beam > LAST_BEAM:
+                LOG.info("shard %s: audits fail at a beam of %d; scanned", row.get("shard"), LAST_BEAM)
                 graph = None
-                break
-        root: dict[int, int] = {}
-
-        def find(v: int) -> int:
-            root.setdefault(v, v)
-            while root[v] != v:
-                root[v] = v = root[root[v]]
-            return v
-
-        counts: dict[int, int] = {}
-        for me, found in zip(ids.tolist(), links_of(graph, exact, q, beam), strict=True):
-            others = found[reps[found] != me]
-            counts[me] = int(copies[others].sum())
-            for other in reps[others].tolist():
-                u, v = find(me), find(other)
-                root[max(u, v)] = min(u, v)
-        linked = [v for v in root]
-        nodes = [*linked, *(v for v in counts if v not in root and counts[v])]
-        return pd.DataFrame({"node": nodes, "links": [counts.get(v, 0) for v in nodes], "root": [find(v) for v in nodes]}, dtype="int64")
+        # Nodes of the graph come first, then queries; a query that is a node of the graph is that node.
+        place = np.searchsorted(reps, reps)
+        own = np.minimum(np.searchsorted(reps, ids), len(reps) - 1)
+        me = np.where(reps[own] == ids, own, len(reps) + np.arange(len(ids)))
+        parent = np.arange(len(reps) + len(ids))
+        links, touched = np.zeros(len(parent), np.int64), np.zeros(len(parent), bool)
+        for k, found in enumerate(links_of(graph, exact, q, beam)):
+            others = found[reps[found] != ids[k]]
+            if len(others):
+                links[me[k]] = copies[others].sum()
+                nodes = np.append(place[others], me[k])
+                touched[nodes] = True
+                _unite(parent, nodes)
+        nodes = np.flatnonzero(touched)
+        roots = parent[nodes]
+        while (parent[roots] != roots).any():
+            roots = parent[roots]
+        names = np.concatenate((reps, ids))
+        return pd.DataFrame({"node": names[nodes], "links": links[nodes], "root": names[roots]}, dtype="int64")
 
     return search
 
@@ -95,7 +160,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     whether that is the row itself.  Vectors that are null, empty or zero, or hold null or non-finite
     components, link with nothing, and vectors of different lengths do not link.  Equal vectors are
     searched once.  Rows that repeat an identifier count as other rows.  Links other than between
-    equal vectors are those found by the graphs, whose recall is audited in every task.  Columns
+    equal vectors are those found by the graphs.  Every task audits its recall by brute force, on some
+    of its queries and on turned copies of stored vectors, which have links by construction; it
+    widens its beam, and at last scans the shard, until both pass, and logs what it measured.  A
+    query among more than some hundred near copies is compared with its whole shard instead of
+    walking through them.  Cosines exactly at the threshold link; an empty table gives no rows.  Columns
     other than the two named are not read.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec"), F.col(vector_col).cast("array<double>").alias("embedding"))
