@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from polyadic.functions.numeric import safe_div
+from polyadic.operators import lines
 from polyadic.plans.einsum import einsum, parse_spec
 from polyadic.tensor import Tensor
 
@@ -68,10 +70,14 @@ def reduction_vjp(x: Tensor, axes: Sequence[str], op: str, gradient: Tensor) ->
         for a in axes:
             n *= x.size_of(a)
         return x.with_df(both.withColumn("v", F.col("__g") / (n if op == "mean" else 1)))
-    from pyspark.sql import Window
-
+    extreme = F.max if op == "max" else F.min
+    if lines.cells(x, axes) > lines.CHUNK:
+        n = lines.count(x, *axes)
+        ties = lines.with_totals(both, keep, n, __b=extreme("v")).select(*x.axes, "v", "__g", "__b")
+        ties = lines.with_totals(ties, keep, n, __n=F.sum((F.col("v") == F.col("__b")).cast("double")))
+        return x.with_df(ties.withColumn("v", F.when(F.col("v") == F.col("__b"), F.col("__g") / F.col("__n")).otherwise(0.0)))
     w = Window.partitionBy(*keep)
-    best = (F.max if op == "max" else F.min)("v").over(w)
+    best = extreme("v").over(w)
     ties = both.withColumn("__b", best).withColumn("__n", F.sum((F.col("v") == F.col("__b")).cast("double")).over(w))
     return x.with_df(ties.withColumn("v", F.when(F.col("v") == F.col("__b"), F.col("__g") / F.col("__n")).otherwise(0.0)))
 

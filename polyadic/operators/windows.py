@@ -1,4 +1,7 @@
-"""Cumulative, ordering, normalising and sliding operations along axes."""
+"""Cumulative, ordering, normalising and sliding operations along axes.
+
+A line of up to ``lines.CHUNK`` cells is one window; longer ones, such as long vectors, go by chunks.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from polyadic.operators import lines
 from polyadic.tensor import Tensor
 
 
@@ -17,12 +21,16 @@ def _along(t: Tensor, axis: str):
 def cumulative(t: Tensor, axis: str, op: str = "sum") -> Tensor:
     """Running sum, product, minimum or maximum along an axis."""
     f = {"sum": F.sum, "prod": F.product, "min": F.min, "max": F.max}[op]
+    if t.size_of(axis) > lines.CHUNK:
+        return lines.scan(t.dense(), axis, op, lines.CHUNK)
     w = _along(t, axis).rowsBetween(Window.unboundedPreceding, 0)
     return t.with_df(t.dense().df.withColumn("v", f("v").over(w)))
 
 
 def diff(t: Tensor, axis: str) -> Tensor:
     """Differences of neighbours; the axis is one shorter."""
+    if t.size_of(axis) > lines.CHUNK:
+        return lines.differences(t.dense(), axis)
     out = t.dense().df.withColumn("v", F.lead("v").over(_along(t, axis)) - F.col("v")).where("v is not null")
     return Tensor(out.select(*t.axes, "v"), t.axes, tuple(s - (a == axis) for a, s in zip(t.axes, t.shape, strict=True)))
 
@@ -31,21 +39,34 @@ def sort(t: Tensor, axis: str, descending: bool = False, positions: bool = False
     """Cells in order along an axis, or with ``positions`` where each came from; ties by position."""
     order = F.col("v").desc() if descending else F.col("v").asc()
     w = Window.partitionBy(*t.others(axis)).orderBy(order, axis)
-    ranked = t.dense().df.withColumn("__k", (F.row_number().over(w) - 1).cast("long"))
+    if t.size_of(axis) > lines.CHUNK:
+        ranked = lines.ranked(t.dense(), axis, descending, "__k")
+    else:
+        ranked = t.dense().df.withColumn("__k", (F.row_number().over(w) - 1).cast("long"))
     value = F.col(axis).cast("double") if positions else F.col("v")
     return t.with_df(ranked.select(*(F.col("__k").alias(a) if a == axis else a for a in t.axes), value.alias("v")))
 
 
 def softmax(t: Tensor, axis: str, log: bool = False) -> Tensor:
-    w = Window.partitionBy(*t.others(axis))
-    shifted = t.dense().df.withColumn("__s", F.col("v") - F.max("v").over(w))
-    total = F.sum(F.exp("__s")).over(w)
+    if t.size_of(axis) > lines.CHUNK:
+        by, n = t.others(axis), lines.count(t, axis)
+        shifted = lines.with_totals(t.dense().df, by, n, __m=F.max("v")).withColumn("__s", F.col("v") - F.col("__m"))
+        shifted = lines.with_totals(shifted.select(*t.axes, "__s"), by, n, __t=F.sum(F.exp("__s")))
+        total = F.col("__t")
+    else:
+        w = Window.partitionBy(*t.others(axis))
+        shifted = t.dense().df.withColumn("__s", F.col("v") - F.max("v").over(w))
+        total = F.sum(F.exp("__s")).over(w)
     return t.with_df(shifted.withColumn("v", F.col("__s") - F.ln(total) if log else F.exp("__s") / total))
 
 
 def normalise(t: Tensor, over: Sequence[str], epsilon: float = 1e-5) -> Tensor:
     """Layer norm: zero mean and unit variance (by n) over the axes ``over``; batch norm has the first axis there."""
-    w = Window.partitionBy(*t.others(*over))
+    by = t.others(*over)
+    if lines.cells(t, over) > lines.CHUNK:
+        both = lines.with_totals(t.dense().df, by, lines.count(t, *over), __a=F.avg("v"), __q=F.var_pop("v"))
+        return t.with_df(both.withColumn("v", (F.col("v") - F.col("__a")) / F.sqrt(F.col("__q") + epsilon)))
+    w = Window.partitionBy(*by)
     return t.with_df(t.dense().df.withColumn("v", (F.col("v") - F.avg("v").over(w)) / F.sqrt(F.var_pop("v").over(w) + epsilon)))
 
 
