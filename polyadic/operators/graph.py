@@ -147,7 +147,7 @@ def independent_set(edges: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def topological_levels(edges: DataFrame) -> DataFrame:
-    """(id, level): longest path from a source; a cycle is an error."""
+    """(id, level): longest path from a source; a cycle is an error, and no edges give no rows."""
     edges = cut(edges.select("src", "dst").distinct())
     left = cut(vertices(edges))
     done, level, live = None, 0, edges
@@ -159,7 +159,7 @@ def topological_levels(edges: DataFrame) -> DataFrame:
         left = cut(left.join(ready, "id", "left_anti"))
         live = cut(live.join(ready.select(F.col("id").alias("src")), "src", "left_anti"))
         level += 1
-    return done
+    return left.select("id", F.lit(0).alias("level")) if done is None else done
 
 
 def strong_components(edges: DataFrame) -> DataFrame:

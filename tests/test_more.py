@@ -1,6 +1,8 @@
+import duckdb
 import numpy as np
 import pytest
 
+import __spark_entry__ as entry
 from polyadic.operators import decomp, graph, linalg, shape, sparse, tape
 from polyadic.sources import files
 from polyadic.tensor import from_numpy
@@ -91,3 +93,28 @@ def test_matrix_market_of_many_files(spark, tmp_path):
     files.write_matrix_market(t.with_df(t.df.repartition(3)), str(tmp_path / "m"))
     got = files.read_matrix_market(spark, str(tmp_path / "m"))
     assert got.shape == (40, 30) and np.array_equal(got.to_numpy(), x)
+
+
+def _even_trade(folder):
+    """Tables of two nations that trade alike, so that no trade is above 1.3 times the mean."""
+    for name, rows in {
+        "customer": "(0, 0), (1, 1)) t(c_custkey, c_nationkey)",
+        "supplier": "(0, 0), (1, 1)) t(s_suppkey, s_nationkey)",
+        "orders": "(0, 0), (1, 1)) t(o_orderkey, o_custkey)",
+        "lineitem": "(0, 0, 5.0), (0, 1, 5.0), (1, 0, 5.0), (1, 1, 5.0)) t(l_orderkey, l_suppkey, l_quantity)",
+    }.items():
+        duckdb.sql(f"COPY (SELECT * FROM (VALUES {rows}) TO '{folder}/{name}.parquet'")
+
+
+def _by_sql(folder, name):
+    con = duckdb.connect()
+    for t in ("customer", "supplier", "orders", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    return con.execute(entry.oracle_sql()[name]).fetchall()
+
+
+def test_topological_levels_without_heavy_trade(spark, tmp_path):
+    _even_trade(tmp_path)
+    assert graph.topological_levels(_edges(spark, [])).collect() == []
+    got = entry.queries()["graph_topological_levels"](spark, str(tmp_path))
+    assert got.collect() == _by_sql(tmp_path, "graph_topological_levels") == []
