@@ -321,7 +321,7 @@ def graph_strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.strong_components(_heavy(spark, sf_dir))
 
 
-@_query(f"WITH RECURSIVE {_NATIONS}, {_HEAVY}, r(x, y) AS (SELECT src, dst FROM b UNION SELECT x, dst FROM r JOIN b ON src = y) SELECT bool_or(x = y) AS cyclic, FALSE AS cyclic_upwards FROM r")
+@_query(f"WITH RECURSIVE {_NATIONS}, {_HEAVY}, r(x, y) AS (SELECT src, dst FROM b UNION SELECT x, dst FROM r JOIN b ON src = y) SELECT coalesce(bool_or(x = y), FALSE) AS cyclic, FALSE AS cyclic_upwards FROM r")
 def graph_has_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = graph.has_cycle(_heavy(spark, sf_dir)), graph.has_cycle(_heavy(spark, sf_dir, below=True))
     return spark.createDataFrame([found], "cyclic boolean, cyclic_upwards boolean")

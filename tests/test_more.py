@@ -118,3 +118,9 @@ def test_topological_levels_without_heavy_trade(spark, tmp_path):
     assert graph.topological_levels(_edges(spark, [])).collect() == []
     got = entry.queries()["graph_topological_levels"](spark, str(tmp_path))
     assert got.collect() == _by_sql(tmp_path, "graph_topological_levels") == []
+
+
+def test_no_cycle_without_heavy_trade(spark, tmp_path):
+    _even_trade(tmp_path)
+    got = entry.queries()["graph_has_cycle"](spark, str(tmp_path)).collect()
+    assert got == _by_sql(tmp_path, "graph_has_cycle") == [(False, False)]
