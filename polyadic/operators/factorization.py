@@ -100,6 +100,24 @@ def solve(t: Triangle, b: Tensor) -> Tensor:
     return Tensor(spark.read.schema("i long, v double").parquet(*(f"{folder}/level={k}" for k in range(t.levels))), ("i",), (t.n,))
 
 
+def _needed(rows: DataFrame, done: DataFrame) -> DataFrame:
+    """(row, k, column, u): the cells of finished rows k that change a cell of ``rows`` or divide one.
+
+    Pivots and what changes a row's own diagonal are as many as the rows' cells left of it.  Of the
+    rest only columns are looked at that some of the rows have beside the diagonal, and of these only
+    cells go on whose place the row has.
+    """
+    left = rows.where("j < i").select(F.col("i").alias("row"), F.col("j").alias("k"))
+    upper = done.select(F.col("i").alias("k"), F.col("j").alias("column"), F.col("v").alias("u"))
+    # Both are one join each: a pivot's column is k, and a diagonal's column is the row.
+    pivots = left.join(upper.where("column = k"), "k")
+    own = left.join(upper.where("column > k").withColumnRenamed("column", "row"), ["k", "row"]).withColumn("column", F.col("row"))
+    beside = rows.where("i <> j").select(F.col("i").alias("row"), F.col("j").alias("column"))
+    shared = upper.where("column > k").join(beside.select("column").distinct(), "column", "left_semi")
+    rest = left.join(shared, "k").where("column <> row").join(beside, ["row", "column"], "left_semi")
+    return pivots.select("row", "k", "column", "u").unionByName(own.select("row", "k", "column", "u")).unionByName(rest.select("row", "k", "column", "u"))
+
+
 def ilu0(a: Tensor) -> tuple[Tensor, Tensor]:
     """L (with a diagonal of ones) and U with L U = A on the cells that A has.
 
@@ -135,7 +153,7 @@ def ilu0(a: Tensor) -> tuple[Tensor, Tensor]:
         rows = spark.read.schema("i long, j long, v double").parquet(f"{source}/level={k}")
         if k:
             done = spark.read.schema("i long, j long, v double").parquet(*(f"{folder}/level={m}" for m in range(k))).where("j >= i")
-            needed = rows.where("j < i").select(F.col("i").alias("row"), F.col("j").alias("k")).join(done.select(F.col("i").alias("k"), F.col("j").alias("column"), F.col("v").alias("u")), "k").select("row", "k", "column", "u")
+            needed = _needed(rows, done)
             rows = rows.groupBy("i").cogroup(needed.groupBy("row")).applyInArrow(eliminate, "i long, j long, v double")
         rows.write.parquet(f"{folder}/level={k}")
     out = spark.read.schema("i long, j long, v double").parquet(*(f"{folder}/level={k}" for k in range(count)))

@@ -42,6 +42,33 @@ def spmm(a: Tensor, b: Tensor) -> Tensor:
     return dropped(einsum("ij,jk->ik", a, b))
 
 
+def masked_product(a: Tensor, b: Tensor, mask: DataFrame) -> Tensor:
+    """The product of two sparse matrices of one square shape, only at the places (i, j) of ``mask``.
+
+    Diagonals meet one cell each, and so does what goes from i over k back to i.  For the rest, rows
+    that ``a`` has at the mask's places leave columns, and only cells of ``b`` in these are multiplied,
+    so that a pattern without triangles makes no products beside those that count.
+    """
+    if not a.shape == b.shape or len(set(a.shape)) != 1:
+        raise ValueError("two square matrices of one size are needed")
+    mask = mask.select("i", "j").distinct()
+    x = a.renamed(("i", "k")).df.withColumnRenamed("v", "__x")
+    y = b.renamed(("k", "j")).df.withColumnRenamed("v", "__y")
+    product = (F.col("__x") * F.col("__y")).alias("v")
+    straight, turned = x.where("i = k").select("k", "__x"), y.where("k = j").select("k", "__y")
+    x, y = x.where("i <> k"), y.where("k <> j")
+    by_diagonal = straight.join(y, "k").select(F.col("k").alias("i"), "j", product)
+    on_diagonal = x.join(turned, "k").select("i", F.col("k").alias("j"), product)
+    both = straight.join(turned, "k").select(F.col("k").alias("i"), F.col("k").alias("j"), product)
+    back = x.join(y.withColumnRenamed("j", "i"), ["i", "k"]).groupBy("i").agg(F.sum(product).alias("v")).select("i", F.col("i").alias("j"), "v")
+    off = mask.where("i <> j").join(x.select("i").distinct(), "i", "left_semi")
+    kept = y.join(off.select("j").distinct(), "j", "left_semi")
+    rest = x.join(kept, "k").where("i <> j").select("i", "j", product).join(off, ["i", "j"], "left_semi")
+    few = by_diagonal.unionByName(on_diagonal).unionByName(both).unionByName(back).join(mask, ["i", "j"], "left_semi")
+    out = few.unionByName(rest).groupBy("i", "j").agg(F.sum("v").alias("v"))
+    return Tensor(out, ("i", "j"), a.shape)
+
+
 def transposed(a: Tensor) -> Tensor:
     return Tensor(a.df.select(*reversed(a.axes), "v"), a.axes[::-1], a.shape[::-1])
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from polyadic.operators import factorization as fz
-from polyadic.operators import krylov
+from polyadic.operators import krylov, sparse
 from polyadic.tensor import from_numpy
 
 
@@ -97,3 +97,24 @@ def test_ssor(spark):
     d = np.diag(np.diag(a))
     m = (d + w * np.tril(a, -1)) @ np.linalg.inv(d) @ (d + w * np.triu(a, 1)) / (w * (2 - w))
     assert np.allclose(fz.ssor_preconditioner(matrix(spark, a), w)(vector(spark, b)).to_numpy(), np.linalg.solve(m, b))
+
+
+def test_only_cells_that_count_are_sent(spark):
+    """Two sides: each cell left of the diagonal needs its pivot and changes the diagonal, and pairs of one column's cells are not made."""
+    n, m = 6, 5
+    a = bipartite(n, m)
+    cells = matrix(spark, a).df
+    rows, done = cells.where(f"i >= {n}"), cells.where(f"i < {n} and j >= i")
+    needed = fz._needed(rows, done)
+    left = int((a[n:, :n] != 0).sum())
+    assert needed.count() == 2 * left and needed.where("column <> k and column <> row").isEmpty()
+    got = sparse.masked_product(matrix(spark, np.tril(a)), matrix(spark, np.triu(a)), cells.select("i", "j")).to_numpy()
+    assert np.allclose(got, np.where(a != 0, np.tril(a) @ np.triu(a), 0))
+
+
+def test_masked_product(spark):
+    rng = np.random.default_rng(5)
+    a, b = (rng.normal(size=(9, 9)) * (rng.random((9, 9)) < 0.5) for _ in range(2))
+    mask = rng.random((9, 9)) < 0.4
+    got = sparse.masked_product(matrix(spark, a), matrix(spark, b), matrix(spark, mask.astype(float)).df.select("i", "j")).to_numpy()
+    assert np.allclose(got, np.where(mask, a @ b, 0))
