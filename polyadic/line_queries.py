@@ -14,7 +14,7 @@ def item_vector(spark: SparkSession, sf_dir: str, column: str) -> Tensor:
     """x[i]: a column of lineitem in the order of orders and their lines; lines that repeat a number follow by value."""
     rows = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col(column).cast("double").alias("v"))
     n = rows.count()
-    return Tensor(lines.places(rows, [F.col("l_orderkey"), F.col("l_linenumber"), F.col("v")], "i").select("i", "v"), ("i",), (n,))
+    return Tensor(lines.places(rows, [F.col("l_orderkey"), F.col("l_linenumber"), F.col("v")], "i", rows=n).select("i", "v"), ("i",), (n,))
 
 
 def _items(column: str) -> str:

@@ -10,16 +10,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from polyadic.iterate import cut
-from polyadic.tensor import Tensor
+from polyadic.tensor import Tensor, grid
 
 #: Cells of a line that one task takes; longer lines go by chunks.
 CHUNK = 1 << 14
 #: Rows of a side that is broadcast; the number of lines and chunks is known from the shape.
 BROADCAST_ROWS = 200_000
+#: Cells of a task that sorts or groups a known number.
+TASK_CELLS = 1 << 20
 
 _SCANS = {
     "sum": (F.sum, lambda a, b: a + b),
@@ -33,6 +36,11 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def tasks(spark: SparkSession, rows: int) -> int:
+    """Partitions for so many rows: the session's number, more if a task had over TASK_CELLS."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_CELLS))
+
+
 def cells(t: Tensor, axes: Sequence[str]) -> int:
     """Cells of a line, or of a block of several axes."""
     return int(np.prod([t.size_of(a) for a in axes], dtype=np.int64))
@@ -59,13 +67,16 @@ def scan(t: Tensor, axis: str, op: str, chunk: int = CHUNK) -> Tensor:
     return t.with_df(joined.withColumn("v", F.when(F.col("__b").isNull(), F.col("v")).otherwise(combine(F.col("__b"), F.col("v")))))
 
 
-def places(df: DataFrame, order: Sequence[Column], name: str = "place") -> DataFrame:
+def places(df: DataFrame, order: Sequence[Column], name: str = "place", rows: int | None = None) -> DataFrame:
     """Rows with their 0-based place in an order that leaves no ties.
 
+    If the number of ``rows`` is told, there are as many partitions as keep a task's rows few.
+
     The rows are sorted by range partitions and written, so that partitions and places in them stand
     fast; a place is the rows of the partitions before plus the place within.
     """
-    ordered = df.orderBy(*order).withColumn("__p", F.spark_partition_id()).withColumn("__k", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    ordered = df.orderBy(*order) if rows is None else df.repartitionByRange(tasks(df.sparkSession, rows), *order).sortWithinPartitions(*order)
+    ordered = ordered.withColumn("__p", F.spark_partition_id()).withColumn("__k", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
     ordered = cut(ordered)
     counts = ordered.groupBy("__p").agg(F.count("*").alias("__n"))  # a row for each partition
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -79,17 +90,40 @@ def ranked(t: Tensor, axis: str, descending: bool, name: str) -> DataFrame:
     As every line has as many cells as the others, a place in the order of all cells tells the place in its line.
     """
     value = F.col("v").desc() if descending else F.col("v").asc()
-    found = places(t.df, [*(F.col(a) for a in t.others(axis)), value, F.col(axis)], "__g")
+    found = places(t.df, [*(F.col(a) for a in t.others(axis)), value, F.col(axis)], "__g", rows=cells(t, t.axes))
     return found.withColumn(name, F.col("__g") % t.size_of(axis)).drop("__g")
 
 
-def differences(t: Tensor, axis: str) -> Tensor:
-    """v[i + 1] - v[i]: each cell is sent to itself and to the cell before, so no line is sorted."""
-    last = t.size_of(axis) - 2
-    sent = t.df.withColumn("__o", F.explode(F.array(F.lit(0), F.lit(1))))
-    sent = sent.withColumn("v", F.when(F.col("__o") == 1, F.col("v")).otherwise(-F.col("v"))).withColumn(axis, F.col(axis) - F.col("__o").cast("long"))
-    out = sent.where(F.col(axis).between(0, last)).groupBy(*t.axes).agg(F.sum("v").alias("v"))
-    return Tensor(out, t.axes, tuple(s - (a == axis) for a, s in zip(t.axes, t.shape, strict=True)))
+def differences(t: Tensor, axis: str, chunk: int | None = None) -> Tensor:
+    """v[i + 1] - v[i], a row for each cell; cells without a row are 0.
+
+    A chunk with the first cell of the next one is a group, and chunks are dealt to tasks of about
+    TASK_CELLS cells, so that a task's rows do not grow with the line.
+    """
+    chunk = CHUNK if chunk is None else chunk
+    keys, size, last = t.others(axis), t.size_of(axis), t.size_of(axis) - 2
+    shape = tuple(s - (a == axis) for a, s in zip(t.axes, t.shape, strict=True))
+    chunks = -(-(size - 1) // chunk)
+    spark = t.df.sparkSession
+    here = F.floor(F.col(axis) / chunk).cast("long")
+    sent = t.df.select(*keys, F.col(axis), "v", here.alias("__c"))
+    first = sent.where((F.col(axis) % chunk == 0) & (F.col(axis) > 0)).withColumn("__c", F.col("__c") - 1)
+    # Chunks without any cell have rows, too.
+    empty = grid(spark, (*keys, "__c"), (*(t.size_of(a) for a in keys), chunks)).select(*keys, F.lit(None).cast("long").alias(axis), F.lit(0.0).alias("v"), "__c")
+    rows = sent.where(F.col("__c") < chunks).unionByName(first).unionByName(empty).repartition(tasks(spark, cells(t, t.axes)), *keys, "__c")
+    fields = [*keys, axis]
+
+    def between(key: tuple, rows: pa.Table) -> pa.Table:
+        *line, c = (k.as_py() for k in key)
+        low, width = c * chunk, min(chunk, last + 1 - c * chunk)
+        x = np.zeros(chunk + 1)
+        there = rows.filter(rows[axis].is_valid())
+        np.add.at(x, there[axis].to_numpy() - low, there["v"].to_numpy())
+        columns = {a: np.full(width, k, dtype=np.int64) for a, k in zip(keys, line, strict=True)}
+        return pa.table({**columns, axis: np.arange(low, low + width), "v": np.diff(x)[:width]})
+
+    out = rows.groupBy(*keys, "__c").applyInArrow(between, ", ".join(f"{a} long" for a in fields) + ", v double")
+    return Tensor(out.select(*t.axes, "v"), t.axes, shape)
 
 
 def with_totals(df: DataFrame, by: Sequence[str], lines: int, **totals: Column) -> DataFrame:

@@ -30,7 +30,7 @@ def cumulative(t: Tensor, axis: str, op: str = "sum") -> Tensor:
 def diff(t: Tensor, axis: str) -> Tensor:
     """Differences of neighbours; the axis is one shorter."""
     if t.size_of(axis) > lines.CHUNK:
-        return lines.differences(t.dense(), axis)
+        return lines.differences(t, axis)
     out = t.dense().df.withColumn("v", F.lead("v").over(_along(t, axis)) - F.col("v")).where("v is not null")
     return Tensor(out.select(*t.axes, "v"), t.axes, tuple(s - (a == axis) for a, s in zip(t.axes, t.shape, strict=True)))
 

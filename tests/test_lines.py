@@ -81,3 +81,16 @@ def test_gradients_of_extremes_share_ties(spark):
     got = ad.reduction_vjp(t, ["i"], "max", g).to_numpy()
     want = np.stack([np.where(x == 3, 2.0, 0.0), np.where(x == 0, 2.0, 0.0)])
     assert np.allclose(got, want)
+
+
+def test_tasks_do_not_grow_with_the_line(spark, monkeypatch):
+    """61 cells at 4 a task are 16 tasks, more than the session's 4; the results stay."""
+    monkeypatch.setattr(lines, "TASK_CELLS", 4)
+    v = from_numpy(spark, VECTOR, ["i"])
+    placed = lines.places(v.dense().df, [F.col("i").desc()], rows=61)
+    sizes = placed.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) > 8 and max(r["count"] for r in sizes) < 12
+    assert all(r["place"] == 60 - r["i"] for r in placed.collect())
+    found = lines.differences(v, "i", chunk=2)
+    assert np.array_equal(found.to_numpy(), np.diff(VECTOR)) and found.df.count() == 60
+    assert found.df.rdd.getNumPartitions() >= 16
