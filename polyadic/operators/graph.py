@@ -37,21 +37,47 @@ def bfs(edges: DataFrame, source: int) -> DataFrame:
         found = cut(found.union(frontier))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest vertex connected by edges of either direction.
+def _contracted(edges: DataFrame, stop_at_odd: bool = False) -> DataFrame | None:
+    """(id, component, odd): the smallest connected vertex, and whether the found path to it has an odd length.
 
-    Each round takes the smallest label around a vertex, and then that label's own label.
+    Each round hooks every vertex to its smallest neighbour, follows the hooks to their ends and puts
+    these in the place of the links' ends; links inside a vertex go, so that the links get fewer from
+    round to round.  Lookups stream the links past a hash table of vertices, which
+    keeps links out of sorts.  With ``stop_at_odd`` the result is None as soon as a cycle is odd.
     """
-    both = cut(_both(edges))
-    labels = cut(both.select(F.col("src").alias("id")).distinct().withColumn("component", F.col("id")))
+    links = cut(edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.lit(1).cast("byte").alias("q")))
+    labels = None
+
+    def found(rows: DataFrame, key: str, hooks: DataFrame, odd: str) -> DataFrame:
+        """``rows`` with what hooks say of ``key``: its place taken by the new end, ``odd`` turned by the path's parity."""
+        return rows.join(hooks.select(F.col("id").alias(key), F.col("m").alias("__m"), F.col("p").alias("__p")).hint("shuffle_hash"), key).withColumn(key, F.col("__m")).withColumn(odd, F.col(odd).bitwiseXOR(F.col("__p"))).drop("__m", "__p")
+
     while True:
-        around = both.join(labels, F.col("dst") == F.col("id")).groupBy("src").agg(F.min("component").alias("m"))
-        hooked = labels.join(around.withColumnRenamed("src", "id"), "id", "left").select("id", F.least("component", F.coalesce("m", "component")).alias("component"), F.col("component").alias("old"))
-        step = labels.select(F.col("id").alias("component"), F.col("component").alias("up"))
-        new = cut(hooked.join(step, "component").select("id", F.least("component", "up").alias("component"), "old"))
-        if new.where("component <> old").isEmpty():
-            return new.select("id", "component")
-        labels = new.select("id", "component")
+        ends = links.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.col("v").alias("m"), "q"), F.struct(F.col("v").alias("id"), F.col("u").alias("m"), "q"))).alias("e")).select("e.*").where("id is not null")
+        least = ends.groupBy("id").agg(F.min("m").alias("m"), F.min_by("q", "m").alias("p"))
+        lower = F.coalesce(F.col("m") < F.col("id"), F.lit(False))
+        hooks = cut(least.select("id", F.when(lower, F.col("m")).otherwise(F.col("id")).alias("m"), F.when(lower, F.col("p")).otherwise(F.lit(0)).cast("byte").alias("p")))
+        while True:  # to the end of every chain of hooks, twice as far each time
+            further = cut(found(hooks.withColumn("__o", F.col("m")), "m", hooks, "p").select("id", "m", "p", "__o"))
+            hooks = further.select("id", "m", "p")
+            if further.where("m <> __o").isEmpty():
+                break
+        if labels is None:
+            labels = hooks.select("id", F.col("m").alias("component"), F.col("p").alias("odd"))
+        else:
+            on = hooks.select(F.col("id").alias("component"), F.col("m").alias("__m"), F.col("p").alias("__p"))
+            labels = cut(labels.join(on, "component", "left").select("id", F.coalesce("__m", "component").alias("component"), F.col("odd").bitwiseXOR(F.coalesce("__p", F.lit(0).cast("byte"))).alias("odd")))
+        moved = found(found(links, "u", hooks, "q"), "v", hooks, "q")
+        links = cut(moved.where("u <> v or q = 1" if stop_at_odd else "u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "q").distinct())
+        if stop_at_odd and not links.where("u = v").isEmpty():
+            return None
+        if links.isEmpty():
+            return labels
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component): the smallest vertex connected by edges of either direction."""
+    return _contracted(edges).select("id", "component")
 
 
 def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, max_rounds: int = 100) -> DataFrame:
@@ -102,13 +128,8 @@ def triangles(edges: DataFrame) -> DataFrame:
 
 
 def bipartite(edges: DataFrame) -> bool:
-    """Whether no cycle is odd: in the double cover no vertex meets its own other copy."""
-    both = _both(edges)
-    cover = both.select((F.col("src") * 2).alias("src"), (F.col("dst") * 2 + 1).alias("dst"))
-    found = components(cover)
-    a = found.where("id % 2 = 0").select((F.col("id") / 2).cast("long").alias("v"), "component")
-    b = found.where("id % 2 = 1").select(((F.col("id") - 1) / 2).cast("long").alias("v"), F.col("component").alias("other"))
-    return a.join(b, "v").where("component = other").isEmpty()
+    """Whether no cycle is odd: links that are put together keep the parity of their path, and none may join a vertex to itself by an odd one."""
+    return _contracted(edges.where("src is not null and dst is not null"), stop_at_odd=True) is not None
 
 
 def spanning_forest(edges: DataFrame) -> DataFrame:

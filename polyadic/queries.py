@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from polyadic import blocks
 from polyadic.blocks import einsum_blocks
 from polyadic.functions.numeric import UNARY
-from polyadic.operators import ad, decomp, elementwise, fourier, graph, kernels, krylov, linalg, optim, reduce, shape, sparse, windows
+from polyadic.operators import ad, decomp, elementwise, fourier, graph, kernels, krylov, linalg, lines, optim, reduce, shape, sparse, windows
 from polyadic.plans.einsum import einsum
 from polyadic.tensor import Tensor, from_numpy, from_table, positions
 
@@ -430,9 +430,13 @@ def sparse_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sales_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges (src, dst, w) from customers to the suppliers of their items, of all lineitem rows."""
-    lines = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
-    lines = lines.join(_read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
-    return lines.groupBy((F.col("o_custkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst")).agg(F.sum("l_quantity").alias("w"))
+    rows = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
+    orders = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    count = rows.count()
+    if count > 8 * lines.TASK_CELLS:  # tasks of a bounded number of rows
+        parts = lines.tasks(spark, count)
+        rows, orders = rows.repartition(parts, "l_orderkey"), orders.repartition(parts, "l_orderkey")
+    return rows.join(orders, "l_orderkey").groupBy((F.col("o_custkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst")).agg(F.sum("l_quantity").alias("w"))
 
 
 _GRAPH = "g AS (SELECT o_custkey * 2 AS src, l_suppkey * 2 + 1 AS dst, sum(l_quantity) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"

@@ -3,6 +3,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from polyadic.iterate import cut
 from polyadic.operators import decomp, graph, linalg, shape, sparse, tape
 from polyadic.sources import files
 from polyadic.tensor import from_numpy
@@ -124,3 +125,25 @@ def test_no_cycle_without_heavy_trade(spark, tmp_path):
     _even_trade(tmp_path)
     got = entry.queries()["graph_has_cycle"](spark, str(tmp_path)).collect()
     assert got == _by_sql(tmp_path, "graph_has_cycle") == [(False, False)]
+
+
+def test_components_and_two_sides(spark):
+    """Three parts with links between their two sides only, numbers mixed; then a link that closes an odd cycle, and a loop."""
+    rng = np.random.default_rng(4)
+    number = rng.permutation(30).tolist()
+    pairs = [(i, i // 10 * 10 + int(rng.integers(0, i % 10)) // 2 * 2 + 1 - i % 2) for i in range(30) if i % 10 > 1]
+    pairs += [(i + 1, i) for i in (0, 10, 20)]
+    edges = _edges(spark, [(number[a], number[b]) for a, b in pairs])
+    want = {number[i]: min(number[i // 10 * 10 : i // 10 * 10 + 10]) for i in range(30)}
+    assert {r["id"]: r["component"] for r in graph.components(edges.union(_edges(spark, [(99, 99)]))).collect()} == want | {99: 99}
+    assert graph.bipartite(edges)
+    assert not graph.bipartite(edges.union(_edges(spark, [(number[20], number[28])])))
+
+
+def test_links_are_put_together(spark, monkeypatch):
+    """A path of 33 vertices takes a few rounds, and no copy of the graph with every vertex twice."""
+    written = []
+    monkeypatch.setattr(graph, "cut", lambda df: written.append(cut(df)) or written[-1])
+    edges = _edges(spark, [(k, k + 1) for k in range(32)])
+    assert graph.bipartite(edges) and len(written) < 25
+    assert max(df.count() for df in written) <= 33
