@@ -98,3 +98,19 @@ def test_wide_and_empty(spark):
     assert not r.any() and tall.rank(r) == 0 and q.df.count() == 0
     with pytest.raises(ValueError):
         tall.strips(from_numpy(spark, np.ones((1, 3000)), ("i", "j")))
+
+
+def test_few_cells_make_no_dense_blocks(spark, monkeypatch):
+    """A matrix with a cell in a hundred goes by pairs of cells, a full one by blocks; the results are those of NumPy."""
+    from polyadic import blocks as b
+
+    taken = []
+    plain = b.einsum_blocks
+    monkeypatch.setattr(b, "einsum_blocks", lambda *args: taken.append(1) or plain(*args))
+    x = np.zeros((40, 50))
+    x[np.arange(20), np.arange(20) * 2] = np.arange(1.0, 21)
+    for array, blocks_taken in ((x, 0), (np.arange(1.0, 2001).reshape(40, 50), 1)):
+        t = from_numpy(spark, array, ("p", "s"))
+        assert b.cell_pairs("pi,pj->ij", t, t) == int(((array != 0).sum(axis=1) ** 2).sum())
+        assert np.array_equal(b.einsum_by_density("pi,pj->ij", t, t).to_numpy(), array.T @ array)
+        assert len(taken) == blocks_taken
