@@ -408,6 +408,7 @@ def sparse_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"WITH {_NATIONS}, b AS (SELECT i, j, v FROM a WHERE v > (SELECT avg(v) FROM a)) SELECT count(*) AS stored, count(*) / 625.0::DOUBLE AS density, max(greatest(x.j - x.i, 0)) AS upper_band, max(greatest(x.i - x.j, 0)) AS lower_band, min(CASE WHEN y.v IS NULL THEN 0 ELSE 1 END) AS pattern_symmetric, min(CASE WHEN y.v = x.v THEN 1 ELSE 0 END) AS symmetric FROM b x LEFT JOIN b y ON x.i = y.j AND x.j = y.i")
 def sparse_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = nations(spark, sf_dir)
+    a = a.with_df(cut(a.df))  # the tables are joined once, for all that comes
     mean = a.df.agg(F.avg("v").alias("m"))
     return sparse.structure(a.with_df(a.df.crossJoin(mean).where("v > m")))
 
@@ -574,6 +575,7 @@ def ad_max_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _system(spark: SparkSession, sf_dir: str, symmetric: bool) -> tuple[Tensor, Tensor]:
     """A diagonally heavy matrix from the nations' trade in units of its mean, and the trade's row sums."""
     a = nations(spark, sf_dir)
+    a = a.with_df(cut(a.df))  # the tables are joined once, for all that comes
     mean = a.df.agg(F.sum("v") / 625).first()[0]
     a = a.with_df(a.df.withColumn("v", F.col("v") / mean))
     both = sparse.add(a, shape.permute(a, ("j", "i")).renamed(("i", "j"))) if symmetric else a

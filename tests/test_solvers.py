@@ -156,3 +156,13 @@ def test_indefinite_breaks_down(spark):
     assert not got.converged
     with pytest.raises(RuntimeError):
         krylov.cg(matrix(spark, np.array([[0.0, 1.0], [1.0, 0.0]])), vector(spark, np.array([1.0, 0.0])))
+
+
+def test_the_system_is_joined_once(spark):
+    """What comes after works on the nations' cells, not on the tables again."""
+    from polyadic.queries import _system
+
+    a, b = _system(spark, "/root/testdata/sf0.001", symmetric=False)
+    for t in (a, b):
+        plan = t.df._jdf.queryExecution().toString()
+        assert "Join" not in plan and "lineitem" not in plan
