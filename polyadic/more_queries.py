@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyadic.iterate import cut, shared_folder
+from polyadic.iterate import shared_folder, written
 from polyadic.operators import ad, decomp, elementwise, factorization, graph, kernels, krylov, linalg, optim, reduce, shape, sparse, tape, windows
 from polyadic.plans.einsum import einsum
 from polyadic.queries import _CUBE, _FULL, _GRAPH, _NATIONS, _PARTS, _query, _system, cube, nations, purchases, sales_graph, vectors
@@ -535,7 +535,7 @@ def _bipartite(spark: SparkSession, sf_dir: str) -> Tensor:
 def linalg_ilu_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L U of the incomplete factorisation of all parts' and suppliers' quantities, on the matrix's own cells: the matrix."""
     a = _bipartite(spark, sf_dir)
-    a = a.with_df(cut(a.df))
+    a = a.with_df(written(a.df, "matrix"))
     low, up = factorization.ilu0(a)
     return _rounded(sparse.masked_product(low, up, a.df.select("i", "j")), 4)
 
@@ -544,7 +544,7 @@ def linalg_ilu_product(spark: SparkSession, sf_dir: str) -> DataFrame:
 def linalg_ic_cg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the parts' and suppliers' matrix makes of a solution by conjugate gradients under IC(0): the right-hand side."""
     a = _bipartite(spark, sf_dir)
-    a = a.with_df(cut(a.df))
+    a = a.with_df(written(a.df, "matrix"))
     b = Tensor(spark.range(a.shape[0]).select(F.col("id").alias("i"), (F.col("id") % 7 + 1.0).alias("v")), ("i",), a.shape[:1])
     found = krylov.cg(a, b, tolerance=1e-5, preconditioner=factorization.ic_preconditioner(a))
     return _rounded(krylov.apply(a, found.x), 3)

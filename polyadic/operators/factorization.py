@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polyadic.iterate import cut, shared_folder
+from polyadic.iterate import cut, looked_up, shared_folder, written
 from polyadic.operators.krylov import Preconditioner
 from polyadic.tensor import Tensor
 
@@ -66,7 +66,7 @@ def triangle(a: Tensor, lower: bool = True, unit: bool = False) -> Triangle:
     i, j = a.axes
     n = a.shape[0]
     spark = a.df.sparkSession
-    cells = cut(a.df.select(F.col(i).alias("i"), F.col(j).alias("j"), "v").where(("i >= j" if lower else "i <= j")))
+    cells = written(a.df.select(F.col(i).alias("i"), F.col(j).alias("j"), "v").where(("i >= j" if lower else "i <= j")), "cells")
     rows = spark.range(n).select(F.col("id").alias("i"))
     if unit:
         diagonal = rows.withColumn("d", F.lit(1.0))
@@ -78,7 +78,7 @@ def triangle(a: Tensor, lower: bool = True, unit: bool = False) -> Triangle:
     level, count = level_sets(off, rows)
     folder = shared_folder(spark, "triangle")
     for name, part in (("off", off), ("diagonal", diagonal)):
-        part.join(level, "i").write.partitionBy("level").parquet(f"{folder}/{name}")
+        part.join(looked_up(level, n), "i").repartition("i").sortWithinPartitions("level", "i").write.partitionBy("level").parquet(f"{folder}/{name}")
     # The first level has no cells off the diagonal, but a folder, too.
     off.limit(0).select("i", "j", "v").write.mode("append").parquet(f"{folder}/off/level=0")
     return Triangle(folder, count, n)
@@ -94,7 +94,7 @@ def solve(t: Triangle, b: Tensor) -> Tensor:
         right = diagonal.join(b.df, "i", "left").select("i", "d", F.coalesce("v", F.lit(0.0)).alias("b"))
         if level:
             known = spark.read.schema("i long, v double").parquet(*(f"{folder}/level={k}" for k in range(level)))
-            sums = off.join(known.select(F.col("i").alias("j"), F.col("v").alias("x")), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("s"))
+            sums = off.join(looked_up(known.select(F.col("i").alias("j"), F.col("v").alias("x")), t.n), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("s"))
             right = right.join(sums, "i", "left").select("i", "d", (F.col("b") - F.coalesce("s", F.lit(0.0))).alias("b"))
         right.select("i", (F.col("b") / F.col("d")).alias("v")).where("v <> 0").write.parquet(f"{folder}/level={level}")
     return Tensor(spark.read.schema("i long, v double").parquet(*(f"{folder}/level={k}" for k in range(t.levels))), ("i",), (t.n,))
@@ -126,12 +126,12 @@ def ilu0(a: Tensor) -> tuple[Tensor, Tensor]:
     """
     names, n = a.axes, a.shape[0]
     spark = a.df.sparkSession
-    cells = cut(a.df.select(F.col(names[0]).alias("i"), F.col(names[1]).alias("j"), "v"))
+    cells = written(a.df.select(F.col(names[0]).alias("i"), F.col(names[1]).alias("j"), "v"), "cells")
     if cells.where("i = j and v <> 0").count() < n:
         raise ZeroDivisionError("a diagonal cell is 0")
     level, count = level_sets(cells.where("j < i"), spark.range(n).select(F.col("id").alias("i")))
     source, folder = shared_folder(spark, "rows"), shared_folder(spark, "lu")
-    cells.join(level, "i").write.partitionBy("level").parquet(source)
+    cells.join(looked_up(level, n), "i").repartition("i").sortWithinPartitions("level", "i").write.partitionBy("level").parquet(source)
 
     def eliminate(row: pa.Table, others: pa.Table) -> pa.Table:
         i = row["i"][0].as_py()
@@ -172,8 +172,8 @@ def ic0(a: Tensor) -> Tensor:
     roots = cut(up.df.where(F.col(i) == F.col(j)).select(F.col(i).alias(j), F.col("v").alias("d")))
     if not roots.where("d <= 0").isEmpty():
         raise ZeroDivisionError("a pivot is not positive: the matrix is not positive definite")
-    cells = low.df.join(roots, j).select(i, j, (F.col("v") * F.sqrt("d")).alias("v"))
-    return Tensor(cut(cells), (i, j), a.shape)
+    cells = low.df.join(looked_up(roots, a.shape[0]), j).select(i, j, (F.col("v") * F.sqrt("d")).alias("v"))
+    return Tensor(written(cells, "root"), (i, j), a.shape)
 
 
 def _transposed(a: Tensor) -> Tensor:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyadic.functions.numeric import safe_div
-from polyadic.iterate import cut, shared_folder
+from polyadic.iterate import cut, looked_up, shared_folder, written
 from polyadic.plans.einsum import einsum
 from polyadic.tensor import Tensor
 
@@ -90,8 +90,13 @@ def combine(*terms: tuple[float, Tensor]) -> Tensor:
 
 
 def apply(a: Tensor, x: Tensor, transposed: bool = False) -> Tensor:
-    out = einsum("ji,j->i" if transposed else "ij,j->i", a, x)
-    return Tensor(cut(out.df), ("i",), out.shape)
+    """A x (or A' x): cells look up their factor and are summed where they are first, so few of them are shuffled if rows lie together."""
+    if len(a.axes) != 2 or x.shape != (a.shape[0] if transposed else a.shape[1],):
+        raise ValueError(f"a matrix of {a.shape} does not meet a vector of {x.shape}")
+    cells = a.renamed(("j", "i") if transposed else ("i", "j")).df
+    factors = x.renamed(("j",)).df.select("j", F.col("v").alias("x"))
+    out = cells.join(looked_up(factors, x.shape[0]), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("v"))
+    return Tensor(cut(out), ("i",), (a.shape[1] if transposed else a.shape[0],))
 
 
 def jacobi(a: Tensor) -> Preconditioner:
@@ -102,7 +107,7 @@ def jacobi(a: Tensor) -> Preconditioner:
 
 
 def _ready(a: Tensor, b: Tensor) -> tuple[Tensor, Tensor, Tensor]:
-    a, b = a.with_df(cut(a.df)), b.renamed(("i",))
+    a, b = a.with_df(written(a.df.repartition(a.axes[0]).sortWithinPartitions(*a.axes), "matrix")), b.renamed(("i",))
     zero = Tensor(b.df.sparkSession.range(0).select(F.col("id").alias("i"), F.lit(0.0).alias("v")), ("i",), (a.shape[1],))
     return a, b.with_df(cut(b.df)), zero
 

@@ -118,3 +118,20 @@ def test_masked_product(spark):
     mask = rng.random((9, 9)) < 0.4
     got = sparse.masked_product(matrix(spark, a), matrix(spark, b), matrix(spark, mask.astype(float)).df.select("i", "j")).to_numpy()
     assert np.allclose(got, np.where(mask, a @ b, 0))
+
+
+@pytest.mark.parametrize("most", [1 << 21, 0])
+def test_products_do_not_sort_the_matrix(spark, monkeypatch, most):
+    """Cells look up their factor, in a broadcast or a shuffled table; before, each product sorted them all."""
+    from polyadic import iterate
+
+    plans, kept = [], krylov.cut
+    monkeypatch.setattr(iterate, "VECTOR_CELLS", most)
+    monkeypatch.setattr(krylov, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df))
+    a = bipartite(5, 3)
+    x = np.arange(1.0, 9.0)
+    assert np.allclose(krylov.apply(matrix(spark, a), vector(spark, x)).to_numpy(), a @ x)
+    assert np.allclose(krylov.apply(matrix(spark, a[:5]), vector(spark, x[:5]), transposed=True).to_numpy(), a[:5].T @ x[:5])
+    assert len(plans) == 2 and all("HashJoin" in p and "SortMergeJoin" not in p for p in plans)
+    t = np.tril(a)
+    assert np.allclose(fz.solve(fz.triangle(matrix(spark, a)), vector(spark, x)).to_numpy(), np.linalg.solve(t, x))
