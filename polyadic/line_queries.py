@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from polyadic.iterate import cut, looked_up, written
 from polyadic.operators import lines, reordering, windows
 from polyadic.queries import _query, _read, sales_graph
 from polyadic.tensor import Tensor
@@ -68,10 +69,11 @@ n AS (SELECT src AS id FROM g UNION SELECT dst FROM g)
 SELECT (SELECT count(*) FROM n) AS vertices, (SELECT count(*) FROM n) AS places, 0::BIGINT AS first, (SELECT count(*) - 1 FROM n) AS last, (SELECT count(*) FROM g) AS edges, TRUE AS narrower""")
 def reorder_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The graph of customers and suppliers in reverse Cuthill-McKee order: a permutation that loses no edge and narrows the band."""
-    edges = sales_graph(spark, sf_dir)
-    order = reordering.reverse_cuthill_mckee(edges)
-    at = lambda end, name: order.select(F.col("id").alias(end), F.col("place").alias(name))
-    both = edges.select("src", "dst").distinct().join(at("src", "s"), "src").join(at("dst", "t"), "dst")
+    edges = written(sales_graph(spark, sf_dir).select("src", "dst").distinct(), "sales")
+    order = cut(reordering.reverse_cuthill_mckee(edges))
+    rows = order.count()
+    at = lambda end, name: looked_up(order.select(F.col("id").alias(end), F.col("place").alias(name)), rows)
+    both = edges.join(at("src", "s"), "src").join(at("dst", "t"), "dst")
     width = both.agg(F.count("*").alias("edges"), (F.max(F.abs(F.col("s") - F.col("t"))) < F.max(F.abs(F.col("src") - F.col("dst")))).alias("narrower"))
     row = order.agg(F.countDistinct("id").alias("vertices"), F.countDistinct("place").alias("places"), F.min("place").alias("first"), F.max("place").alias("last"))
     key = F.lit(0).alias("__k")

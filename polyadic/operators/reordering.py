@@ -9,23 +9,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polyadic.iterate import cut
+from polyadic.iterate import cut, looked_up, written
 from polyadic.operators.graph import _both, components, vertices
 from polyadic.operators.lines import places
 from polyadic.tensor import Tensor
 
 
+def _steps(both: DataFrame, frontier: DataFrame, rows: int) -> DataFrame:
+    """The edges (src, dst) that leave a frontier (id) of so many ``rows``, with its columns: edges stream past its table and are not sorted."""
+    return both.join(looked_up(frontier.withColumnRenamed("id", "src"), rows), "src")
+
+
+def _with(found: DataFrame, frontier: DataFrame, level: int) -> DataFrame:
+    """All levels with a new one; written now and then, so that the plan of many levels stays short."""
+    out = found.unionByName(frontier)
+    return out if level % 8 else cut(out)
+
+
 def _levels(both: DataFrame, starts: DataFrame) -> DataFrame:
-    """(id, component, level) around one start for each component."""
-    found = frontier = cut(starts.select("id", "component", F.lit(0).alias("level")))
-    level = 0
+    """(id, component, level) around one start for each component; neighbours are in a level, the one before or the next."""
+    found = frontier = recent = cut(starts.select("id", "component", F.lit(0).alias("level")))
+    level, rows, before = 0, frontier.count(), 0
     while True:
         level += 1
-        new = both.join(frontier, F.col("src") == F.col("id")).select(F.col("dst").alias("id"), "component").distinct()
-        frontier = cut(new.join(found, "id", "left_anti").withColumn("level", F.lit(level)))
-        if frontier.isEmpty():
+        new = _steps(both, frontier.select("id", "component"), rows).select(F.col("dst").alias("id"), "component").distinct()
+        last, frontier = frontier, cut(new.join(looked_up(recent.select("id"), rows + before), "id", "left_anti").withColumn("level", F.lit(level)))
+        before, rows = rows, frontier.count()
+        if not rows:
             return found
-        found = cut(found.unionByName(frontier))
+        found, recent = _with(found, frontier, level), last.unionByName(frontier)
 
 
 def _ends(levels: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -60,24 +72,25 @@ def reverse_cuthill_mckee(edges: DataFrame) -> DataFrame:
     Components follow each other by their smallest vertex, the largest of these first.  No edges
     give no rows.
     """
-    edges = cut(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
-    both = cut(_both(edges).where("src <> dst"))
+    edges = written(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "edges")
+    # By where they lead to, so that what a task finds is nearly distinct before it is shuffled.
+    both = written(_both(edges).where("src <> dst").repartition("dst").sortWithinPartitions("dst", "src"), "both")
     degree = both.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
     known = vertices(edges).join(components(both), "id", "left").join(degree, "id", "left")
     nodes = cut(known.select("id", F.coalesce("component", "id").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree")))
     frontier = places(peripheral_starts(both, nodes), [F.col("component")]).withColumn("level", F.lit(0))
-    found = frontier = cut(frontier.select("id", "component", "level", "place"))
-    level = 0
+    found = frontier = recent = cut(frontier.select("id", "component", "level", "place"))
+    level, rows, before = 0, frontier.count(), 0
     while True:
         level += 1
-        near = both.join(frontier, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("id"), "component").agg(F.min("place").alias("parent"))
-        new = near.join(found, "id", "left_anti").join(nodes.select("id", "degree"), "id")
+        near = _steps(both, frontier.select("id", "component", "place"), rows).groupBy(F.col("dst").alias("id"), "component").agg(F.min("place").alias("parent"))
+        new = near.join(looked_up(recent.select("id"), rows + before), "id", "left_anti").join(nodes.select("id", "degree"), "id")
         new = places(new, [F.col("component"), F.col("parent"), F.col("degree"), F.col("id")])
-        frontier = new.select("id", "component", F.lit(level).alias("level"), "place")
-        if frontier.isEmpty():
+        last, frontier = frontier, cut(new.select("id", "component", F.lit(level).alias("level"), "place"))
+        before, rows = rows, frontier.count()
+        if not rows:
             break
-        frontier = cut(frontier)
-        found = cut(found.unionByName(frontier))
+        found, recent = _with(found, frontier, level), last.unionByName(frontier)
     order = [F.col(c).desc() for c in ("component", "level", "place")]
     return places(found.withColumnRenamed("place", "__q").select("id", "component", "level", "__q"), [*order[:2], F.col("__q").desc()]).select("id", "place")
 

@@ -77,3 +77,20 @@ def test_matrix_moves_on_both_sides(spark):
 
 def test_no_edges(spark):
     assert reordering.reverse_cuthill_mckee(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+@pytest.mark.parametrize("most", [1 << 21, 0])
+def test_steps_do_not_sort_the_edges(spark, monkeypatch, most):
+    """Frontiers are looked up, broadcast or in a shuffled table; before, each level sorted all edges."""
+    from polyadic import iterate
+
+    plans, kept = [], reordering.cut
+    monkeypatch.setattr(iterate, "VECTOR_CELLS", most)
+    monkeypatch.setattr(reordering, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df))
+    path = [(k, k + 1) for k in range(11)] + [(20, 21)]
+    both = reordering._both(spark.createDataFrame(path, "src long, dst long"))
+    starts = spark.createDataFrame([(0, 0), (20, 20)], "id long, component long")
+    levels = {r["id"]: r["level"] for r in reordering._levels(both, starts).collect()}
+    assert levels == {**{k: k for k in range(12)}, 20: 0, 21: 1}
+    steps = [p for p in plans if "Join" in p]
+    assert steps and all("HashJoin" in p and "SortMergeJoin" not in p for p in steps)
