@@ -45,6 +45,18 @@ def small_side(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+#: Bytes of a batch of rows on its way to Python, where texts are long (Spark's default is 64 MB).
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session gives rows to Python in batches of about BATCH_BYTES.
+
+    A batch is held by the executor's JVM, outside its heap, and by the worker at once.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def drop_scratch(*frames: DataFrame) -> None:
     """Delete written intermediates that nothing lazily depends on any more."""
     for df in frames:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,6 +58,30 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 6, alpha: flo
     return weights(z, n)
 
 
+def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(i, w): the weights other than 0, learned from one shard's rows in an order by hash and label.
+
+    Texts become indices as their batches come.  All indices are in one buffer, so a worker that is
+    used again gives their memory back.
+    """
+    held, used, ends, docs, labels = np.zeros(1 << 22, dtype=np.int32), 0, [0], [], []
+    for batch in batches:
+        docs.append(batch["doc"].to_numpy())
+        labels.append(batch["label"].to_numpy())
+        for raw in byte_views(batch["text"]):
+            found = np.unique(gram_indices(raw))
+            if used + len(found) >= len(held):
+                held.resize(len(held) + max(len(held) // 2, len(found) + 1), refcheck=False)
+            held[used : used + len(found)], held[used + len(found)] = found, 1 << BITS  # the bias
+            used += len(found) + 1
+            ends.append(used)
+    labels = np.concatenate(labels)
+    order = np.lexsort((labels, mix(np.concatenate(docs).view(np.uint64))))
+    w = ftrl([held[ends[k] : ends[k + 1]] for k in order.tolist()], labels[order])
+    at = np.flatnonzero(w)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], ["i", "w"])
+
+
 def fit(texts: DataFrame, known: DataFrame, max_rows: int = MAX_TRAIN_ROWS, shard_rows: int = SHARD_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Indices and weights other than 0, learned from about ``max_rows`` labelled rows at most.
 
@@ -75,17 +98,9 @@ def fit(texts: DataFrame, known: DataFrame, max_rows: int = MAX_TRAIN_ROWS, shar
     train = texts.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["doc", "h"])
     if repeats > 1:
         train = train.groupBy("doc", "h", "label").agg(F.first("text").alias("text"))
-    train = train.select("doc", "text", "label").withColumn("shard", F.pmod(F.xxhash64("doc", F.lit(1)), F.lit(shards)))
-
-    def learn(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.assign(order=mix(frame["doc"].to_numpy(dtype=np.int64).view(np.uint64))).sort_values(["order", "label"])
-        bias = np.array([1 << BITS])
-        rows = [np.concatenate((np.unique(gram_indices(raw)), bias)).astype(np.int32) for raw in byte_views(pa.array(frame["text"], pa.string()))]
-        w = ftrl(rows, frame["label"].to_numpy(dtype=np.float64))
-        at = np.flatnonzero(w)
-        return pd.DataFrame({"i": at, "w": w[at]})
+    train = train.select("doc", "text", F.col("label").cast("double").alias("label")).withColumn("shard", F.pmod(F.xxhash64("doc", F.lit(1)), F.lit(shards)))
 
-    learned = train.groupBy("shard").applyInPandas(learn, "i long, w double")
+    learned = train.groupBy("shard").applyInArrow(_learn, "i long, w double")
     averaged = learned.groupBy("i").agg((F.sum("w") / shards).alias("w")).orderBy("i").toPandas()  # 2 ** BITS rows at most
     drop_scratch(rows)
     return averaged["i"].to_numpy(dtype=np.int64), averaged["w"].to_numpy(dtype=np.float64)

@@ -489,6 +489,53 @@ def test_toxicity_with_repeated_identifiers(spark):
         np.testing.assert_array_equal(a, b)
 
 
+def test_toxicity_learns_from_a_stream(spark):
+    """A shard's texts are taken batch by batch, never held together; weights are those of rows in hashed order."""
+    from polyadic.llm.textarrays import mix
+    from polyadic.llm.toxicity import BITS, _learn, ftrl, gram_indices
+
+    start, most = pa.total_allocated_bytes(), 0
+
+    def batches():
+        nonlocal most
+        for k in range(30):
+            texts = [f"word{k % 7} good{i % 5} " * 4000 for i in range(20)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(20 * k, 20 * k + 20), pa.int64()), pa.array(texts), pa.array([float(k % 7 == 3)] * 20)], ["doc", "text", "label"])
+            most = max(most, pa.total_allocated_bytes() - start)
+
+    (got,) = _learn(batches())
+    assert most < 3 * 20 * 4000 * 13  # 30 batches are ten times as much
+    order = np.argsort(mix(np.arange(600, dtype=np.uint64)))
+    rows = [np.append(np.unique(gram_indices(np.frombuffer((f"word{d // 20 % 7} good{d % 20 % 5} " * 4000).encode(), np.uint8))), 1 << BITS) for d in order]
+    want = ftrl(rows, (order // 20 % 7 == 3).astype(float))
+    np.testing.assert_array_equal(got["i"].to_numpy(), np.flatnonzero(want))
+    np.testing.assert_array_equal(got["w"].to_numpy(), want[want != 0])
+
+
+def test_pipeline_stages_give_python_small_batches(spark, monkeypatch):
+    """Long texts go to Python some megabytes at a time, in each stage of the pipeline."""
+    import corpus_pipeline
+    from polyadic.llm.scratch import BATCH_BYTES
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([pa.compute.sum(pa.compute.binary_length(batch["text"])).as_py()])], ["n"])
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    long = spark.range(400, numPartitions=1).select(F.col("id").alias("doc_id"), F.expr("repeat('ab ', 14000)").alias("text"))
+    for operator in ("drop_toxic", "keep_good", "keep_unique", "keep_one_of_similar", "pack"):
+        monkeypatch.setattr(corpus_pipeline, operator, lambda docs, *a, **k: docs)
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(name)
+            stage(spark, table(spark, "documents"), SF)
+            found = [r["n"] for r in long.mapInArrow(sizes, "n long").collect()]
+            assert sum(found) == 400 * 42_000 and max(found) < 1.5 * BATCH_BYTES
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_classifiers_on_odd_rows(spark, odd, nothing):
     from polyadic.llm.lang_id import identify
     from polyadic.llm.quality import keep_good, quality_scores
