@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 
+from .textarrays import held
 from .wordwise import WordCoder, split_words
 
 
@@ -19,7 +19,7 @@ def _printable(codes: bool = False) -> list[int]:
     return plain + ([256 + i for i in range(len(rest))] if codes else rest)
 
 
-@cache
+@held
 def _coder(path: str) -> tuple:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .scratch import BROADCAST_ROWS, drop_scratch, small_side, write_scratch
-from .textarrays import byte_views, mix, shingle_set
+from .textarrays import byte_views, let_go, mix, shingle_set
 
 #: Segments beyond the pigeonhole's need, so that segments without shingles need no keys.
 SPARE = 2
@@ -243,6 +243,7 @@ def _sketch(docs: DataFrame, n: int, sim: Similarity) -> DataFrame:
     and the parity sketch."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             rows, keys, signs, odd = [], [], [], []
             for raw in byte_views(batch["text"]):

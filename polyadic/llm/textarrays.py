@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,22 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+_HELD: list[Callable] = []
+
+
+def held(make: Callable) -> Callable:
+    """``cache`` for what is large: a worker keeps it from task to task until let_go()."""
+    kept = cache(make)
+    _HELD.append(kept)
+    return kept
+
+
+def let_go() -> None:
+    """Release what tasks of other steps have left in this worker; they make it anew if they come again."""
+    for kept in _HELD:
+        kept.cache_clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import drop_scratch, write_scratch
-from .textarrays import byte_views, gram_hashes, lowered, mix, span_hashes
+from .textarrays import byte_views, gram_hashes, let_go, lowered, mix, span_hashes
 
 BITS = 20
 #: About this many labelled rows are learned from at most (chosen by a hash), in shards of SHARD_ROWS
@@ -64,6 +64,7 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Texts become indices as their batches come.  All indices are in one buffer, so a worker that is
     used again gives their memory back.
     """
+    let_go()
     held, used, ends, docs, labels = np.zeros(1 << 22, dtype=np.int32), 0, [0], [], []
     for batch in batches:
         docs.append(batch["doc"].to_numpy())
@@ -133,6 +134,7 @@ def _scorer(docs: DataFrame, at: np.ndarray, w: np.ndarray) -> Callable[[], Call
     shared = docs.sparkSession.sparkContext.broadcast((at, w))
 
     def start() -> Callable[[pa.Array], np.ndarray]:
+        let_go()
         at, w = shared.value
         table = np.zeros((1 << BITS) + 1)
         table[at] = w

@@ -536,6 +536,19 @@ def test_pipeline_stages_give_python_small_batches(spark, monkeypatch):
         spark.conf.set(name, before)
 
 
+def test_other_steps_release_the_word_memory():
+    """A worker that has packed does not hold its words while it learns; packing again gives the same ids."""
+    from polyadic.llm.bpe import _coder, byte_bpe
+    from polyadic.llm.toxicity import _learn
+
+    encode, texts = byte_bpe(public_tokenizers.path("byte_bpe_50k.json")), pa.array(["some words", "", "others"])
+    before = [ids.tolist() for ids in encode(texts)]
+    assert _coder.cache_info().currsize == 1
+    list(_learn([pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a", "b"]), pa.array([0.0, 1.0])], ["doc", "text", "label"])]))
+    assert _coder.cache_info().currsize == 0
+    assert [ids.tolist() for ids in encode(texts)] == before
+
+
 def test_classifiers_on_odd_rows(spark, odd, nothing):
     from polyadic.llm.lang_id import identify
     from polyadic.llm.quality import keep_good, quality_scores
