@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from polyadic import blocks
 from polyadic.operators import tall
 from polyadic.plans.einsum import einsum
-from polyadic.tensor import from_numpy
+from polyadic.tensor import Tensor, from_numpy
 
 
 def back(b):
@@ -114,3 +114,31 @@ def test_few_cells_make_no_dense_blocks(spark, monkeypatch):
         assert b.cell_pairs("pi,pj->ij", t, t) == int(((array != 0).sum(axis=1) ** 2).sum())
         assert np.array_equal(b.einsum_by_density("pi,pj->ij", t, t).to_numpy(), array.T @ array)
         assert len(taken) == blocks_taken
+
+
+@pytest.mark.parametrize("part_cells", [1 << 20, 50])
+def test_sparse_gram_shuffles_no_pairs(spark, monkeypatch, part_cells):
+    """Before, each pair of a sample's cells was a row of a join that was shuffled to be summed."""
+    from polyadic.operators import covariances as cov
+
+    for name, value in (("LEAST_SIDE", 3), ("MOST_SIDE", 3), ("CHUNK_CELLS", 20), ("SENT_CELLS", 15), ("PART_CELLS", part_cells)):
+        monkeypatch.setattr(cov, name, value)
+    monkeypatch.setattr(blocks, "PAIR_COST", 0)
+    rng = np.random.default_rng(6)
+    x = np.where(rng.random((150, 8)) < 0.1, rng.integers(1, 9, size=(150, 8)), 0).astype(float)
+    x[3] = 2  # a sample that all columns have
+    x[:, 6] = 0  # a column that meets nothing
+    x[10], x[11] = 0, 0
+    x[10, [0, 7]], x[11, [0, 7]] = (1, 1), (1, -1)
+    t = from_numpy(spark, x, ("p", "s"))
+    got = blocks.einsum_by_density("pi,pj->ij", t, t)
+    assert got.axes == ("i", "j") and "Join" not in got.df._jdf.queryExecution().toString()
+    rows = {(r.i, r.j): r.v for r in got.df.collect()}
+    there = (x != 0).astype(int)
+    assert set(rows) == set(map(tuple, np.argwhere(there.T @ there))) and got.df.count() == len(rows)
+    assert all(v == (x.T @ x)[k] for k, v in rows.items())
+    # Cells beyond the shape or without a column, as pairs of cells have them.
+    odd = Tensor(spark.createDataFrame([(0, -4, 2.0), (0, 30, 3.0), (1, None, 5.0), (None, 1, 7.0), (1, 2, 4.0)], "p long, s long, v double"), ("p", "s"), (2, 8))
+    for some in (odd, odd.with_df(odd.df.where("s is not null"))):
+        want = {tuple(r) for r in einsum("pi,pj->ij", some, some).df.collect()}
+        assert {tuple(r) for r in blocks.einsum_by_density("pi,pj->ij", some, some).df.collect()} == want
