@@ -526,9 +526,9 @@ def _bipartite(spark: SparkSession, sf_dir: str) -> Tensor:
     parts, n = p.shape[0], sum(p.shape)
     one = p.df.select(F.col("p").alias("i"), (F.col("s") + parts).alias("j"), "v")
     off = one.unionByName(one.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))
-    ones = spark.range(n).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("v"))
-    cells = off.unionByName(off.select("i", F.col("i").alias("j"), "v")).unionByName(ones)
-    return Tensor(cells.groupBy("i", "j").agg(F.sum("v").alias("v")).where("v <> 0"), ("i", "j"), (n, n))
+    ones = spark.range(n).select(F.col("id").alias("i"), F.lit(1.0).alias("v"))
+    diagonal = off.select("i", "v").unionByName(ones).groupBy("i").agg(F.sum("v").alias("v")).select("i", F.col("i").alias("j"), "v")
+    return Tensor(off.unionByName(diagonal).where("v <> 0"), ("i", "j"), (n, n))
 
 
 @_query(f"WITH {_BIPARTITE} SELECT i, j, round(v, 4) AS v FROM a")
@@ -536,8 +536,8 @@ def linalg_ilu_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L U of the incomplete factorisation of all parts' and suppliers' quantities, on the matrix's own cells: the matrix."""
     a = _bipartite(spark, sf_dir)
     a = a.with_df(written(a.df, "matrix"))
-    low, up = factorization.ilu0(a)
-    return _rounded(sparse.masked_product(low, up, a.df.select("i", "j")), 4)
+    low, up = factorization.ilu0(a)  # on the cells of a
+    return _rounded(sparse.triangles_product(low, up), 4)
 
 
 @_query("SELECT i, CAST(i % 7 + 1 AS DOUBLE) AS v FROM (SELECT unnest(range((SELECT count(*) FROM part) + (SELECT count(*) FROM supplier))) AS i)")

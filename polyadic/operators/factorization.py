@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from polyadic.iterate import cut, looked_up, shared_folder, written
@@ -26,25 +26,32 @@ def level_sets(needs: DataFrame, rows: DataFrame) -> tuple[DataFrame, int]:
     """
     spark = rows.sparkSession
     folder = shared_folder(spark, "levels")
-    left = cut(needs.select("i", "j").distinct())
-    waiting = cut(left.select("i").distinct())
-    ready = rows.select("i").join(waiting, "i", "left_anti")
-    count = 0
+    left = needs.select("i", "j")
+    waiting = written(left.select("i").distinct(), "waiting")
+    many, count = waiting.count(), 0
+    ready = rows.select("i").join(looked_up(waiting, many), "i", "left_anti")
     while True:
         ready.select("i").write.parquet(f"{folder}/level={count}")
         count += 1
-        if waiting.isEmpty():
+        if not many:
             break
-        now = spark.read.schema("i long").parquet(f"{folder}/level={count - 1}")
-        if now.isEmpty():
+        # A row still waits if one that it needs waited in this round.
+        left = written(left.join(looked_up(waiting.select(F.col("i").alias("j")), many), "j", "left_semi").select("i", "j"), "left")
+        still = written(left.select("i").distinct(), "waiting")
+        before, many = many, still.count()
+        if many == before:
             raise ValueError("rows need one another in a circle")
-        left = cut(left.join(now.select(F.col("i").alias("j")), "j", "left_anti").select("i", "j"))
-        still = cut(left.select("i").distinct())
-        ready = waiting.join(still, "i", "left_anti")
-        waiting = still
+        ready, waiting = waiting.join(looked_up(still, many), "i", "left_anti"), still
     return spark.read.schema("i long, level int").parquet(folder), count
 
 
+def _by_level(cells: DataFrame, level: DataFrame, folder: str) -> None:
+    """Rows (i, ...) written to a folder for each level; rows of the first one are not looked up."""
+    later = level.where("level > 0")
+    found = cells.join(looked_up(later, later.count()), "i", "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    found.sortWithinPartitions("level", "i").write.partitionBy("level").parquet(folder)
+
+
 @dataclass(frozen=True)
 class Triangle:
     """A triangular matrix by levels: rows (i, j, v) in a folder for each, without the diagonal, and that as (i, d)."""
@@ -78,7 +85,7 @@ def triangle(a: Tensor, lower: bool = True, unit: bool = False) -> Triangle:
     level, count = level_sets(off, rows)
     folder = shared_folder(spark, "triangle")
     for name, part in (("off", off), ("diagonal", diagonal)):
-        part.join(looked_up(level, n), "i").repartition("i").sortWithinPartitions("level", "i").write.partitionBy("level").parquet(f"{folder}/{name}")
+        _by_level(part.repartition("i"), level, f"{folder}/{name}")
     # The first level has no cells off the diagonal, but a folder, too.
     off.limit(0).select("i", "j", "v").write.mode("append").parquet(f"{folder}/off/level=0")
     return Triangle(folder, count, n)
@@ -118,20 +125,43 @@ def _needed(rows: DataFrame, done: DataFrame) -> DataFrame:
     return pivots.select("row", "k", "column", "u").unionByName(own.select("row", "k", "column", "u")).unionByName(rest.select("row", "k", "column", "u"))
 
 
+def _meet(rows: DataFrame, done: DataFrame) -> bool:
+    """Whether eliminating may change a cell of ``rows`` beside the diagonal: if one is in a column of a finished row's upper cell."""
+    columns = written(done.where("j > i").select("j").distinct(), "columns")
+    return not rows.where("i <> j").join(looked_up(columns, columns.count()), "j", "left_semi").isEmpty()
+
+
+def _eliminated(rows: DataFrame, done: DataFrame) -> DataFrame:
+    """``rows`` (i, j, v) after elimination with finished ones, where it changes only cells left of and on the diagonal.
+
+    What is left of it meets its pivot and its mirror in that pivot's row in one shuffle by the pivot.
+    """
+    left = rows.where("j < i").select(F.col("j").alias("k"), F.col("i").alias("x"), F.col("v").alias("low"), F.lit(None).cast("double").alias("up"))
+    upper = done.select(F.col("i").alias("k"), F.col("j").alias("x"), F.lit(None).cast("double").alias("low"), F.col("v").alias("up"))
+    both = left.unionByName(upper).repartition("k").groupBy("k", "x").agg(F.max("low").alias("low"), F.max("up").alias("up"))
+    pivot = F.max(F.when(F.col("x") == F.col("k"), F.col("up"))).over(Window.partitionBy("k"))
+    both = both.withColumn("low", F.col("low") / pivot).where("low is not null")
+    taken = both.where("up is not null").select(F.col("x").alias("i"), (-F.col("low") * F.col("up")).alias("v"))
+    diagonal = rows.where("i = j").select("i", "v").unionByName(taken).groupBy("i").agg(F.sum("v").alias("v"))
+    return both.select(F.col("x").alias("i"), F.col("k").alias("j"), F.col("low").alias("v")).unionByName(diagonal.select("i", F.col("i").alias("j"), "v")).unionByName(rows.where("j > i").select("i", "j", "v"))
+
+
 def ilu0(a: Tensor) -> tuple[Tensor, Tensor]:
     """L (with a diagonal of ones) and U with L U = A on the cells that A has.
 
-    Each level eliminates its rows at once, with the finished rows of the levels before; a row and the
-    rows that it needs are one group.  A pivot that is missing or becomes 0 raises ZeroDivisionError.
+    Each level eliminates its rows at once, with the finished rows of the levels before: by the pivots'
+    rows where only the diagonal can change, else a row and the rows that it needs are one group.
+    A pivot that is missing or becomes 0 raises ZeroDivisionError.  ``a`` is read three times, so a
+    written one is best.
     """
     names, n = a.axes, a.shape[0]
     spark = a.df.sparkSession
-    cells = written(a.df.select(F.col(names[0]).alias("i"), F.col(names[1]).alias("j"), "v"), "cells")
+    cells = a.df.select(F.col(names[0]).alias("i"), F.col(names[1]).alias("j"), "v")
     if cells.where("i = j and v <> 0").count() < n:
         raise ZeroDivisionError("a diagonal cell is 0")
     level, count = level_sets(cells.where("j < i"), spark.range(n).select(F.col("id").alias("i")))
     source, folder = shared_folder(spark, "rows"), shared_folder(spark, "lu")
-    cells.join(looked_up(level, n), "i").repartition("i").sortWithinPartitions("level", "i").write.partitionBy("level").parquet(source)
+    _by_level(cells, level, source)
 
     def eliminate(row: pa.Table, others: pa.Table) -> pa.Table:
         i = row["i"][0].as_py()
@@ -149,14 +179,24 @@ def ilu0(a: Tensor) -> tuple[Tensor, Tensor]:
             raise ZeroDivisionError(f"the pivot of row {i} is {values[i]}")
         return pa.table({"i": pa.array([i] * len(values), pa.int64()), "j": pa.array(list(values), pa.int64()), "v": pa.array(list(values.values()), pa.float64())})
 
-    for k in range(count):
+    # The first level's rows are finished as they are.
+    folders = [f"{source}/level=0"]
+    for k in range(1, count):
         rows = spark.read.schema("i long, j long, v double").parquet(f"{source}/level={k}")
-        if k:
-            done = spark.read.schema("i long, j long, v double").parquet(*(f"{folder}/level={m}" for m in range(k))).where("j >= i")
+        done = spark.read.schema("i long, j long, v double").parquet(*folders).where("j >= i")
+        if k > 1:
+            pivots = written(rows.where("j < i").select(F.col("j").alias("i")).distinct(), "pivots")
+            done = done.join(looked_up(pivots, pivots.count()), "i", "left_semi")
+        if _meet(rows, done):
             needed = _needed(rows, done)
             rows = rows.groupBy("i").cogroup(needed.groupBy("row")).applyInArrow(eliminate, "i long, j long, v double")
-        rows.write.parquet(f"{folder}/level={k}")
-    out = spark.read.schema("i long, j long, v double").parquet(*(f"{folder}/level={k}" for k in range(count)))
+        else:
+            rows = _eliminated(rows, done)
+        folders.append(f"{folder}/level={k}")
+        rows.write.parquet(folders[-1])
+        if bad := spark.read.schema("i long, j long, v double").parquet(folders[-1]).where("i = j and not coalesce(v <> 0 and abs(v) < double('inf'), false)").head(1):
+            raise ZeroDivisionError(f"the pivot of row {bad[0]['i']} is {bad[0]['v']}")
+    out = spark.read.schema("i long, j long, v double").parquet(*folders)
     one = spark.range(n).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("v"))
     low, up = out.where("j < i").unionByName(one), out.where("j >= i")
     return tuple(Tensor(df.select(F.col("i").alias(names[0]), F.col("j").alias(names[1]), "v"), names, a.shape) for df in (low, up))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from polyadic.iterate import looked_up, written
 from polyadic.operators.elementwise import binary
 from polyadic.plans.einsum import einsum
 from polyadic.tensor import Tensor
@@ -69,6 +70,33 @@ def masked_product(a: Tensor, b: Tensor, mask: DataFrame) -> Tensor:
     return Tensor(out, ("i", "j"), a.shape)
 
 
+def triangles_product(low: Tensor, up: Tensor) -> Tensor:
+    """L U of a lower and an upper triangle at the places where either has a cell.
+
+    If no cell beside the diagonal can get a product other than those with the diagonals, all cells
+    meet in one shuffle by L's columns and U's rows; else it is a masked product.  Both are read
+    three times, so written ones are best.
+    """
+    if not low.shape == up.shape or len(set(low.shape)) != 1:
+        raise ValueError("two square matrices of one size are needed")
+    x, y = low.renamed(("i", "j")).df, up.renamed(("i", "j")).df
+    off_x, off_y = x.where("i <> j"), y.where("i <> j")
+    rows, columns = written(off_x.select("i").distinct(), "rows"), written(off_y.select("j").distinct(), "columns")
+    rows_, columns_ = looked_up(rows, rows.count()), looked_up(columns, columns.count())
+    # Rows that L has off its diagonal, in columns that U has off its own.
+    if not off_x.join(columns_, "j", "left_semi").isEmpty() or not off_y.join(columns_, "j", "left_semi").join(rows_, "i", "left_semi").isEmpty():
+        return masked_product(low, up, x.select("i", "j").unionByName(y.select("i", "j")))
+    none = F.lit(None).cast("double")
+    both = x.select(F.col("j").alias("k"), F.col("i").alias("o"), F.col("v").alias("x"), none.alias("y")).unionByName(y.select(F.col("i").alias("k"), F.col("j").alias("o"), none.alias("x"), F.col("v").alias("y")))
+    both = both.repartition("k").groupBy("k", "o").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    for name in "xy":
+        both = both.withColumn(f"d{name}", F.max(F.when(F.col("o") == F.col("k"), F.col(name))).over(Window.partitionBy("k")))
+    below = both.where("o <> k and x * dy is not null").select(F.col("o").alias("i"), F.col("k").alias("j"), (F.col("x") * F.col("dy")).alias("v"))
+    above = both.where("o <> k and dx * y is not null").select(F.col("k").alias("i"), F.col("o").alias("j"), (F.col("dx") * F.col("y")).alias("v"))
+    on = both.groupBy("o").agg(F.sum(F.col("x") * F.col("y")).alias("v"), F.max(F.col("o") == F.col("k")).alias("there")).where("there and v is not null")
+    return Tensor(below.unionByName(above).unionByName(on.select(F.col("o").alias("i"), F.col("o").alias("j"), "v")), ("i", "j"), low.shape)
+
+
 def transposed(a: Tensor) -> Tensor:
     return Tensor(a.df.select(*reversed(a.axes), "v"), a.axes[::-1], a.shape[::-1])
 

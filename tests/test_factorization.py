@@ -135,3 +135,53 @@ def test_products_do_not_sort_the_matrix(spark, monkeypatch, most):
     assert len(plans) == 2 and all("HashJoin" in p and "SortMergeJoin" not in p for p in plans)
     t = np.tril(a)
     assert np.allclose(fz.solve(fz.triangle(matrix(spark, a)), vector(spark, x)).to_numpy(), np.linalg.solve(t, x))
+
+
+def test_two_sides_are_shuffled_once(spark):
+    """Before, the product on the pattern joined the triangles five times and then the pattern, and each level its rows three times."""
+    n, m = 6, 5
+    a = bipartite(n, m, seed=7)
+    cells = matrix(spark, a).df
+    rows, done = cells.where(f"i >= {n}"), cells.where(f"i < {n} and j >= i")
+    assert not fz._meet(rows, done)
+    got = fz._eliminated(rows, done)
+    assert "Join" not in got._jdf.queryExecution().toString()
+    low, up = plain_ilu(a)
+    want = np.tril(low, -1) + up
+    assert np.allclose(np.array(sorted(got.collect())), [(i, j, want[i, j]) for i, j in np.argwhere(a) if i >= n])
+    low, up = fz.ilu0(matrix(spark, a))
+    product = sparse.triangles_product(low, up)
+    plan = product.df._jdf.queryExecution().toString()
+    assert "Join" not in plan and "CoGroup" not in plan
+    assert np.allclose(product.to_numpy(), a) and product.df.count() == int((a != 0).sum())
+
+
+@pytest.mark.parametrize("density", [0.05, 0.2, 0.6])
+def test_triangles_product(spark, density):
+    """Patterns in which cells beside the diagonal meet or not, and cells that are missing on it."""
+    rng = np.random.default_rng(8)
+    there = rng.random((9, 9)) < density
+    there[np.arange(6), np.arange(6)] = True
+    x, y = np.tril(np.where(there, rng.normal(size=(9, 9)), 0)), np.triu(np.where(there, rng.normal(size=(9, 9)), 0))
+    got = sparse.triangles_product(matrix(spark, x), matrix(spark, y))
+    assert np.allclose(got.to_numpy(), np.where((x != 0) | (y != 0), x @ y, 0))
+    mask = matrix(spark, ((x != 0) | (y != 0)).astype(float)).df.select("i", "j")
+    want = sparse.masked_product(matrix(spark, x), matrix(spark, y), mask).df
+    assert {tuple(r) for r in got.df.select("i", "j").collect()} == {tuple(r) for r in want.select("i", "j").collect()}
+
+
+def test_levels_with_and_without_meeting_cells(spark):
+    """An arrow (only the last row changes, at its diagonal) and a band with a corner, whose levels mix both ways."""
+    n = 7
+    arrow = np.diag(np.arange(2.0, 2 + n))
+    arrow[-1, :-1], arrow[:-1, -1] = 0.5, 0.25
+    band = np.diag(np.full(n, 4.0)) + np.diag(np.ones(n - 1), 1) + np.diag(np.ones(n - 1), -1) + np.diag(np.full(n - 2, 0.5), 2)
+    band[n - 1, 0] = band[0, n - 1] = 0.75
+    for a in (arrow, band):
+        low, up = fz.ilu0(matrix(spark, a))
+        want = plain_ilu(a)
+        assert np.allclose(low.to_numpy(), want[0]) and np.allclose(up.to_numpy(), want[1])
+    tight = np.diag(np.ones(n))
+    tight[-1, 0] = tight[0, -1] = 1.0
+    with pytest.raises(ZeroDivisionError, match=f"pivot of row {n - 1}"):
+        fz.ilu0(matrix(spark, tight))
