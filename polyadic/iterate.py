@@ -30,7 +30,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder as Parquet: smaller and faster to read than by ``cut``, for what many rounds read."""
     path = shared_folder(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def unwritten(*frames: DataFrame) -> None:
+    """Deletes what ``written`` wrote and nothing depends on any more."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Cells of a vector that is broadcast to a matrix' cells (some 40 bytes each); longer ones are shuffled with these.

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyadic.iterate import shared_folder, written
-from polyadic.operators import ad, decomp, elementwise, factorization, graph, kernels, krylov, linalg, optim, reduce, shape, sparse, tape, windows
+from polyadic.operators import ad, decomp, elementwise, factorization, graph, kernels, krylov, linalg, optim, reduce, shape, sparse, strips, tape, windows
 from polyadic.plans.einsum import einsum
 from polyadic.queries import _CUBE, _FULL, _GRAPH, _NATIONS, _PARTS, _query, _system, cube, nations, purchases, sales_graph, vectors
 from polyadic.sources import files
@@ -546,5 +546,4 @@ def linalg_ic_cg(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _bipartite(spark, sf_dir)
     a = a.with_df(written(a.df, "matrix"))
     b = Tensor(spark.range(a.shape[0]).select(F.col("id").alias("i"), (F.col("id") % 7 + 1.0).alias("v")), ("i",), a.shape[:1])
-    found = krylov.cg(a, b, tolerance=1e-5, preconditioner=factorization.ic_preconditioner(a))
-    return _rounded(krylov.apply(a, found.x), 3)
+    return _rounded(strips.ic_cg(a, b, tolerance=1e-5)[1], 3)

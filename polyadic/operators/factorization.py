@@ -35,8 +35,11 @@ def level_sets(needs: DataFrame, rows: DataFrame) -> tuple[DataFrame, int]:
         count += 1
         if not many:
             break
-        # A row still waits if one that it needs waited in this round.
-        left = written(left.join(looked_up(waiting.select(F.col("i").alias("j")), many), "j", "left_semi").select("i", "j"), "left")
+        # A row still waits if one that it needs waited in this round, so was not ready; the fewer of both are looked up.
+        now = spark.read.schema("i long").parquet(f"{folder}/level={count - 1}")
+        done = now.count()
+        side, how = (now, "left_anti") if done < many else (waiting, "left_semi")
+        left = written(left.join(looked_up(side.select(F.col("i").alias("j")), min(done, many)), "j", how).select("i", "j"), "left")
         still = written(left.select("i").distinct(), "waiting")
         before, many = many, still.count()
         if many == before:
@@ -45,10 +48,15 @@ def level_sets(needs: DataFrame, rows: DataFrame) -> tuple[DataFrame, int]:
     return spark.read.schema("i long, level int").parquet(folder), count
 
 
-def _by_level(cells: DataFrame, level: DataFrame, folder: str) -> None:
-    """Rows (i, ...) written to a folder for each level; rows of the first one are not looked up."""
+def _by_level(cells: DataFrame, level: DataFrame, count: int, folder: str) -> None:
+    """Rows (i, ...) written to a folder for each level; rows of the first one are not looked up, nor two levels sorted."""
     later = level.where("level > 0")
-    found = cells.join(looked_up(later, later.count()), "i", "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    later = looked_up(later, later.count())
+    if count <= 2:
+        for k, how in enumerate(("left_anti", "left_semi")[:count]):
+            cells.join(later, "i", how).write.parquet(f"{folder}/level={k}")
+        return
+    found = cells.join(later, "i", "left").withColumn("level", F.coalesce("level", F.lit(0)))
     found.sortWithinPartitions("level", "i").write.partitionBy("level").parquet(folder)
 
 
@@ -85,7 +93,7 @@ def triangle(a: Tensor, lower: bool = True, unit: bool = False) -> Triangle:
     level, count = level_sets(off, rows)
     folder = shared_folder(spark, "triangle")
     for name, part in (("off", off), ("diagonal", diagonal)):
-        _by_level(part.repartition("i"), level, f"{folder}/{name}")
+        _by_level(part.repartition("i").sortWithinPartitions("i"), level, count, f"{folder}/{name}")
     # The first level has no cells off the diagonal, but a folder, too.
     off.limit(0).select("i", "j", "v").write.mode("append").parquet(f"{folder}/off/level=0")
     return Triangle(folder, count, n)
@@ -161,7 +169,7 @@ def ilu0(a: Tensor) -> tuple[Tensor, Tensor]:
         raise ZeroDivisionError("a diagonal cell is 0")
     level, count = level_sets(cells.where("j < i"), spark.range(n).select(F.col("id").alias("i")))
     source, folder = shared_folder(spark, "rows"), shared_folder(spark, "lu")
-    _by_level(cells, level, source)
+    _by_level(cells, level, count, source)
 
     def eliminate(row: pa.Table, others: pa.Table) -> pa.Table:
         i = row["i"][0].as_py()
